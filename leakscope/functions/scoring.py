@@ -15,6 +15,15 @@ def dec(value: str, kind: str = CONF) -> Column:
     return F.lit(value).cast(kind)
 
 
+def int_div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
+
+
+def half_up(total: Column, n: Column) -> Column:
+    """total / n as an integer, halves rounded up (both non-negative integers)."""
+    return int_div(total * 2 + n, n * 2)
+
+
 def fast_score(ctx: Column) -> Column:
     """0.65, or 0.75 when the surrounding text names a kind of personal data or a disclosure."""
     return F.when(matches(ctx, dims.PII_KEYWORDS), dec(dims.FAST_KEYWORD)).otherwise(dec(dims.FAST_BASE))
