@@ -65,7 +65,7 @@ def _strong(*parts: Column) -> Column:
 
 
 def _one_decimal(c: Column) -> Column:
-    return F.format_number(c, "0.0")
+    return F.format_string("%.1f", c)
 
 
 def executive_summary() -> Column:
@@ -173,13 +173,13 @@ def report_fragments(findings: DataFrame, scored: DataFrame, summary: DataFrame,
     )
     gauge = F.concat(F.lit("<ul>"), li(F.lit("Max ESS "), _one_decimal(F.col("max_ess")), F.lit(" "), F.col("label")),
                      li(F.lit("Avg ESS "), _one_decimal(F.col("avg_ess"))), li(F.lit("Sources "), num("sources")), F.lit("</ul>"))
-    risk = F.concat(F.lit("<p>"), F.col("risk"), F.lit(": "), num("findings"), F.lit(" ("), F.format_number("pct", "0"), F.lit("%)</p>"))
+    risk = F.concat(F.lit("<p>"), F.col("risk"), F.lit(": "), num("findings"), F.lit(" ("), F.format_string("%.0f", "pct"), F.lit("%)</p>"))
     pct0 = lambda c: F.concat(F.round(F.col(c) * 100, 0).cast("int").cast("string"), F.lit("%"))
     kinds = F.concat(F.lit("<p>"), F.col("display_name"), F.lit(": "), num("findings"), F.lit(", avg "), pct0("avg_confidence"),
                      F.lit(", "), pct0("min_confidence"), F.lit(" – "), pct0("max_confidence"), F.lit(". "),
                      html_escape(F.col("impact")), F.lit("</p>"))
     combos = F.concat(F.lit("<p>"), html_escape(F.col("toxic_combo_label")), F.lit(" — "),
-                      F.format_number("toxic_multiplier", "0.00"), F.lit("× severity multiplier</p>"))
+                      F.format_string("%.2f", "toxic_multiplier"), F.lit("× severity multiplier</p>"))
     bands = F.concat(F.lit("<ul>"), li(F.lit("High "), num("high")), li(F.lit("Medium "), num("medium")), li(F.lit("Low "), num("low")),
                      li(F.lit("Average "), _one_decimal(F.col("avg_confidence") * 100), F.lit("%")),
                      li(F.lit("Validated "), num("validated")), li(F.lit("Annotated "), num("annotated")), F.lit("</ul>"))

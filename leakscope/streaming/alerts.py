@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from leakscope.functions.scoring import risk_rank
 from leakscope.operators.detect import scan
-from leakscope.operators.rollups import first_per_value
+from leakscope.operators.rollups import alert_summary, first_per_value
 
 LANDED = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("target", T.StringType()), T.StructField("path", T.StringType()),
@@ -96,8 +96,7 @@ def new_findings(findings: DataFrame, horizon: str = "1 day") -> DataFrame:
 def alert_windows(findings: DataFrame, width: str = "300 seconds", slide: str | None = None) -> DataFrame:
     """Total, critical, high and medium findings per tumbling (or sliding) window of event time."""
     win = F.window("detected_at", width, slide) if slide else F.window("detected_at", width)
-    counts = [F.count_if(F.col("risk") == r).alias(r.lower()) for r in ("Critical", "High", "Medium")]
-    return findings.groupBy(win.alias("_w")).agg(F.count(F.lit(1)).alias("total"), *counts).select(
+    return alert_summary(findings.withColumn("_w", win), "_w").select(
         F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "total", "critical", "high", "medium"
     )
 
@@ -134,18 +133,18 @@ def stream_sessions(findings: DataFrame, gap: str = "30 minutes", keys: Sequence
 
 def alert_batch(findings: DataFrame, n: int = SAMPLE) -> DataFrame:
     """One alert row for a batch of findings: counts and the n most severe as an array (a top-k, then n rows together)."""
-    counts = [F.count_if(F.col("risk") == r).alias(r.lower()) for r in ("Critical", "High", "Medium")]
-    totals = findings.agg(F.count(F.lit(1)).alias("total"), *counts).withColumn("_one", F.lit(1))
-    top = findings.orderBy(risk_rank(F.col("risk")), F.desc("confidence"), "type", "value_masked", "source", "detected_at").limit(n)
+    counters = ["total", "critical", "high", "medium"]
+    totals = alert_summary(findings)
     fields = ["type", "value_masked", "risk", "confidence", "source", "source_url", "detected_at"]
-    sample = top.agg(F.collect_list(F.struct(risk_rank(F.col("risk")).alias("rank"), (-F.col("confidence")).alias("c"), *fields)).alias("_s"))
-    sample = sample.select(
-        F.lit(1).alias("_one"),
-        F.transform(F.array_sort("_s"), lambda s: F.struct(*[s[f].alias(f) for f in fields])).alias("findings"),
-    )
-    return totals.join(sample, "_one").drop("_one").filter(F.col("total") > 0).select(
-        F.lit("alert_batch").alias("type"), "total", "critical", "high", "medium", F.size("findings").alias("sample_size"), "findings"
-    )
+    rank = risk_rank(F.col("risk"))
+    top = findings.orderBy(rank, F.desc("confidence"), "type", "value_masked", "source", "detected_at").limit(n)
+    shown = top.select(F.struct(rank.alias("rank"), (-F.col("confidence")).alias("c"), *fields).alias("_s"))
+    # one row of totals and at most n sample rows fold into the alert row
+    both = totals.unionByName(shown, allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in counters], F.array_sort(F.collect_list("_s")).alias("_s"))
+    sample = F.transform("_s", lambda s: F.struct(*[s[f].alias(f) for f in fields]))
+    return both.filter(F.col("total") > 0).select(
+        F.lit("alert_batch").alias("type"), *counters, F.size("_s").alias("sample_size"), sample.alias("findings"))
 
 
 def alert_stream(spark: SparkSession, landing: str, targets: DataFrame | None, out: str, checkpoint: str,
