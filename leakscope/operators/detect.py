@@ -404,6 +404,9 @@ def scan(
     from a sentence column to a label -> probability map), `extended` (thirteen patterns, full validators), `strict`
     (validator-first). The plan is one stage: filters, one generator, no exchange, no Python worker.
     """
+    clash = sorted(set(documents.columns) & {*FINDING_FIELDS, "severity", "chunk_no", "chunk_start", "lead"} - {text})
+    if clash:
+        raise ValueError(f"rename the document columns {clash}: findings have columns of that name")
     chunks = prepared_chunks(documents, profile, patterns, text, filename, chunk_size, overlap, spread_by)
     found = _findings_array(text, profile, tuple(patterns) if patterns else None, scorer, chunk_size, overlap,
                             id(SparkContext._gateway))

@@ -1,24 +1,30 @@
 """Dense numbering of a large ordered table without sending a group to one task."""
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared checkpoint folder so that later stages read the same rows in the same partitions.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+    return tempfile.mkdtemp(prefix="leakscope-")
 
-    The folder is the one the cluster names in spark.checkpoint.dir; a context without any must set one first.
-    """
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder, so that later stages read the same rows in the same partitions and a lost
+    executor costs no recomputation of what lies before."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 

@@ -41,7 +41,8 @@ def _result(documents: DataFrame, source_type: Column, scanned: DataFrame, profi
 
 def with_contents(files: DataFrame, contents: DataFrame) -> DataFrame:
     """Selected files joined to landed contents (repo, branch, path, text); listings decide what is read."""
-    return files.join(contents.select("repo", "branch", "path", "text"), ["repo", "branch", "path"])
+    listing = files.drop("type", "size", "name", "route")
+    return listing.join(contents.select("repo", "branch", "path", "text"), ["repo", "branch", "path"])
 
 
 def _repo_documents(files: DataFrame, contents: DataFrame, source: Column) -> DataFrame:
@@ -139,10 +140,10 @@ def scan_social(forum_json: DataFrame | None, messages: DataFrame | None, max_po
 
 def profile_entries(profiles: DataFrame) -> DataFrame:
     """One row per profile entry: lower-case kind, trimmed value, label (the kind when it has none)."""
-    rows = profiles.select("user_email", F.posexplode("entries").alias("position", "_e"))
+    rows = profiles.select("user_email", F.posexplode("entries").alias("entry_no", "_e"))
     kind = F.lower("_e.kind")
     return rows.select(
-        "user_email", "position", kind.alias("kind"), strip(F.col("_e.value")).alias("value"),
+        "user_email", "entry_no", kind.alias("kind"), strip(F.col("_e.value")).alias("value"),
         F.when(F.length("_e.label") > 0, F.col("_e.label")).otherwise(kind).alias("label"),
     )
 
@@ -157,7 +158,7 @@ def scan_profiles(profiles: DataFrame, repos: DataFrame, files: DataFrame, conte
     disturbs nobody else.
     """
     entries = profile_entries(profiles)
-    user = [F.col("user_email").alias("scan_id"), "position", "kind", "label", "value"]
+    user = [F.col("user_email").alias("scan_id"), "entry_no", "kind", "label", "value"]
 
     repo_rows = entries.filter(F.col("kind") == "github").select(*user).withColumn(
         "owner", normalise_handle(F.col("value"), "profile_repo_user"))
@@ -165,7 +166,7 @@ def scan_profiles(profiles: DataFrame, repos: DataFrame, files: DataFrame, conte
     repo_source = F.concat(F.lit("GitHub ("), F.col("label"), F.lit("): "), F.col("repo"), F.lit("/"), F.col("path"))
     repo_files = chosen.join(repo_rows, "owner")
     repo_docs = _repo_documents(repo_files, contents, repo_source).withColumns({
-        "source_key": F.concat_ws("/", F.col("position").cast("string"), F.lit("github"), F.col("repo")),
+        "source_key": F.concat_ws("/", F.col("entry_no").cast("string"), F.lit("github"), F.col("repo")),
         "platform": F.lit("github"), "content_type": F.lit(None).cast("string"), "filename": F.col("path"),
         "source_type": F.lit("github_public"),
     })
@@ -174,21 +175,21 @@ def scan_profiles(profiles: DataFrame, repos: DataFrame, files: DataFrame, conte
         "username", normalise_handle(F.col("value"), "profile_forum"))
     forum_docs = forum_scan_documents(forum_documents(forum_json, 20)).join(forum_rows, "username").withColumns({
         "source": F.concat(F.lit("Reddit ("), F.col("label"), F.lit("): u/"), F.col("username")),
-        "source_key": F.concat_ws("/", F.col("position").cast("string"), F.col("source_key")),
+        "source_key": F.concat_ws("/", F.col("entry_no").cast("string"), F.col("source_key")),
     })
 
     channel_rows = entries.filter(F.col("kind") == "telegram").select(*user).withColumn(
         "channel", normalise_handle(F.col("value"), "profile_channel"))
     channel_docs = channel_scan_documents(channel_documents(messages, 50)).join(channel_rows, "channel").withColumns({
         "source": F.concat(F.lit("Telegram ("), F.col("label"), F.lit("): "), F.col("channel")),
-        "source_key": F.concat_ws("/", F.col("position").cast("string"), F.col("source_key")),
+        "source_key": F.concat_ws("/", F.col("entry_no").cast("string"), F.col("source_key")),
         "filename": F.concat(F.lit("telegram_"), F.col("channel")),
     })
 
     other = entries.filter(~F.col("kind").isin("github", "reddit", "telegram")).select(*user)
     value, kind = F.col("value"), F.col("kind")
     other_docs = other.withColumns({
-        "text": value, "source_key": F.concat_ws("/", F.col("position").cast("string"), F.lit("profile"), kind),
+        "text": value, "source_key": F.concat_ws("/", F.col("entry_no").cast("string"), F.lit("profile"), kind),
         "file_path": F.concat(F.lit("profile/"), kind),
         "source": F.concat(F.initcap(kind), F.lit(" ("), F.col("label"), F.lit("): "), value),
         "source_url": F.when(value.startswith("http"), value).otherwise(""), "platform": kind,

@@ -10,6 +10,7 @@ from leakscope.operators import playbook as P
 from leakscope.operators import report as RP
 from leakscope.operators import rollups as R
 from leakscope.operators.detect import scan
+from leakscope.operators.numbering import checkpointed, number_rows
 from leakscope.plans import oracle_sql as O
 from leakscope.plans.detection_queries import DOC_LIST
 from leakscope.plans.registry import corpus, corpus_findings, dbl, joined, query, table
@@ -161,8 +162,6 @@ def findings_by_confidence(spark, sf):
 @query("numbered_findings", O.with_(O.F, "select platform, doc_id, type, cast(row_number() over (partition by platform order by doc_id, s, type) as bigint) as row_no from F"))
 def numbered_findings(spark, sf):
     """Dense numbers per scan over a range partitioning, for a list of any length."""
-    from leakscope.operators.numbering import number_rows
-
     return number_rows(corpus_findings(spark, sf), "platform", ["doc_id", "start", "type"]).select("platform", "doc_id", "type", F.col("row_no").cast("bigint").alias("row_no"))
 
 
@@ -242,6 +241,7 @@ def advice_by_type(spark, sf):
 
 def _report_input(spark, sf):
     found = corpus_findings(spark, sf).withColumns({"scan_id": F.col("platform"), "source": F.concat("container", F.lit("/"), "path"), "source_type": F.col("platform")})
+    found = checkpointed(found)  # many sections read the findings; the texts are scanned once
     scored = E.ess(found, ["scan_id", "container", "path"], "source_type")
     scans = corpus(spark, sf).groupBy(F.col("platform").alias("scan_id")).agg(F.count(F.lit(1)).alias("files_scanned")).withColumns({
         "target": F.concat(F.lit("org <"), F.col("scan_id"), F.lit(">")), "scan_duration": F.lit(1.5),

@@ -107,7 +107,8 @@ def alert_sessions(events: DataFrame, keys: Sequence[str], ts: str, gap_seconds:
     Events of one slot as wide as the gap always belong together, so they are first combined per (key, slot) on the map
     side. Only slots are ordered per key, and their number depends on the time range, not on the number of events.
     """
-    micros = F.unix_micros(F.col(ts))
+    kind = events.schema[ts].dataType  # with or without time zone, out as it came in
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     gap = gap_seconds * 1_000_000
     slots = (
         events.filter(F.col(ts).isNotNull()).select(*keys, micros.alias("_t")).withColumn("_slot", F.call_function("div", "_t", F.lit(gap)))
@@ -118,7 +119,7 @@ def alert_sessions(events: DataFrame, keys: Sequence[str], ts: str, gap_seconds:
     numbered = slots.withColumn("_new", fresh).withColumn(
         "_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return numbered.groupBy(*keys, "_run").agg(
-        F.timestamp_micros(F.min("_lo")).alias("session_start"), F.timestamp_micros(F.max("_hi")).alias("last_event"),
+        F.timestamp_micros(F.min("_lo")).cast(kind).alias("session_start"), F.timestamp_micros(F.max("_hi")).cast(kind).alias("last_event"),
         F.sum("_n").alias("events"),
     ).drop("_run")
 
