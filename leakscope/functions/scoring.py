@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leakscope import dims
-from leakscope.functions.text import literal_array, literal_map, lookup, matches
+from leakscope.functions.text import let, literal_array, literal_map, lookup, matches
 
 CONF = "decimal(6,3)"
 PROB = "decimal(12,9)"
@@ -161,5 +161,5 @@ def severity_tier(score: Column) -> Column:
 
 def fake_keyword(snippet: Column) -> Column:
     """First marker of invented data contained in the lower-cased snippet, by list order; null when there is none."""
-    low = F.lower(snippet)
-    return F.get(F.filter(literal_array(dims.FAKE_KEYWORDS), lambda k: F.contains(low, k)), F.lit(0))
+    words = literal_array(dims.FAKE_KEYWORDS)
+    return let(F.lower(snippet), lambda low: F.get(F.filter(words, lambda k: F.contains(low, k)), F.lit(0)))

@@ -15,6 +15,7 @@ from leakscope import dims
 from leakscope.functions import scoring as S
 from leakscope.functions.spans import resolve_overlaps
 from leakscope.functions.text import is_blank, mask, snippet, strip
+from leakscope.operators.numbering import checkpointed
 from leakscope.operators.detect import (
     FINDING_FIELDS, LIVE, Pattern, context_features, prepared_chunks, score_feature, sentence_spans,
 )
@@ -55,29 +56,32 @@ def sentence_of_span(spans: DataFrame, sentences: DataFrame, key: str = "doc_id"
     return out.drop("_k", "_s2", "_ss", "_se").withColumn("sentence", F.coalesce("sentence", F.lit("")))
 
 
-def _near(spans: DataFrame, entities: DataFrame, key: str, radius: int, span_key: Sequence[str]) -> DataFrame:
-    reach = spans.select(
-        *span_key, (F.col("start") - radius).alias("_lo"), (F.col("end") + radius).alias("_hi")
-    ).withColumn("_b", _blocks(F.greatest(F.col("_lo"), F.lit(0)), F.col("_hi")))
-    ents = entities.select(
-        F.col(key).alias("_k"), F.col("label"), F.col("s").alias("_es"), F.col("e").alias("_ee"),
+def _reaching(spans: DataFrame, radius: int) -> DataFrame:
+    """Spans once per block that their neighbourhood touches (one or two)."""
+    lo, hi = F.col("start") - radius, F.col("end") + radius
+    return spans.withColumn("_b", _blocks(F.greatest(lo, F.lit(0)), hi))
+
+
+def _close(entities: DataFrame, key: str, radius: int) -> tuple[DataFrame, Column]:
+    placed = entities.select(
+        F.col(key).alias("_k"), F.col("label").alias("_label"), F.col("s").alias("_es"), F.col("e").alias("_ee"),
         (F.col("s") / BLOCK).cast("int").alias("_eb"),
     )
     cond = (
         (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_eb"))
-        & (F.col("_es") >= F.col("_lo")) & (F.col("_ee") <= F.col("_hi"))
+        & (F.col("_es") >= F.col("start") - radius) & (F.col("_ee") <= F.col("end") + radius)
     )
-    return reach.join(ents, cond)
+    return placed, cond
 
 
 def entities_near(spans: DataFrame, entities: DataFrame, radius: int = ENTITY_REACH, key: str = "doc_id") -> DataFrame:
-    """Spans with the distinct entity labels found within `radius` characters (`labels`, empty when none)."""
-    span_key = [key, "start", "end"]
-    near = _near(spans.select(*span_key).distinct(), entities, key, radius, span_key)
-    labels = near.groupBy(*span_key).agg(F.array_sort(F.collect_set("label")).alias("labels"))
-    return spans.join(labels, span_key, "left").withColumn(
-        "labels", F.coalesce("labels", F.array().cast("array<string>"))
-    )
+    """Spans with the distinct entity labels found within `radius` characters (`labels`, empty when none).
+
+    An entity lies in one block, so a span meets it once; the left join and the regrouping read the spans once.
+    """
+    placed, cond = _close(entities, key, radius)
+    joined = _reaching(spans, radius).join(placed, cond, "left")
+    return joined.groupBy(*spans.columns).agg(F.array_sort(F.collect_set("_label")).alias("labels"))
 
 
 def score_sentences(sentences: DataFrame, scorer: Callable, column: str = "sentence") -> DataFrame:
@@ -96,8 +100,8 @@ def scan_in_context(
 ) -> DataFrame:
     """The context profile with a batch classifier (or landed sentence scores) and landed entities.
 
-    Only span rows are shuffled, never texts: features are extracted in the scan stage, sentences are classified once
-    each, and overlap resolution regroups the few spans of one text slice.
+    Only span rows are shuffled, never texts: features are extracted in the scan stage and written once, sentences are
+    classified once each, and overlap resolution regroups the spans of one text slice.
     """
     if (scorer is None) == (scores is None):
         raise ValueError("give either a scorer or a table of sentence scores")
@@ -113,15 +117,16 @@ def scan_in_context(
                 snippet(F.col("_t"), F.col("_f.start"), F.col("_f.end")).alias("snippet"),
                 mask(F.col("_f.value")).alias("value_masked"))
     )
+    # the span rows are read several times from here on; the texts must not be scanned again for each
+    rows = checkpointed(rows)
     table = score_sentences(rows, scorer) if scorer is not None else scores
     table = table.select(F.col("sentence").alias("_sent"), "scores")
     rows = rows.join(table, F.col("sentence") == F.col("_sent"), "left").drop("_sent")
     if entities is not None:
         span_key = [key, "start", "end"]
-        people = entities.filter(F.col("label") == "PERSON")
-        near = _near(rows.select(*span_key).distinct(), people, key, ENTITY_REACH, span_key)
-        near = near.select(*span_key).distinct().withColumn("_person", F.lit(True))
-        rows = rows.join(near, span_key, "left")
+        people, cond = _close(entities.filter(F.col("label") == "PERSON"), key, ENTITY_REACH)
+        near = _reaching(rows.select(*span_key).distinct(), ENTITY_REACH).join(people, cond, "left_semi")
+        rows = rows.join(near.select(*span_key).distinct().withColumn("_person", F.lit(True)), span_key, "left")
     else:
         rows = rows.withColumn("_person", F.lit(False))
     no_scores = F.create_map().cast("map<string,double>")

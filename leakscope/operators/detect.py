@@ -18,7 +18,7 @@ from leakscope.functions import scoring as S
 from leakscope.functions import validators as V
 from leakscope.functions.spans import between_spans, match_spans, overlaps, resolve_overlaps
 from leakscope.functions.text import UNI, context, is_blank, let, mask, matches, snippet, strip
-from leakscope.operators.screen import chunk_documents, is_binary, screened
+from leakscope.operators.screen import chunk_documents, is_binary, is_minified, is_noise_filename
 
 SPAN = (
     "struct<ordinal:int,type:string,start:int,end:int,value:string,confidence:decimal(6,3),severity:string,"
@@ -370,15 +370,23 @@ def span_array(text: Column, profile: str = "fast", patterns: Sequence[Pattern]
 
 def prepared_chunks(documents: DataFrame, profile: str, patterns: Sequence[Pattern] | None, text: str,
                     filename: str | None, chunk_size: int, overlap: int, spread_by: str | None) -> DataFrame:
-    """Screened, chunked, re-screened and gated texts: what the expensive expressions run on."""
-    chunks = chunk_documents(screened(documents, text, filename, profile), chunk_size, overlap, text, spread_by)
-    own = F.substring(F.col(text), F.col("lead") + 1, F.lit(500))
-    chunks = chunks.filter((F.col("chunk_no") == 0) | ~is_binary(own))
+    """Screened, chunked, re-screened and gated texts: what the expensive expressions run on.
+
+    File names are tested below the generator. Text predicates sit above it, on its output, so that a text which is
+    itself a computed column is computed once and not once per predicate.
+    """
+    if filename:
+        documents = documents.filter(~is_noise_filename(F.col(filename)))
+    t = F.col(text)
+    chunks = chunk_documents(documents.filter(t.isNotNull()), chunk_size, overlap, text, spread_by, head=500)
+    own = F.substring(t, F.col("lead") + 1, F.lit(500))
+    keep = ~is_blank(t) & ~is_binary(F.col("head")) & ((F.col("chunk_no") == 0) | ~is_binary(own))
     if profile == "strict":
-        gate = any_gate(F.col(text), [DIGIT_RUNS, CAPITALS, AT_SIGN])
+        keep = keep & ~is_minified(t)
+        gate = any_gate(t, [DIGIT_RUNS, CAPITALS, AT_SIGN])
     else:
-        gate = doc_gate(patterns or (EXTENDED if profile == "extended" else LIVE), F.col(text))
-    return chunks if gate is None else chunks.filter(gate)
+        gate = doc_gate(patterns or (EXTENDED if profile == "extended" else LIVE), t)
+    return chunks.filter(keep if gate is None else gate & keep).drop("head")
 
 
 @lru_cache(maxsize=128)

@@ -1,34 +1,40 @@
 """Identity documents: trigger phrases, document type, and the finding a scanned identity document yields."""
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscope import dims
 from leakscope.functions.scoring import severity_tier
-from leakscope.functions.text import UNI_NOCASE, is_blank, literal_array
+from leakscope.functions.text import is_blank, let
 
 
 def is_kyc(text: Column) -> Column:
     """Any trigger phrase, in any case."""
-    return F.coalesce(text.rlike(UNI_NOCASE + "|".join(dims.KYC_PHRASES)), F.lit(False))
+    hit = let(F.upper(text), lambda u: reduce(or_, [F.contains(u, F.lit(p)) for p in dims.KYC_PHRASES]))
+    return F.coalesce(hit, F.lit(False))
 
 
 def document_type(text: Column) -> Column:
     """Class with the most markers present; the first listed class wins ties; "unknown" without any marker."""
-    low = F.lower(text)
 
-    def present(markers: list[str]) -> Column:
-        return F.size(F.filter(literal_array(markers), lambda m: F.contains(low, m)))
+    def classify(low: Column) -> Column:
+        def present(markers: list[str]) -> Column:
+            return reduce(add, [F.contains(low, F.lit(m)).cast("int") for m in markers])
 
-    ranked = F.array(
-        *[
-            F.struct(present(markers).alias("hits"), F.lit(-i).alias("order"), F.lit(name).alias("name"))
-            for i, (name, markers) in enumerate(dims.DOCUMENT_MARKERS.items())
-        ]
-    )
-    best = F.array_max(ranked)
-    return F.when(best["hits"] > 0, best["name"]).otherwise("unknown")
+        ranked = F.array(
+            *[
+                F.struct(present(markers).alias("hits"), F.lit(-i).alias("order"), F.lit(name).alias("name"))
+                for i, (name, markers) in enumerate(dims.DOCUMENT_MARKERS.items())
+            ]
+        )
+        best = F.array_max(ranked)
+        return F.when(best["hits"] > 0, best["name"]).otherwise("unknown")
+
+    return let(F.lower(text), classify)
 
 
 def classify_document(df: DataFrame, text: str = "text") -> DataFrame:

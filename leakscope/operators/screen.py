@@ -61,34 +61,33 @@ def screened(df: DataFrame, text: str = "text", filename: str | None = "path", p
 
 
 def chunk_documents(
-    df: DataFrame, size: int = dims.CHUNK_CHARS, overlap: int = 0, text: str = "text", spread_by: str | None = None
+    df: DataFrame, size: int = dims.CHUNK_CHARS, overlap: int = 0, text: str = "text", spread_by: str | None = None,
+    head: int = 0,
 ) -> DataFrame:
     """Cut long texts into slices of `size` characters, one row each, with `chunk_no`, `chunk_start` and `lead`.
 
     `lead` counts characters before `chunk_start` that are included only as context (0 without overlap). With
     `overlap`, a slice also sees that many characters on both sides; a match belongs to the slice it starts in.
-    `spread_by` (a key column) redistributes the slices, for inputs where few rows hold most of the text.
+    `spread_by` (a key column) redistributes the slices, for inputs where few rows hold most of the text. `head` adds
+    the first characters of the whole text to every slice.
     """
     t = F.col(text)
-    whole = F.array(
-        F.struct(F.lit(0).alias("chunk_no"), F.lit(0).alias("chunk_start"), F.lit(0).alias("lead"), t.alias("part"))
-    )
+    opening = [F.substring(t, 1, head).alias("head")] if head else []
 
     def cut(at: Column) -> Column:
         lead = F.least(at, F.lit(overlap))
-        return F.struct(
-            (at / size).cast("int").alias("chunk_no"),
-            at.alias("chunk_start"),
-            lead.alias("lead"),
-            F.substring(t, at - lead + 1, lead + F.lit(size + overlap)).alias("part"),
-        )
+        part = F.substring(t, at - lead + 1, lead + F.lit(size + overlap))
+        return F.struct((at / size).cast("int").alias("chunk_no"), at.alias("chunk_start"), lead.alias("lead"),
+                        part.alias("part"), *opening)
 
+    zero = F.lit(0)
+    whole = F.array(F.struct(zero.alias("chunk_no"), zero.alias("chunk_start"), zero.alias("lead"), t.alias("part"), *opening))
     parts = F.when(F.length(t) <= size, whole).otherwise(
         F.transform(F.sequence(F.lit(0), F.length(t) - 1, F.lit(size)), cut)
     )
     rest = [c for c in df.columns if c != text]
     # explode_outer: the plain form makes the optimizer add a size() filter that evaluates the cuts a second time
     out = df.select(*rest, F.explode_outer(parts).alias("_c")).select(
-        *rest, "_c.chunk_no", "_c.chunk_start", "_c.lead", F.col("_c.part").alias(text)
+        *rest, "_c.chunk_no", "_c.chunk_start", "_c.lead", F.col("_c.part").alias(text), *(["_c.head"] if head else [])
     )
     return out.repartition(F.col(spread_by), F.col("chunk_no")) if spread_by else out

@@ -5,7 +5,7 @@ A result holds lazy DataFrames; nothing runs until one of them is used.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from leakscope.functions.text import normalise_handle, strip
 from leakscope.operators import ess as E
 from leakscope.operators import rollups as R
 from leakscope.operators.detect import Pattern, scan
+from leakscope.operators.numbering import checkpointed
 from leakscope.sources import files as FL
 from leakscope.sources.channels import channel_documents
 from leakscope.sources.pastes import COLUMNS as PASTE_COLUMNS
@@ -29,14 +30,30 @@ class ScanResult:
     ess: DataFrame
     summary: DataFrame
     scanned: DataFrame
+    rebuild: Callable[[DataFrame], ScanResult] | None = field(default=None, repr=False, compare=False)
+
+    def stored(self) -> ScanResult:
+        """The same result over findings written once to the shared checkpoint folder.
+
+        Use it when more than one part of a result is read: otherwise each part scans the texts again.
+        """
+        return self.rebuild(checkpointed(self.findings)) if self.rebuild else self
+
+
+def _scored(found: DataFrame, scanned: DataFrame, vocab: str,
+            finish: Callable[[DataFrame], DataFrame] = lambda summary: summary) -> ScanResult:
+    def build(rows: DataFrame) -> ScanResult:
+        scored = E.ess(rows, ["scan_id", "source_key"], "source_type", vocab)
+        return ScanResult(rows, scored, finish(E.scan_summary(scored, "scan_id")), scanned, build)
+
+    return build(found)
 
 
 def _result(documents: DataFrame, source_type: Column, scanned: DataFrame, profile: str, vocab: str,
             patterns: Sequence[Pattern] | None, scorer: Callable | None, filename: str, text: str = "text") -> ScanResult:
     """documents must carry scan_id, source_key, file_path, source and source_url."""
-    found = scan(documents.withColumn("source_type", source_type), profile, patterns, scorer, text=text, filename=filename)
-    scored = E.ess(found, ["scan_id", "source_key"], "source_type", vocab)
-    return ScanResult(found, scored, E.scan_summary(scored, "scan_id"), scanned)
+    typed = documents.withColumn("source_type", source_type)
+    return _scored(scan(typed, profile, patterns, scorer, text=text, filename=filename), scanned, vocab)
 
 
 def with_contents(files: DataFrame, contents: DataFrame) -> DataFrame:
@@ -133,9 +150,7 @@ def scan_social(forum_json: DataFrame | None, messages: DataFrame | None, max_po
         raise ValueError("give forum bodies, channel messages or both")
     docs = R.union_findings(*[p.withColumn("scan_id", F.lit(scan_id)).select(*SOCIAL) for p in parts])
     scanned = E.sources_scanned(R.union_findings(*listed).withColumn("scan_id", F.lit(scan_id)), "source_key")
-    found = scan(docs, profile, patterns, scorer, filename="filename")
-    scored = E.ess(found, ["scan_id", "source_key"], "source_type", vocab)
-    return ScanResult(found, scored, E.scan_summary(scored, "scan_id"), scanned)
+    return _scored(scan(docs, profile, patterns, scorer, filename="filename"), scanned, vocab)
 
 
 def profile_entries(profiles: DataFrame) -> DataFrame:
@@ -197,15 +212,13 @@ def scan_profiles(profiles: DataFrame, repos: DataFrame, files: DataFrame, conte
         "source_type": F.lit("social_reddit"),
     })
     docs = R.union_findings(*[d.select(*SOCIAL) for d in (repo_docs, forum_docs, channel_docs, other_docs)])
-    found = scan(docs, profile, patterns, scorer, filename="filename")
-    scored = E.ess(found, ["scan_id", "source_key"], "source_type", vocab)
     # files count one by one for repository entries, every other entry counts once
     one_each = entries.filter(F.col("kind") != "github").select(F.col("user_email").alias("scan_id"))
     scanned = repo_files.select("scan_id").unionByName(one_each).groupBy("scan_id").agg(
         F.count(F.lit(1)).alias("total_sources_scanned"))
     everyone = profiles.select(F.col("user_email").alias("scan_id"))
-    summary = E.summary_or_empty(E.scan_summary(scored, "scan_id"), everyone, "scan_id", "NONE")
-    return ScanResult(found, scored, summary, scanned)
+    found = scan(docs, profile, patterns, scorer, filename="filename")
+    return _scored(found, scanned, vocab, lambda summary: E.summary_or_empty(summary, everyone, "scan_id", "NONE"))
 
 
 def scan_combined(repo_result: ScanResult, paste_result: ScanResult, scan_id: str = "combined", avg: str = "as_is") -> ScanResult:

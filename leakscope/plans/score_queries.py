@@ -208,7 +208,7 @@ def playbook_by_repo(spark, sf):
                         F.get(step(0)["commands"], F.lit(0)).alias("first_command"), step(3)["is_destructive"].alias("purge_destructive"))
 
 
-@query("playbook_lines", O.with_(O.F, "select container as repo, path, 4 as section, 7 as line, path as text from F group by all"))
+@query("playbook_lines", O.with_(O.F, "select distinct container as repo, path, 4 as section, 7 as line, path as text from F where container in (select container from F group by container having count(distinct path) > 1)"))
 def playbook_lines(spark, sf):
     """The file list inside each playbook: one line per exposed file at its place."""
     found = corpus_findings(spark, sf)

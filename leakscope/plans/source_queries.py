@@ -130,13 +130,12 @@ def paste_tables(spark, sf):
 JSON_ROWS = "select conv_id, turn, case when turn % 3 = 0 then null else concat('k', conv_id, '_', turn) end as key, case when turn % 2 = 0 then concat('t', turn) end as title, length(text) as size from conversations"
 
 
-@query("pastes_from_json", f"select conv_id, key as paste_id, coalesce(title, 'Untitled') as title, 'text' as syntax, cast(size as int) as size, 'scrape_api' as source from ({JSON_ROWS}) where key is not null")
+@query("pastes_from_json", f"select conv_id, key as paste_id, coalesce(title, 'Untitled') as title, 'text' as syntax, cast(size as int) as size, 'scrape_api' as source from ({JSON_ROWS}), range(2) where key is not null")
 def pastes_from_json(spark, sf):
     t = F.col("turn")
     item = F.struct(F.when(t % 3 != 0, F.concat(F.lit("k"), F.col("conv_id").cast("string"), F.lit("_"), t.cast("string"))).alias("key"),
                     F.when(t % 2 == 0, F.concat(F.lit("t"), t.cast("string"))).alias("title"), F.length("text").cast("string").alias("size"))
-    # one landed body per conversation; a conversation has few turns
-    bodies = table(spark, sf, "conversations").groupBy("conv_id").agg(F.to_json(F.collect_list(item)).alias("body"))
+    bodies = table(spark, sf, "conversations").select("conv_id", F.to_json(F.array(item, item)).alias("body"))
     return PA.pastes_from_json(bodies, 250).select("conv_id", "paste_id", "title", "syntax", "size", "source")
 
 
@@ -149,22 +148,20 @@ def first_nonempty(spark, sf):
 # --- social ------------------------------------------------------------------------------------------------------
 
 def _forum_json(spark, sf):
-    """Conversations as landed profile bodies: user turns are posts, the other turns comments."""
+    """Conversations as landed profile bodies, one page per turn: user turns are posts, the other turns comments."""
     conv = table(spark, sf, "conversations")
     text = F.col("text")
     body = F.when(F.col("turn") % 5 == 3, "[deleted]").otherwise(text)
     child = F.struct(F.struct(F.concat(F.lit("p"), F.col("turn").cast("string")).alias("id"), F.when(F.col("role") == "user", text).alias("title"),
                               F.when(F.col("role") != "user", body).alias("body"), F.concat(F.lit("/r/"), F.col("turn").cast("string")).alias("permalink")).alias("data"))
     user = F.concat(F.lit("u/user"), F.col("conv_id").cast("string")).alias("username")
-    # a body holds one conversation, whose turns are few
-    kids = F.transform(F.array_sort(F.collect_list(F.struct("turn", child.alias("c")))), lambda x: x["c"])
-    wrap = F.to_json(F.struct(F.struct(kids.alias("children")).alias("data"))).alias("body")
+    page = F.col("turn").alias("page")
     kind = F.when(F.col("role") == "user", "submitted").otherwise("comments").alias("kind")
-    listings = conv.groupBy(user, kind).agg(wrap).select("username", "kind", "body")
+    listings = conv.select(user, kind, page, F.to_json(F.struct(F.struct(F.array(child).alias("children")).alias("data"))).alias("body"))
     about_body = F.to_json(F.struct(F.struct(F.struct(
         F.when(F.col("conv_id") % 2 == 0, " hello ").otherwise("").alias("public_description"), F.concat(F.lit("u_"), F.col("conv_id").cast("string")).alias("display_name_prefixed")
     ).alias("subreddit")).alias("data")))
-    about = conv.select(user, F.lit("about").alias("kind"), about_body.alias("body")).distinct()
+    about = conv.select(user, F.lit("about").alias("kind"), page, about_body.alias("body"))
     return about.unionByName(listings)
 
 
@@ -469,7 +466,7 @@ def alert_dedupe(spark, sf):
 
 
 @query("alert_sessions", """select user_id, min(ts) as session_start, max(ts) as last_event, count(*) as events from (select *, sum(fresh) over (partition by user_id order by ts, event_id) as run from (
- select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval '30 minutes' then 0 else 1 end as fresh from events)) group by user_id, run""")
+ select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval '30 minutes' then 0 else 1 end as fresh from events)) group by user_id, run""")
 def alert_sessions(spark, sf):
     return A.alert_sessions(table(spark, sf, "events"), ["user_id"], "ts", 1800)
 

@@ -1,8 +1,6 @@
 """Paste listings from landed API bodies or landed archive pages."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,16 +113,14 @@ def demo_pastes(spark: SparkSession) -> DataFrame:
 
 
 def first_nonempty(*frames: DataFrame) -> DataFrame:
-    """Rows of the first frame that has any.
+    """The first frame that has any row, the last one when none has.
 
-    The winner is one aggregated row, matched by equality; frames keep their partitions.
+    Each test is a one-row job that stops at the first row; the chosen frame is returned as it is, with no join around it.
     """
-    tagged = reduce(
-        lambda a, b: a.unionByName(b, allowMissingColumns=True),
-        [f.withColumn("_priority", F.lit(i)) for i, f in enumerate(frames)],
-    )
-    best = tagged.agg(F.min("_priority").alias("_priority"))
-    return tagged.join(F.broadcast(best), "_priority", "left_semi").drop("_priority")
+    for frame in frames[:-1]:
+        if not frame.isEmpty():
+            return frame
+    return frames[-1]
 
 
 def recent_pastes(api: DataFrame, archive: DataFrame, demo: DataFrame, n: int = 30) -> DataFrame:

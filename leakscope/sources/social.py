@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscope import dims
@@ -22,54 +22,56 @@ def _item(platform: str, user: Column, post_id: Column, content: Column, url: Co
     ]
 
 
-def _children(bodies: DataFrame, cap: Column | int) -> DataFrame:
-    """Landed listing bodies -> (username, position, item), cut inside the row that holds the listing."""
+def _children(bodies: DataFrame) -> DataFrame:
+    """Landed listing bodies -> (username, page, position, item). A long listing may come as many pages."""
     items = F.from_json(F.col("body"), LISTING)["data"]["children"]
-    return bodies.select(
-        "username", F.posexplode_outer(F.slice(items, F.lit(1), cap if isinstance(cap, Column) else F.lit(cap))).alias("position", "_c")
-    ).filter(F.col("_c").isNotNull()).select("username", "position", "_c.data.*")
+    return bodies.select("username", "page", F.posexplode_outer(items).alias("position", "_c")).filter(
+        F.col("_c").isNotNull()
+    ).select("username", "page", "position", "_c.data.*")
 
 
 def forum_documents(forum_json: DataFrame, max_posts: int = 25, budget: str = "clamp") -> DataFrame:
-    """Landed JSON (username, kind, body) -> bio, post and comment documents.
+    """Landed JSON (username, kind, body, optional page) -> bio, post and comment documents.
 
-    Comments may use what bio and posts left of `max_posts`. When those already exceed it, `clamp` gives no comments;
-    `as_is` keeps all but the last few, as a slice with a negative end does.
+    Posts are the first `max_posts` of a user. Comments may use what bio and posts left of `max_posts`. When those
+    already exceed it, `clamp` gives no comments; `as_is` keeps all but the last few, as a slice with a negative end does.
     """
     if budget not in ("clamp", "as_is"):
         raise ValueError("budget must be 'clamp' or 'as_is'")
-    raw = forum_json.withColumn("username", normalise_handle(F.col("username"), "forum"))
+    page_no = F.col("page") if "page" in forum_json.columns else F.lit(0)
+    raw = forum_json.withColumns({"username": normalise_handle(F.col("username"), "forum"), "page": page_no})
     about = raw.filter(F.col("kind") == "about")
-    known = about.select("username").distinct()
     info = F.from_json(F.col("body"), ABOUT)["data"]["subreddit"]
     user = F.col("username")
     page = F.concat(F.lit("https://reddit.com/user/"), user)
-    bio = about.select("username", join_non_blank(" | ", info["public_description"], info["display_name_prefixed"]).alias("_t"))
-    bio = bio.filter(F.length("_t") > 0).select(
-        F.lit(0).alias("part"), F.lit(0).alias("position"),
+    order = ["page", "position"]
+    # one profile per user: the first landed one
+    profile = about.groupBy("username").agg(
+        F.min_by(join_non_blank(" | ", info["public_description"], info["display_name_prefixed"]), F.col("page")).alias("_t"))
+    bio = profile.filter(F.length("_t") > 0).select(
+        F.lit(0).alias("part"), F.lit(0).alias("page"), F.lit(0).alias("position"),
         *_item("reddit", user, F.concat(user, F.lit("_bio")), F.col("_t"), page, "bio"),
     )
     link = F.concat(F.lit("https://reddit.com"), F.coalesce("permalink", F.lit("")))
-    submitted = _children(raw.filter(F.col("kind") == "submitted"), max_posts)
+    submitted = limit_per_group(_children(raw.filter(F.col("kind") == "submitted")), "username", order, max_posts)
     text = strip(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("selftext", F.lit(""))))
     posts = submitted.withColumn("_t", text).filter(F.length("_t") > 0).select(
-        F.lit(1).alias("part"), "position",
-        *_item("reddit", user, F.coalesce("id", F.lit("unknown")), F.col("_t"), link, "post"),
-    )
+        F.lit(1).alias("part"), *order, *_item("reddit", user, F.coalesce("id", F.lit("unknown")), F.col("_t"), link, "post"))
     emitted = bio.unionByName(posts).groupBy("username").agg(F.count(F.lit(1)).cast("int").alias("_used"))
-    talk = raw.filter(F.col("kind") == "comments").join(emitted, "username", "left")
+    # a user's comments are first cut to max_posts (cheap on both sides of the shuffle), then to the user's budget
+    talk = limit_per_group(_children(raw.filter(F.col("kind") == "comments")), "username", order, max_posts)
+    mine = Window.partitionBy("username")
+    ranked = talk.withColumns({"_rn": F.row_number().over(mine.orderBy(*order)), "_n": F.count(F.lit(1)).over(mine)})
     left = F.lit(max_posts) - F.coalesce("_used", F.lit(0))
-    n = F.size(F.from_json(F.col("body"), LISTING)["data"]["children"])
-    over = F.greatest(n + left, F.lit(0)) if budget == "as_is" else F.lit(0)
-    comments = _children(talk, F.when(left >= 0, left).otherwise(over))
+    over = F.greatest(F.col("_n") + left, F.lit(0)) if budget == "as_is" else F.lit(0)
+    allowed = F.when(left >= 0, left).otherwise(over)
+    comments = ranked.join(emitted, "username", "left").filter(F.col("_rn") <= allowed)
     comments = comments.withColumn("_t", strip(F.coalesce("body", F.lit("")))).filter(
         (F.length("_t") > 0) & ~F.col("_t").isin(dims.REMOVED_BODIES)
-    ).select(
-        F.lit(2).alias("part"), "position",
-        *_item("reddit", user, F.coalesce("id", F.lit("unknown")), F.col("_t"), link, "post"),
-    )
-    # a profile that could not be fetched yields nothing at all
-    return bio.unionByName(posts).unionByName(comments).join(known, "username", "left_semi").select("part", "position", *ITEM)
+    ).select(F.lit(2).alias("part"), *order, *_item("reddit", user, F.coalesce("id", F.lit("unknown")), F.col("_t"), link, "post"))
+    # a user whose profile could not be fetched yields nothing at all
+    every = bio.unionByName(posts).unionByName(comments)
+    return every.join(profile.select("username"), "username", "left_semi").select("part", *order, *ITEM)
 
 
 def microblog_documents(profile: DataFrame, posts: DataFrame, n: int = 20) -> DataFrame:

@@ -102,7 +102,7 @@ def alert_windows(findings: DataFrame, width: str = "300 seconds", slide: str |
 
 
 def alert_sessions(events: DataFrame, keys: Sequence[str], ts: str, gap_seconds: int) -> DataFrame:
-    """Runs of events with less than `gap_seconds` between neighbours, per key: start, last event, count.
+    """Runs of events with at most `gap_seconds` between neighbours, per key: start, last event, count (as session_window).
 
     Events of one slot as wide as the gap always belong together, so they are first combined per (key, slot) on the map
     side. Only slots are ordered per key, and their number depends on the time range, not on the number of events.
@@ -115,7 +115,7 @@ def alert_sessions(events: DataFrame, keys: Sequence[str], ts: str, gap_seconds:
         .groupBy(*keys, "_slot").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"), F.count(F.lit(1)).alias("_n"))
     )
     order = Window.partitionBy(*keys).orderBy("_slot")
-    fresh = F.coalesce((F.col("_lo") - F.lag("_hi").over(order) >= gap).cast("int"), F.lit(1))
+    fresh = F.coalesce((F.col("_lo") - F.lag("_hi").over(order) > gap).cast("int"), F.lit(1))
     numbered = slots.withColumn("_new", fresh).withColumn(
         "_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return numbered.groupBy(*keys, "_run").agg(
@@ -164,7 +164,8 @@ def alert_stream(spark: SparkSession, landing: str, targets: DataFrame | None, o
         kept = first_per_value(batch, ["detected_at", "source", "path", "start"], ["type", "value"])
         kept = kept.persist()
         try:
-            safe = kept.drop("value").withColumn("snippet", F.replace("snippet", kept["value"], F.col("value_masked")))
+            # neither the value nor a snippet that shows it leaves the query
+            safe = kept.withColumn("snippet", F.replace("snippet", "value", "value_masked")).drop("value")
             safe.write.mode("overwrite").parquet(f"{out}/findings/batch_id={batch_id}")
             alert_batch(safe).write.mode("overwrite").parquet(f"{out}/alerts/batch_id={batch_id}")
         finally:
