@@ -102,7 +102,7 @@ def skip_reasons(spark, sf):
     return with_skip_reason(_named(spark, sf), profile="strict").select("doc_id", "skip_reason")
 
 
-@query("blank_filter", "select doc_id, turn_len from (select conv_id as doc_id, case when turn % 3 = 0 then chr(9) || ' ' when turn % 3 = 1 then null else text end as t, length(text) as turn_len from conversations) where regexp_matches(t, '[^\\s]')")
+@query("blank_filter", "select doc_id, turn_len from (select conv_id as doc_id, case when turn % 3 = 0 then chr(9) || ' ' when turn % 3 = 1 then null else text end as t, cast(length(text) as int) as turn_len from conversations) where regexp_matches(t, '[^\\s]')")
 def blank_filter(spark, sf):
     t = F.when(F.col("turn") % 3 == 0, "\t ").when(F.col("turn") % 3 == 1, None).otherwise(F.col("text"))
     conv = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), t.alias("text"), F.length("text").alias("turn_len"))
@@ -367,7 +367,7 @@ def redacted_text(spark, sf):
     return redact_documents(corpus(spark, sf)).select("doc_id", "text", "redactions")
 
 
-@query("redacted_documents", O.with_(DOC_LIST, """select d.doc_id, length(d.text) - coalesce(sum(length(f.v)), 0) + coalesce(sum(length(f.type) + 2), 0) as chars, cast(count(f.v) as int) as redactions
+@query("redacted_documents", O.with_(DOC_LIST, """select d.doc_id, cast(length(d.text) - coalesce(sum(length(f.v)), 0) + coalesce(sum(length(f.type) + 2), 0) as bigint) as chars, cast(count(f.v) as int) as redactions
  from documents d left join DF f using (doc_id) group by d.doc_id, d.text"""))
 def redacted_documents(spark, sf):
     out = redact_documents(table(spark, sf, "documents"), mode="label", filename=None)
