@@ -10,17 +10,38 @@ from pyspark.sql import functions as F
 from leakscope.functions.text import UNI, let
 
 PIECE_TYPE = "array<struct<start:int,end:int,value:string>>"
+BLOCK = 64
 
 
-def _walk(sizes: Column, pick) -> Column:
-    """Fold over indexes 0..n-1 with a running position; `pick(pos, i)` -> (next position, emitted struct)."""
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast(PIECE_TYPE).alias("out"))
+def _fold(values: Column, init: Column, merge) -> Column:
+    return F.aggregate(values, init, merge)
 
-    def step(acc, i):
-        nxt, item = pick(acc["pos"], i)
-        return F.struct(nxt.alias("pos"), F.concat(acc["out"], F.array(item)).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(0), sizes - 1), init, step, lambda acc: acc["out"])
+def _running(values: Column, init: Column, merge) -> Column:
+    """Fold of all values up to and including each one, for an associative merge.
+
+    Values are folded in blocks, then over the block results, so the work per value is bounded by the block size and
+    no array grows inside a fold (a growing accumulator would be copied at every step).
+    """
+
+    def inside(block: Column, base: Column) -> Column:
+        return F.transform(block, lambda v, i: _fold(F.slice(block, F.lit(1), i + 1), base, merge))
+
+    def in_blocks(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(v), F.lit(BLOCK))
+        sums = F.transform(starts, lambda at: _fold(F.slice(v, at, F.lit(BLOCK)), init, merge))
+        return let(sums, lambda done: F.flatten(F.transform(done, lambda _s, j: let(
+            _fold(F.slice(done, F.lit(1), j), init, merge), lambda base: inside(F.slice(v, j * BLOCK + 1, F.lit(BLOCK)), base)))))
+
+    return let(values, lambda v: F.when(F.size(v) <= BLOCK, inside(v, init)).otherwise(in_blocks(v)))
+
+
+def running_sums(values: Column) -> Column:
+    return _running(values, F.lit(0), lambda acc, v: acc + v)
+
+
+def running_max(values: Column) -> Column:
+    return _running(values, F.lit(0), lambda acc, v: F.greatest(acc, v))
 
 
 def _piece(start: Column, value: Column) -> Column:
@@ -36,13 +57,9 @@ def match_spans(text: Column, pattern: str, flags: str = UNI) -> Column:
     regex = flags + pattern
 
     def locate(found: Column) -> Column:
-        def with_pieces(pieces: Column) -> Column:
-            def pick(pos, i):
-                start = pos + F.length(F.get(pieces, i))
-                item = _piece(start, F.get(found, i))
-                return start + F.length(F.get(found, i)), item
-
-            return _walk(F.size(found), pick)
+        def with_pieces(between: Column) -> Column:
+            steps = F.transform(found, lambda v, i: F.length(F.get(between, i)) + F.coalesce(F.length(F.get(found, i - 1)), F.lit(0)))
+            return let(running_sums(steps), lambda starts: F.transform(found, lambda v, i: _piece(F.get(starts, i), v)))
 
         return F.when(F.size(found) > 0, let(F.split(text, regex, -1), with_pieces)).otherwise(
             F.array().cast(PIECE_TYPE)
@@ -56,18 +73,32 @@ def between_spans(text: Column, separator: str, flags: str = UNI) -> Column:
     regex = flags + separator
 
     def with_seps(seps: Column) -> Column:
-        def with_pieces(pieces: Column) -> Column:
-            def pick(pos, i):
-                value = F.get(pieces, i)
-                return pos + F.length(value) + F.coalesce(F.length(F.get(seps, i)), F.lit(0)), _piece(pos, value)
-
-            return F.filter(_walk(F.size(pieces), pick), lambda p: p["end"] > p["start"])
+        def with_pieces(parts: Column) -> Column:
+            # a piece ends where the pieces and separators up to it end
+            steps = F.transform(parts, lambda v, i: F.length(v) + F.coalesce(F.length(F.get(seps, i - 1)), F.lit(0)))
+            located = let(running_sums(steps), lambda ends: F.transform(parts, lambda v, i: _piece(F.get(ends, i) - F.length(v), v)))
+            return F.filter(located, lambda p: p["end"] > p["start"])
 
         return let(F.split(text, regex, -1), with_pieces)
 
     return let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), with_seps)
 
 
+def holder(pieces: Column, s: Column) -> Column:
+    """The piece that contains span s whole, or null. `pieces` are blocks of sorted, disjoint pieces (see `blocked`)."""
+    inside = lambda x: (x["start"] <= s["start"]) & (s["end"] <= x["end"])
+    block = F.get(
+        F.filter(pieces, lambda b: (F.get(b, F.lit(0))["start"] <= s["start"]) & (s["end"] <= F.element_at(b, -1)["end"])), F.lit(0)
+    )
+    return F.get(F.filter(block, inside), F.lit(0))
+
+
+def blocked(values: Column) -> Column:
+    """Array of blocks of an array, for two-step look-ups."""
+    return let(values, lambda v: F.when(F.size(v) > 0, F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(BLOCK)), lambda at: F.slice(v, at, F.lit(BLOCK)))))
+
+
 def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
@@ -95,25 +126,22 @@ def resolve_overlaps(spans: Column, element_type: str) -> Column:
 
     Spans are first cut into runs that touch each other (a sweep over start order), then the greedy choice is made
     inside each run. Runs are a handful of spans, so a text with many thousand matches stays close to linear.
-    `element_type` is the SQL type of one span; it must have start, end, ordinal and confidence.
+    `element_type` is the SQL type of one span; its first field must be start, and end, ordinal, confidence must exist.
     """
-    many = f"array<{element_type}>"
-    empty = F.array().cast(many)
 
     def closed(run: Column) -> Column:
         return F.when(F.size(run) <= 1, run).otherwise(_greedy(run, element_type))
 
-    def step(acc, s):
-        fresh = s["start"] >= acc["reach"]
-        return F.struct(
-            F.when(fresh, F.concat(acc["done"], closed(acc["run"]))).otherwise(acc["done"]).alias("done"),
-            F.when(fresh, F.array(s)).otherwise(F.concat(acc["run"], F.array(s))).alias("run"),
-            F.greatest(acc["reach"], s["end"]).alias("reach"),
-        )
+    def sweep(ordered: Column) -> Column:
+        def runs(reach: Column) -> Column:
+            first = F.filter(
+                F.sequence(F.lit(0), F.size(ordered) - 1),
+                lambda i: (i == 0) | (F.get(ordered, i)["start"] >= F.get(reach, i - 1)),
+            )
+            return let(first, lambda at: F.flatten(F.transform(at, lambda f, j: closed(
+                F.slice(ordered, f + 1, F.coalesce(F.get(at, j + 1), F.size(ordered)) - f)))))
 
-    init = F.struct(empty.alias("done"), empty.alias("run"), F.lit(0).alias("reach"))
-    by_start = lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)
-    swept = F.aggregate(
-        F.array_sort(spans, by_start), init, step, lambda acc: F.concat(acc["done"], closed(acc["run"]))
-    )
-    return F.when(F.size(spans) <= 1, spans).otherwise(swept)
+        return let(running_max(F.transform(ordered, lambda s: s["end"])), runs)
+
+    # natural order of the struct is start order
+    return F.when(F.size(spans) <= 1, spans).otherwise(let(F.array_sort(spans), sweep))

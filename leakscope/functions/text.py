@@ -46,14 +46,39 @@ def digits_of(col: Column) -> Column:
     return F.regexp_replace(col, r"(?U)\D", "")
 
 
-def context(text: Column, start: Column, end: Column, n: int) -> Column:
+PAGE_BITS = 12
+PAGE = 1 << PAGE_BITS
+
+
+def pages(text: Column) -> Column:
+    """Overlapping pages of a long text (a short one is its only page).
+
+    Cutting characters out of a string walks it from the start, which adds up when a long text holds many spans. Bound
+    once per row with `let`, pages make every cut a short walk.
+    """
+    return F.when(F.length(text) <= 2 * PAGE, F.array(text)).otherwise(
+        F.transform(F.sequence(F.lit(0), F.length(text) - 1, F.lit(PAGE)), lambda i: F.substring(text, i + 1, F.lit(2 * PAGE)))
+    )
+
+
+def cut(text: Column, first: Column, size: Column, paged: Column | None = None) -> Column:
+    """`size` characters from 0-based position `first`."""
+    direct = F.substring(text, first + 1, size)
+    if paged is None:
+        return direct
+    at = F.when(F.size(paged) == 1, F.lit(0)).otherwise(F.shiftright(first, PAGE_BITS))
+    local = F.substring(F.get(paged, at), first - at * PAGE + 1, size)
+    return F.when((F.size(paged) > 1) & (size > PAGE), direct).otherwise(local)
+
+
+def context(text: Column, start: Column, end: Column, n: int, paged: Column | None = None) -> Column:
     """The characters from n before a span to n after it. Offsets count from 0, the end is exclusive."""
     left = F.greatest(start - F.lit(n), F.lit(0))
-    return F.substring(text, left + 1, end + F.lit(n) - left)
+    return cut(text, left, end + F.lit(n) - left, paged)
 
 
-def snippet(text: Column, start: Column, end: Column, n: int = 80) -> Column:
-    return strip(F.replace(context(text, start, end, n), F.lit("\n"), F.lit(" ")))
+def snippet(text: Column, start: Column, end: Column, n: int = 80, paged: Column | None = None) -> Column:
+    return strip(F.replace(context(text, start, end, n, paged), F.lit("\n"), F.lit(" ")))
 
 
 def mask(col: Column) -> Column:

@@ -17,7 +17,7 @@ from leakscope.functions.spans import resolve_overlaps
 from leakscope.functions.text import is_blank, mask, snippet, strip
 from leakscope.operators.numbering import checkpointed
 from leakscope.operators.detect import (
-    FINDING_FIELDS, LIVE, Pattern, context_features, prepared_chunks, score_feature, sentence_spans,
+    FINDING_FIELDS, LIVE, Pattern, prepared_chunks, score_feature, sentence_spans, with_context_features,
 )
 
 BLOCK = 1024
@@ -109,8 +109,8 @@ def scan_in_context(
     t = F.col(text)
     chunks = prepared_chunks(documents, "context", patterns, text, filename, chunk_size, 0, None)
     rows = (
-        chunks.select(*carried, "chunk_no", "chunk_start", t.alias("_t"),
-                      F.explode_outer(context_features(t, patterns)).alias("_f"))
+        with_context_features(chunks, text, patterns)
+        .select(*carried, "chunk_no", "chunk_start", t.alias("_t"), F.explode_outer("_features").alias("_f"))
         .filter(F.col("_f").isNotNull())
         .select(*carried, "chunk_no", "_f", (F.col("_f.start") + F.col("chunk_start")).alias("start"),
                 (F.col("_f.end") + F.col("chunk_start")).alias("end"), F.col("_f.sentence").alias("sentence"),

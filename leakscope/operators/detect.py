@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from leakscope import dims
 from leakscope.functions import scoring as S
 from leakscope.functions import validators as V
-from leakscope.functions.spans import between_spans, match_spans, overlaps, resolve_overlaps
-from leakscope.functions.text import UNI, context, is_blank, let, mask, matches, snippet, strip
+from leakscope.functions.spans import between_spans, blocked, holder, match_spans, resolve_overlaps
+from leakscope.functions.text import UNI, context, cut, is_blank, let, mask, matches, pages, snippet, strip
 from leakscope.operators.screen import chunk_documents, is_binary, is_minified, is_noise_filename
 
+# start comes first: the natural order of spans is their order in the text
 SPAN = (
-    "struct<ordinal:int,type:string,start:int,end:int,value:string,confidence:decimal(6,3),severity:string,"
+    "struct<start:int,end:int,ordinal:int,type:string,value:string,confidence:decimal(6,3),severity:string,"
     "decision:string>"
 )
 SENTENCE_BREAK = r"(?<=[.!?])\s+|\n+"
@@ -91,8 +92,8 @@ def select_patterns(patterns: Sequence[Pattern], *types: str) -> tuple[Pattern,
 
 def _span(p_ordinal, p_type, s, confidence, severity, decision) -> Column:
     return F.struct(
-        F.lit(p_ordinal).alias("ordinal"), F.lit(p_type).alias("type"), s["start"].alias("start"),
-        s["end"].alias("end"), s["value"].alias("value"), confidence.cast("decimal(6,3)").alias("confidence"),
+        s["start"].alias("start"), s["end"].alias("end"), F.lit(p_ordinal).alias("ordinal"),
+        F.lit(p_type).alias("type"), s["value"].alias("value"), confidence.cast("decimal(6,3)").alias("confidence"),
         severity.cast("string").alias("severity"), decision.cast("string").alias("decision"),
     )
 
@@ -101,11 +102,11 @@ def _no_spans(kind: str = SPAN) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-def _valid_matches(text: Column, p: Pattern) -> Column:
+def _valid_matches(text: Column, p: Pattern, paged: Column | None) -> Column:
     found = match_spans(text, p.regex)
     if p.check is None:
         return found
-    return F.filter(found, lambda s: p.check(p.type, s["value"], context(text, s["start"], s["end"], 100)))
+    return F.filter(found, lambda s: p.check(p.type, s["value"], context(text, s["start"], s["end"], 100, paged)))
 
 
 def _gated(text: Column, patterns: Sequence[Pattern], build: Callable[[Pattern], Column], kind: str) -> Column:
@@ -135,13 +136,13 @@ def doc_gate(patterns: Sequence[Pattern], text: Column) -> Column | None:
     return None if not gates or None in gates else any_gate(text, gates)
 
 
-def fast_spans(text: Column, patterns: Sequence[Pattern] = LIVE) -> Column:
+def fast_spans(text: Column, patterns: Sequence[Pattern] = LIVE, paged: Column | None = None) -> Column:
     """Validated matches with the keyword-based confidence, before overlap resolution."""
 
     def build(p: Pattern) -> Column:
         return F.transform(
-            _valid_matches(text, p),
-            lambda s: _span(p.ordinal, p.type, s, S.fast_score(context(text, s["start"], s["end"], 80)),
+            _valid_matches(text, p, paged),
+            lambda s: _span(p.ordinal, p.type, s, S.fast_score(context(text, s["start"], s["end"], 80, paged)),
                             F.lit(None), F.lit("fast regex match")),
         )
 
@@ -178,43 +179,48 @@ def sentence_spans(text: Column) -> Column:
     return between_spans(text, SENTENCE_BREAK)
 
 
-def context_features(text: Column, patterns: Sequence[Pattern] = LIVE) -> Column:
-    """Validated matches with their sentence and the two word signals; masked values and dummy sentences are gone."""
-    raw_kind = "struct<ordinal:int,type:string,start:int,end:int,value:string>"
+RAW = "struct<ordinal:int,type:string,start:int,end:int,value:string>"
+
+
+def raw_spans(text: Column, patterns: Sequence[Pattern] = LIVE, paged: Column | None = None) -> Column:
+    """Validated matches without a score."""
 
     def build(p: Pattern) -> Column:
         return F.transform(
-            _valid_matches(text, p),
+            _valid_matches(text, p, paged),
             lambda s: F.struct(F.lit(p.ordinal).alias("ordinal"), F.lit(p.type).alias("type"),
                                s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")),
         )
 
-    def describe(found: Column) -> Column:
-        def per_text(sentences: Column) -> Column:
-            def one(s: Column) -> Column:
-                holder = F.get(
-                    F.filter(sentences, lambda x: (x["start"] <= s["start"]) & (s["end"] <= x["end"])), F.lit(0)
-                )["value"]
-                return let(
-                    F.coalesce(holder, F.lit("")),
-                    lambda sent: let(
-                        F.when(F.length(sent) > 0, sent).otherwise(text),
-                        lambda ctx: F.struct(
-                            s["ordinal"].alias("ordinal"), s["type"].alias("type"), s["start"].alias("start"),
-                            s["end"].alias("end"), s["value"].alias("value"), sent.alias("sentence"),
-                            matches(ctx, dims.PII_KEYWORDS).alias("keyword"),
-                            matches(ctx, dims.OWNERSHIP).alias("owned"),
-                            (matches(s["value"], dims.MASKED_VALUE) | matches(ctx, dims.DUMMY_CONTEXT)).alias("dropped"),
-                        ),
-                    ),
-                )
-
-            kept = F.filter(F.transform(found, one), lambda f: ~f["dropped"])
-            return F.transform(kept, lambda f: f.dropFields("dropped")).cast(f"array<{FEATURE}>")
-
-        return F.when(F.size(found) > 0, let(sentence_spans(text), per_text)).otherwise(_no_spans(FEATURE))
-
-    return let(_gated(text, patterns, build, raw_kind), describe)
+    return _gated(text, patterns, build, RAW)
+
+
+def describe_spans(text: Column, found: Column, sentences: Column) -> Column:
+    """Raw spans with their sentence and the two word signals; masked values and dummy sentences are gone."""
+
+    def one(s: Column) -> Column:
+        def signals(sent: Column) -> Column:
+            ctx = F.when(F.length(sent) > 0, sent).otherwise(text)
+            return F.struct(
+                s["ordinal"].alias("ordinal"), s["type"].alias("type"), s["start"].alias("start"),
+                s["end"].alias("end"), s["value"].alias("value"), sent.alias("sentence"),
+                matches(ctx, dims.PII_KEYWORDS).alias("keyword"), matches(ctx, dims.OWNERSHIP).alias("owned"),
+                (matches(s["value"], dims.MASKED_VALUE) | matches(ctx, dims.DUMMY_CONTEXT)).alias("dropped"),
+            )
+
+        return let(F.coalesce(holder(sentences, s)["value"], F.lit("")), signals)
+
+    kept = F.filter(F.transform(found, one), lambda f: ~f["dropped"])
+    return F.transform(kept, lambda f: f.dropFields("dropped")).cast(f"array<{FEATURE}>")
+
+
+def with_context_features(df: DataFrame, text: str, patterns: Sequence[Pattern] = LIVE) -> DataFrame:
+    """Adds `_features`: one projection per step, because a step uses the one before it many times."""
+    t = F.col(text)
+    out = df.withColumn("_pages", pages(t)).withColumn("_raw", raw_spans(t, patterns, F.col("_pages")))
+    out = out.withColumn("_sentences", F.when(F.size("_raw") > 0, blocked(sentence_spans(t))))
+    features = F.when(F.size("_raw") > 0, describe_spans(t, F.col("_raw"), F.col("_sentences"))).otherwise(_no_spans(FEATURE))
+    return out.withColumn("_features", features).drop("_raw", "_sentences")
 
 
 def score_feature(f: Column, scores: Column, person_near: Column) -> Column:
@@ -228,11 +234,8 @@ def score_feature(f: Column, scores: Column, person_near: Column) -> Column:
     )
 
 
-def context_spans(text: Column, patterns: Sequence[Pattern] = LIVE, scorer: Scorer = lexical_scorer) -> Column:
-    scored = F.transform(
-        context_features(text, patterns),
-        lambda f: let(scorer(f["sentence"]), lambda sc: score_feature(f, sc, F.lit(False))),
-    )
+def scored_features(features: Column, scorer: Scorer = lexical_scorer) -> Column:
+    scored = F.transform(features, lambda f: let(scorer(f["sentence"]), lambda sc: score_feature(f, sc, F.lit(False))))
     return F.filter(scored, lambda s: s["severity"].isNotNull())
 
 
@@ -244,11 +247,11 @@ CONTEXT_BOOST = "0.350"  # documented default gain of the public recogniser fram
 CONTEXT_REACH = 80
 
 
-def strict_aadhaar_spans(text: Column) -> Column:
+def strict_aadhaar_spans(text: Column, paged: Column | None = None) -> Column:
     """Grouped, then solid twelve digits; a good checksum gives 0.95 (0.98 near a naming word), a bad one 0.45 there."""
 
     def one(s: Column) -> Column:
-        named = matches(context(text, s["start"], s["end"], 100), dims.STRICT_AADHAAR_CONTEXT)
+        named = matches(context(text, s["start"], s["end"], 100, paged), dims.STRICT_AADHAAR_CONTEXT)
         return let(
             F.struct(V.verhoeff_ok(s["value"]).alias("valid"), named.alias("named")),
             lambda q: F.when(
@@ -267,15 +270,16 @@ def strict_aadhaar_spans(text: Column) -> Column:
     return F.filter(F.transform(not_phone, one), lambda s: s.isNotNull())
 
 
-def strict_phone_spans(text: Column) -> Column:
+def strict_phone_spans(text: Column, paged: Column | None = None) -> Column:
     """Prefixed numbers always; bare ones only near a telephone word and clear of prefixed ones."""
 
     def with_prefixed(prefixed: Column) -> Column:
-        bare = F.filter(
+        # both forms end with the same run of ten digits, so they overlap exactly when their ends agree
+        bare = let(F.transform(prefixed, lambda p: p["end"]), lambda ends: F.filter(
             match_spans(text, dims.STRICT_PHONE_BARE),
-            lambda b: ~F.exists(prefixed, lambda p: overlaps(p, b))
-            & matches(context(text, b["start"], b["end"], 80), dims.STRICT_PHONE_CONTEXT),
-        )
+            lambda b: ~F.array_contains(ends, b["end"])
+            & matches(context(text, b["start"], b["end"], 80, paged), dims.STRICT_PHONE_CONTEXT),
+        ))
         emit = lambda conf: (
             lambda s: _span(1, "PHONE_NUMBER_INDIA", s, S.dec(conf), F.lit(None), F.lit(""))
         )
@@ -284,13 +288,13 @@ def strict_phone_spans(text: Column) -> Column:
     return let(match_spans(text, dims.STRICT_PHONE_PREFIXED), with_prefixed)
 
 
-def _word_before(text: Column, s: Column, words: list[str]) -> Column:
+def _word_before(text: Column, s: Column, words: list[str], paged: Column | None) -> Column:
     alternation = "|".join(w.replace(" ", r"\s+") for w in sorted(words, key=len, reverse=True))
     left = F.greatest(s["start"] - CONTEXT_REACH, F.lit(0))
-    return matches(F.substring(text, left + 1, s["start"] - left), rf"\b({alternation})\b")
+    return matches(cut(text, left, s["start"] - left, paged), rf"\b({alternation})\b")
 
 
-def strict_spans(text: Column) -> Column:
+def strict_spans(text: Column, paged: Column | None = None) -> Column:
     """Validator-first detection: base score per pattern, context gain, threshold, then the validated score."""
 
     def recogniser(type_name: str, regexes: list[tuple[str, str]], valid) -> Column:
@@ -302,7 +306,7 @@ def strict_spans(text: Column) -> Column:
                     conf = S.dec(dims.STRICT_VALIDATED[type_name])
                 else:
                     conf = F.when(
-                        _word_before(text, s, dims.STRICT_CONTEXT_WORDS[type_name]),
+                        _word_before(text, s, dims.STRICT_CONTEXT_WORDS[type_name], paged),
                         F.least(S.dec(base) + S.dec(CONTEXT_BOOST), S.dec("1.000")),
                     ).otherwise(S.dec(base))
                 return _span(ordinal, type_name, s, conf, F.lit(None), F.lit(""))
@@ -320,7 +324,7 @@ def strict_spans(text: Column) -> Column:
     upi = rf"\b[a-zA-Z0-9.\-_]{{2,40}}@(?:{handles})\b"
     live = dict(dims.LIVE_PATTERNS)
     digits = F.concat(
-        strict_aadhaar_spans(text), strict_phone_spans(text),
+        strict_aadhaar_spans(text, paged), strict_phone_spans(text, paged),
         recogniser("IN_ABHA", [(dims.ABHA_PATTERN, dims.STRICT_BASE["IN_ABHA"])], V.abha_ok),
         recogniser("IN_CARD", [(dims.STRICT_CARD_GROUPED, "0.800"), (dims.STRICT_CARD_SOLID, "0.550")], V.luhn_ok),
         recogniser("IN_PASSPORT", [(dims.STRICT_PASSPORT, dims.STRICT_BASE["IN_PASSPORT"])], None),
@@ -342,30 +346,43 @@ def strict_spans(text: Column) -> Column:
 FINDING_FIELDS = ["type", "value", "value_masked", "snippet", "confidence", "risk", "annotation", "start", "end"]
 
 
-def finding_struct(text: Column, s: Column, chunk_start: Column, lead: Column) -> Column:
+def finding_struct(text: Column, s: Column, chunk_start: Column, lead: Column, paged: Column | None = None) -> Column:
     shift = chunk_start - lead
     return F.struct(
         s["type"].alias("type"), strip(s["value"]).alias("value"), mask(s["value"]).alias("value_masked"),
-        snippet(text, s["start"], s["end"]).alias("snippet"), s["confidence"].alias("confidence"),
+        snippet(text, s["start"], s["end"], 80, paged).alias("snippet"), s["confidence"].alias("confidence"),
         S.risk_class(s["type"], s["severity"]).alias("risk"), s["decision"].alias("annotation"),
         (s["start"] + shift).alias("start"), (s["end"] + shift).alias("end"), s["severity"].alias("severity"),
     )
 
 
-def span_array(text: Column, profile: str = "fast", patterns: Sequence[Pattern] | None = None,
-               scorer: Scorer | None = None) -> Column:
-    """Resolved spans of one text as an array column."""
-    if profile == "fast":
-        found = fast_spans(text, patterns or LIVE)
-    elif profile == "extended":
-        found = fast_spans(text, patterns or EXTENDED)
-    elif profile == "context":
-        found = context_spans(text, patterns or LIVE, scorer or lexical_scorer)
-    elif profile == "strict":
-        found = strict_spans(text)
-    else:
+@lru_cache(maxsize=128)
+def _found(text: str, profile: str, patterns: tuple[Pattern, ...] | None, scorer: Scorer | None, _session: int) -> Column:
+    """Spans of a text before overlap resolution. Building the expression takes some thousand calls, so it is kept."""
+    t, paged = F.col(text), F.col("_pages")
+    if profile == "context":
+        return scored_features(F.col("_features"), scorer or lexical_scorer)
+    if profile == "strict":
+        return strict_spans(t, paged)
+    return fast_spans(t, patterns or (EXTENDED if profile == "extended" else LIVE), paged)
+
+
+def with_spans(df: DataFrame, profile: str = "fast", patterns: Sequence[Pattern] | None = None,
+               scorer: Scorer | None = None, text: str = "text") -> DataFrame:
+    """Adds `_spans`, the resolved spans of each text, and `_pages`, which later cuts out of the text can use.
+
+    Steps are projections of their own: a step refers to the one before it more than once, so Spark keeps them apart
+    and evaluates each once per row.
+    """
+    if profile not in PROFILES:
         raise ValueError(f"profile must be one of {PROFILES}, not {profile!r}")
-    return let(found, lambda spans: resolve_overlaps(spans, SPAN))
+    kept = tuple(patterns) if patterns is not None else None
+    if profile == "context":
+        out = with_context_features(df, text, kept or LIVE)
+    else:
+        out = df.withColumn("_pages", pages(F.col(text)))
+    out = out.withColumn("_found", _found(text, profile, kept, scorer, id(SparkContext._gateway)))
+    return out.withColumn("_spans", resolve_overlaps(F.col("_found"), SPAN)).drop("_found", "_features")
 
 
 def prepared_chunks(documents: DataFrame, profile: str, patterns: Sequence[Pattern] | None, text: str,
@@ -389,18 +406,6 @@ def prepared_chunks(documents: DataFrame, profile: str, patterns: Sequence[Patte
     return chunks.filter(keep if gate is None else gate & keep).drop("head")
 
 
-@lru_cache(maxsize=128)
-def _findings_array(text: str, profile: str, patterns: tuple[Pattern, ...] | None, scorer: Scorer | None,
-                    chunk_size: int, overlap: int, _session: int) -> Column:
-    """The whole detection expression. Building it takes a few thousand calls, so it is kept per configuration."""
-    t = F.col(text)
-    spans = span_array(t, profile, patterns, scorer)
-    if overlap:
-        own_end = F.col("lead") + F.lit(chunk_size)
-        spans = F.filter(spans, lambda s: (s["start"] >= F.col("lead")) & (s["start"] < own_end))
-    return F.transform(spans, lambda s: finding_struct(t, s, F.col("chunk_start"), F.col("lead")))
-
-
 def scan(
     documents: DataFrame, profile: str = "fast", patterns: Sequence[Pattern] | None = None,
     scorer: Scorer | None = None, *, text: str = "text", filename: str | None = "path",
@@ -416,8 +421,12 @@ def scan(
     if clash:
         raise ValueError(f"rename the document columns {clash}: findings have columns of that name")
     chunks = prepared_chunks(documents, profile, patterns, text, filename, chunk_size, overlap, spread_by)
-    found = _findings_array(text, profile, tuple(patterns) if patterns else None, scorer, chunk_size, overlap,
-                            id(SparkContext._gateway))
+    t, spans = F.col(text), F.col("_spans")
+    if overlap:
+        own_end = F.col("lead") + F.lit(chunk_size)
+        spans = F.filter(spans, lambda s: (s["start"] >= F.col("lead")) & (s["start"] < own_end))
+    found = F.transform(spans, lambda s: finding_struct(t, s, F.col("chunk_start"), F.col("lead"), F.col("_pages")))
+    chunks = with_spans(chunks, profile, patterns, scorer, text)
     carried = [c for c in documents.columns if c != text]
     fields = FINDING_FIELDS + (["severity"] if keep_severity else [])
     # explode_outer: the plain form makes the optimizer add a size() filter that runs the detection a second time
@@ -456,4 +465,4 @@ def extract_spans(documents: DataFrame, patterns: Sequence[Pattern] = LIVE, text
 
 
 __all__ = ["scan", "detect", "extract_spans", "register_pattern", "select_patterns", "Pattern", "LIVE", "EXTENDED",
-           "lexical_scorer", "sentence_spans", "span_array"]
+           "lexical_scorer", "sentence_spans", "with_spans"]

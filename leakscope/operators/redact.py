@@ -6,8 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakscope.functions.text import is_blank, mask
-from leakscope.operators.detect import SPAN, Pattern, span_array
+from leakscope.functions.text import cut, is_blank, let, mask
+from leakscope.operators.detect import SPAN, Pattern, with_spans
 from leakscope.operators.screen import is_binary, is_noise_filename
 
 REDACTED = "***REDACTED***"
@@ -23,22 +23,18 @@ def _cover(value: Column, type_col: Column, mode: str) -> Column:
     raise ValueError("mode must be 'mask', 'label' or 'fixed'")
 
 
-def redacted(text: Column, spans: Column, mode: str = "mask") -> Column:
-    """Text with every span covered. Spans must not overlap; any order is fine."""
-    by_start = F.array_sort(
-        spans, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)
-    )
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("parts"))
+def redacted(text: Column, spans: Column, mode: str = "mask", paged: Column | None = None) -> Column:
+    """Text with every span covered. Spans must not overlap; their natural order must be their order in the text."""
 
-    def step(acc, s):
-        between = F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"])
-        cover = _cover(s["value"], s["type"], mode)
-        return F.struct(s["end"].alias("pos"), F.concat(acc["parts"], F.array(between, cover)).alias("parts"))
+    def assemble(ordered: Column) -> Column:
+        def part(s: Column, i: Column) -> Column:
+            since = F.coalesce(F.get(ordered, i - 1)["end"], F.lit(0))
+            return F.concat(cut(text, since, s["start"] - since, paged), _cover(s["value"], s["type"], mode))
 
-    def finish(acc):
-        return F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["pos"] + 1, F.length(text)))
+        tail = F.substring(text, F.element_at(ordered, -1)["end"] + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(ordered, part), ""), tail)
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(by_start, init, step, finish))
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.array_sort(spans), assemble))
 
 
 def redact_documents(
@@ -53,9 +49,9 @@ def redact_documents(
     skip = is_blank(t) | is_binary(t)
     if filename:
         skip = skip | is_noise_filename(F.col(filename))
-    none = F.array().cast(f"array<{SPAN}>")
-    spans = F.when(skip, none).otherwise(span_array(t, profile, patterns))
     carried = [c for c in documents.columns if c != text]
-    # the array is built once, in its own projection
-    out = documents.select(*carried, t, F.explode_outer(F.array(spans)).alias("_spans"))
-    return out.select(*carried, redacted(t, F.col("_spans"), mode).alias(text), F.size("_spans").alias("redactions"))
+    # a text to skip is scanned as null, which has no spans
+    shown = documents.withColumn("_scanned", F.when(~skip, t))
+    spans = with_spans(shown, profile, patterns, None, "_scanned").withColumn(
+        "_spans", F.coalesce("_spans", F.array().cast(f"array<{SPAN}>")))
+    return spans.select(*carried, redacted(t, F.col("_spans"), mode, F.col("_pages")).alias(text), F.size("_spans").alias("redactions"))
