@@ -108,20 +108,20 @@ def scan_in_context(
     carried = [c for c in documents.columns if c != text]
     t = F.col(text)
     chunks = prepared_chunks(documents, "context", patterns, text, filename, chunk_size, 0, None)
-    rows = (
-        with_context_features(chunks, text, patterns)
-        .select(*carried, "chunk_no", "chunk_start", t.alias("_t"), F.explode_outer("_features").alias("_f"))
-        .filter(F.col("_f").isNotNull())
-        .select(*carried, "chunk_no", "_f", (F.col("_f.start") + F.col("chunk_start")).alias("start"),
-                (F.col("_f.end") + F.col("chunk_start")).alias("end"), F.col("_f.sentence").alias("sentence"),
-                snippet(F.col("_t"), F.col("_f.start"), F.col("_f.end")).alias("snippet"),
-                mask(F.col("_f.value")).alias("value_masked"))
-    )
-    # the span rows are read several times from here on; the texts must not be scanned again for each
-    rows = checkpointed(rows)
-    table = score_sentences(rows, scorer) if scorer is not None else scores
-    table = table.select(F.col("sentence").alias("_sent"), "scores")
-    rows = rows.join(table, F.col("sentence") == F.col("_sent"), "left").drop("_sent")
+    features = with_context_features(chunks, text, patterns)
+    row = lambda f: F.struct(
+        f.alias("_f"), snippet(t, f["start"], f["end"], 80, F.col("_pages")).alias("snippet"), mask(f["value"]).alias("value_masked"))
+    used = F.array_distinct(F.transform("_features", lambda f: f["sentence_key"]))
+    texts = F.transform(F.filter("_sentences", lambda x: F.array_contains(used, x["key"])), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("sentence")))
+    # read several times from here on: written once, so that the texts are not scanned again for each use
+    base = checkpointed(features.select(*carried, "chunk_no", "chunk_start", F.transform("_features", row).alias("_rows"), texts.alias("_texts")))
+    rows = base.select(*carried, "chunk_no", "chunk_start", F.explode("_rows").alias("_r")).select(
+        *carried, "chunk_no", "_r.*", (F.col("_r._f.start") + F.col("chunk_start")).alias("start"),
+        (F.col("_r._f.end") + F.col("chunk_start")).alias("end"), F.col("_r._f.sentence_key").alias("_key"))
+    if scorer is not None:
+        scores = score_sentences(base.select(F.explode("_texts").alias("_x")).select("_x.sentence"), scorer)
+    table = scores.select(F.md5("sentence").alias("_key"), F.col("scores").alias("_scores"))
+    rows = rows.join(table, "_key", "left").drop("_key")
     if entities is not None:
         span_key = [key, "start", "end"]
         people, cond = _close(entities.filter(F.col("label") == "PERSON"), key, ENTITY_REACH)
@@ -131,16 +131,16 @@ def scan_in_context(
         rows = rows.withColumn("_person", F.lit(False))
     no_scores = F.create_map().cast("map<string,double>")
     scored = rows.withColumn(
-        "_s", score_feature(F.col("_f"), F.coalesce("scores", no_scores), F.coalesce("_person", F.lit(False)))
+        "_s", score_feature(F.col("_f"), F.coalesce("_scores", no_scores), F.coalesce("_person", F.lit(False)))
     ).filter(F.col("_s.severity").isNotNull())
     # one group is one slice of at most chunk_size characters
     group = scored.groupBy(key, "chunk_no").agg(
         F.collect_list(F.struct("_s.*", F.struct(*carried, "start", "end", "snippet", "value_masked").alias("_row"))).alias("_g")
     )
-    element = scored.select(
-        F.struct("_s.*", F.struct(*carried, "start", "end", "snippet", "value_masked").alias("_row")).alias("x")
-    ).schema["x"].dataType.simpleString()
-    kept = group.select(F.explode_outer(resolve_overlaps(F.col("_g"), element)).alias("_x")).filter(F.col("_x").isNotNull())
+    slim = F.transform("_g", lambda x, i: F.struct(*[x[c].alias(c) for c in ("start", "end", "ordinal", "confidence")], i.alias("at")))
+    kind = "struct<start:int,end:int,ordinal:int,confidence:decimal(6,3),at:int>"
+    picked = group.withColumn("_slim", slim).withColumn("_kept", resolve_overlaps(F.col("_slim"), kind))
+    kept = picked.select(F.explode_outer(F.transform("_kept", lambda k: F.get("_g", k["at"]))).alias("_x")).filter(F.col("_x").isNotNull())
     out = kept.select(
         *[F.col(f"_x._row.{c}").alias(c) for c in carried],
         F.col("_x.type").alias("type"), strip(F.col("_x.value")).alias("value"),

@@ -152,7 +152,8 @@ def fast_spans(text: Column, patterns: Sequence[Pattern] = LIVE, paged: Column |
 # --- context profile ---------------------------------------------------------------------------------------------
 
 FEATURE = (
-    "struct<ordinal:int,type:string,start:int,end:int,value:string,sentence:string,keyword:boolean,owned:boolean>"
+    "struct<ordinal:int,type:string,start:int,end:int,value:string,sentence_key:string,has_sentence:boolean,"
+    "keyword:boolean,owned:boolean,scores:map<string,double>>"
 )
 
 
@@ -195,37 +196,61 @@ def raw_spans(text: Column, patterns: Sequence[Pattern] = LIVE, paged: Column |
     return _gated(text, patterns, build, RAW)
 
 
-def describe_spans(text: Column, found: Column, sentences: Column) -> Column:
-    """Raw spans with their sentence and the two word signals; masked values and dummy sentences are gone."""
+def _signals(ctx: Column) -> list[Column]:
+    return [matches(ctx, dims.PII_KEYWORDS).alias("keyword"), matches(ctx, dims.OWNERSHIP).alias("owned"),
+            matches(ctx, dims.DUMMY_CONTEXT).alias("dummy")]
+
+
+def described_sentences(text: Column, scorer: Scorer | None) -> Column:
+    """Sentences with their word signals and scores. Each is judged once, however many matches it holds."""
+
+    def one(x: Column) -> Column:
+        scores = scorer(x["value"]) if scorer else F.lit(None)
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"),
+                        F.md5(x["value"]).alias("key"), (~is_blank(x["value"])).alias("filled"), *_signals(x["value"]),
+                        scores.cast("map<string,double>").alias("scores"))
+
+    return F.transform(sentence_spans(text), one)
+
+
+def describe_spans(found: Column, sentences: Column, whole: Column) -> Column:
+    """Raw spans with the signals of their sentence (`whole` where none holds them); masked values and dummy sentences
+    are gone. No text is copied."""
+    none = F.lit(None).cast("map<string,double>")
 
     def one(s: Column) -> Column:
-        def signals(sent: Column) -> Column:
-            ctx = F.when(F.length(sent) > 0, sent).otherwise(text)
+        def build(x: Column) -> Column:
+            held = x["start"].isNotNull()
+            pick = lambda name: F.when(held, x[name]).otherwise(whole[name])
             return F.struct(
                 s["ordinal"].alias("ordinal"), s["type"].alias("type"), s["start"].alias("start"),
-                s["end"].alias("end"), s["value"].alias("value"), sent.alias("sentence"),
-                matches(ctx, dims.PII_KEYWORDS).alias("keyword"), matches(ctx, dims.OWNERSHIP).alias("owned"),
-                (matches(s["value"], dims.MASKED_VALUE) | matches(ctx, dims.DUMMY_CONTEXT)).alias("dropped"),
+                s["end"].alias("end"), s["value"].alias("value"), x["key"].alias("sentence_key"),
+                F.coalesce(x["filled"], F.lit(False)).alias("has_sentence"), pick("keyword").alias("keyword"),
+                pick("owned").alias("owned"), F.coalesce(x["scores"], none).alias("scores"),
+                (matches(s["value"], dims.MASKED_VALUE) | pick("dummy")).alias("dropped"),
             )
 
-        return let(F.coalesce(holder(sentences, s)["value"], F.lit("")), signals)
+        return let(holder(sentences, s), build)
 
     kept = F.filter(F.transform(found, one), lambda f: ~f["dropped"])
     return F.transform(kept, lambda f: f.dropFields("dropped")).cast(f"array<{FEATURE}>")
 
 
-def with_context_features(df: DataFrame, text: str, patterns: Sequence[Pattern] = LIVE) -> DataFrame:
-    """Adds `_features`: one projection per step, because a step uses the one before it many times."""
-    t = F.col(text)
+def with_context_features(df: DataFrame, text: str, patterns: Sequence[Pattern] = LIVE, scorer: Scorer | None = None) -> DataFrame:
+    """Adds `_features`, `_sentences` and `_pages`: one projection per step, because a step uses the one before it
+    many times."""
+    t, some = F.col(text), F.size("_raw") > 0
     out = df.withColumn("_pages", pages(t)).withColumn("_raw", raw_spans(t, patterns, F.col("_pages")))
-    out = out.withColumn("_sentences", F.when(F.size("_raw") > 0, blocked(sentence_spans(t))))
-    features = F.when(F.size("_raw") > 0, describe_spans(t, F.col("_raw"), F.col("_sentences"))).otherwise(_no_spans(FEATURE))
-    return out.withColumn("_features", features).drop("_raw", "_sentences")
+    out = out.withColumn("_sentences", F.when(some, described_sentences(t, scorer))).withColumn(
+        "_whole", F.when(some, F.struct(*_signals(t))))
+    out = out.withColumn("_blocks", blocked(F.col("_sentences")))
+    features = F.when(some, describe_spans(F.col("_raw"), F.col("_blocks"), F.col("_whole"))).otherwise(_no_spans(FEATURE))
+    return out.withColumn("_features", features).drop("_raw", "_blocks", "_whole")
 
 
 def score_feature(f: Column, scores: Column, person_near: Column) -> Column:
     """Feature + class probabilities + entity flag -> span; the caller drops spans without a severity."""
-    has_sentence = ~is_blank(f["sentence"])
+    has_sentence = f["has_sentence"]
     base = S.context_base(f["type"], scores, has_sentence)
     return let(
         S.context_score(base, f["keyword"], f["owned"], person_near),
@@ -234,8 +259,8 @@ def score_feature(f: Column, scores: Column, person_near: Column) -> Column:
     )
 
 
-def scored_features(features: Column, scorer: Scorer = lexical_scorer) -> Column:
-    scored = F.transform(features, lambda f: let(scorer(f["sentence"]), lambda sc: score_feature(f, sc, F.lit(False))))
+def scored_features(features: Column) -> Column:
+    scored = F.transform(features, lambda f: score_feature(f, f["scores"], F.lit(False)))
     return F.filter(scored, lambda s: s["severity"].isNotNull())
 
 
@@ -357,11 +382,11 @@ def finding_struct(text: Column, s: Column, chunk_start: Column, lead: Column, p
 
 
 @lru_cache(maxsize=128)
-def _found(text: str, profile: str, patterns: tuple[Pattern, ...] | None, scorer: Scorer | None, _session: int) -> Column:
+def _found(text: str, profile: str, patterns: tuple[Pattern, ...] | None, _session: int) -> Column:
     """Spans of a text before overlap resolution. Building the expression takes some thousand calls, so it is kept."""
     t, paged = F.col(text), F.col("_pages")
     if profile == "context":
-        return scored_features(F.col("_features"), scorer or lexical_scorer)
+        return scored_features(F.col("_features"))
     if profile == "strict":
         return strict_spans(t, paged)
     return fast_spans(t, patterns or (EXTENDED if profile == "extended" else LIVE), paged)
@@ -378,11 +403,11 @@ def with_spans(df: DataFrame, profile: str = "fast", patterns: Sequence[Pattern]
         raise ValueError(f"profile must be one of {PROFILES}, not {profile!r}")
     kept = tuple(patterns) if patterns is not None else None
     if profile == "context":
-        out = with_context_features(df, text, kept or LIVE)
+        out = with_context_features(df, text, kept or LIVE, scorer or lexical_scorer)
     else:
         out = df.withColumn("_pages", pages(F.col(text)))
-    out = out.withColumn("_found", _found(text, profile, kept, scorer, id(SparkContext._gateway)))
-    return out.withColumn("_spans", resolve_overlaps(F.col("_found"), SPAN)).drop("_found", "_features")
+    out = out.withColumn("_found", _found(text, profile, kept, id(SparkContext._gateway)))
+    return out.withColumn("_spans", resolve_overlaps(F.col("_found"), SPAN)).drop("_found", "_features", "_sentences")
 
 
 def prepared_chunks(documents: DataFrame, profile: str, patterns: Sequence[Pattern] | None, text: str,
