@@ -49,8 +49,8 @@ cut as (
 lengths as (select distinct n from cut),
 places as (
   select doc_id, lengths.n, unnest(range(1, len(w) - lengths.n + 2)) as i, w from words, lengths where len(w) >= lengths.n),
-at as (select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as win from places),
-found as (select distinct at.doc_id, at.i, at.n, cut.item_id from at join cut on at.win = cut.win and at.n = cut.n),
+spots as (select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as win from places),
+found as (select distinct spots.doc_id, spots.i, spots.n, cut.item_id from spots join cut on spots.win = cut.win and spots.n = cut.n),
 hits as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from found) group by doc_id),
 ids as (
   select doc_id, count(*) as n_items, sha256(string_agg(id, ',' order by id)) as digest
