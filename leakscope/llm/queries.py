@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leakscope.llm.decontaminate import contamination_report
 from leakscope.llm.mixing import mix_sources
+from leakscope.llm.neardup import duplicate_report
 from leakscope.llm.pseudonyms import pseudonymise
 from leakscope.llm.quality import score_quality
 
@@ -90,3 +91,31 @@ select documents.*, cast(unnest(range(1, n + 1)) as int) as copy from documents
 def poisson_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Half-way between the sources' own shares and equal shares: weights go with the square root of the counts."""
     return mix_sources(table(spark, sf, "documents"))
+
+
+NEAR_DUPLICATES_SQL = f"""
+with recursive words as (
+  select doc_id, regexp_extract_all({LOWERED.format('text')}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+shingles as (
+  select distinct doc_id, unnest([array_to_string(w[i : i + 3], ' ') for i in range(1, greatest(len(w) - 3, 1) + 1)]) as s
+  from words where len(w) > 0),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+pairs as (
+  select x.doc_id as a, y.doc_id as b, count(*) as n_both from shingles x join shingles y on x.s = y.s and x.doc_id <> y.doc_id
+  group by x.doc_id, y.doc_id),
+links as (
+  select a, b from pairs join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * n_both >= 80 * (p.n + q.n - n_both)),
+reached as (
+  select doc_id as node, doc_id as other from sizes
+  union
+  select reached.node, links.b from reached join links on links.a = reached.other),
+roots as (select node, min(other) as root from reached group by node)
+select words.doc_id, coalesce(n, 0) as n_shingles, coalesce(root, words.doc_id) as component_id,
+  coalesce(root, words.doc_id) = words.doc_id as kept
+from words left join sizes using (doc_id) left join roots on node = words.doc_id
+"""
+
+
+@query("op4_minhash_near_duplicates", NEAR_DUPLICATES_SQL)
+def minhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return duplicate_report(table(spark, sf, "documents"), window=4)
