@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from leakscope.llm.decontaminate import contamination_report
 from leakscope.llm.mixing import mix_sources
 from leakscope.llm.neardup import duplicate_report
+from leakscope.llm.phrases import phrase_dedup
 from leakscope.llm.pseudonyms import pseudonymise
 from leakscope.llm.quality import score_quality
+from leakscope.llm.suffixes import suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,3 +121,28 @@ from words left join sizes using (doc_id) left join roots on node = words.doc_id
 @query("op4_minhash_near_duplicates", NEAR_DUPLICATES_SQL)
 def minhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return duplicate_report(table(spark, sf, "documents"), window=4)
+
+
+PHRASES_SQL = r"""
+with words as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+places as (select doc_id, unnest(range(1, len(w) - 33)) as i, w from words where len(w) >= 35),
+windows as (select doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) as h from places),
+twice as (select h from windows group by h having count(*) > 1),
+hit as (select distinct doc_id, unnest(range(i, i + 35)) as p from windows semi join twice using (h)),
+each as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as p from words),
+kept as (
+  select each.doc_id, string_agg(word, ' ' order by each.p) as text, count(*) as n
+  from each anti join hit on hit.doc_id = each.doc_id and hit.p = each.p group by each.doc_id)
+select words.doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from words left join kept using (doc_id)
+"""
+
+
+@query("op2_phrase_automata", PHRASES_SQL)
+def phrase_automata(spark: SparkSession, sf: str) -> DataFrame:
+    return phrase_dedup(table(spark, sf, "documents"))
+
+
+@query("op3_suffix_arrays")
+def suffix_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf, "documents"))
