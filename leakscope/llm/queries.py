@@ -13,6 +13,7 @@ from leakscope.llm.phrases import phrase_dedup
 from leakscope.llm.pseudonyms import pseudonymise
 from leakscope.llm.quality import score_quality
 from leakscope.llm.suffixes import suffix_dedup
+from leakscope.llm.topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,3 +147,21 @@ def phrase_automata(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_suffix_arrays")
 def suffix_arrays(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup(table(spark, sf, "documents"))
+
+
+TOP_K_SQL = """
+with fit as (
+  select vec_id, [floor(64 * cast(x as double)) for x in embedding] as v from embeddings
+  where embedding is not null and vec_id is not null
+    and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0),
+scores as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+  from fit q join fit c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scores)
+select query_id, cast(rank as int) as rank, vec_id, score from ranked where rank <= 20
+"""
+
+
+@query("op1_threshold_top_k", TOP_K_SQL)
+def threshold_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
