@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leakscope.llm.archives import through_archives
 from leakscope.llm.decontaminate import contamination_report
 from leakscope.llm.mixing import mix_sources
 from leakscope.llm.neardup import duplicate_report
@@ -165,3 +166,19 @@ select query_id, cast(rank as int) as rank, vec_id, score from ranked where rank
 @query("op1_threshold_top_k", TOP_K_SQL)
 def threshold_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+ARCHIVES_SQL = """
+with sized as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+best as (select *, max(page_id) over (partition by payload_digest) as best from sized)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and page_id <> best then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id <> best then best end as refers_to
+from best
+"""
+
+
+@query("op8_legacy_archives", ARCHIVES_SQL)
+def legacy_archives(spark: SparkSession, sf: str) -> DataFrame:
+    return through_archives(table(spark, sf, "pages"))
