@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscope.llm.archives import through_archives
+from leakscope.llm.chat import format_conversations
 from leakscope.llm.decontaminate import contamination_report
 from leakscope.llm.mixing import mix_sources
 from leakscope.llm.neardup import duplicate_report
@@ -182,3 +183,33 @@ from best
 @query("op8_legacy_archives", ARCHIVES_SQL)
 def legacy_archives(spark: SparkSession, sf: str) -> DataFrame:
     return through_archives(table(spark, sf, "pages"))
+
+
+CHAT_SQL = r"""
+with users as (
+  select u.*, len([w for w in regexp_split_to_array(u.text, '[\x09-\x0D\x20]+') if w <> '']) as words, b.turn as before
+  from conversations u left join (select distinct conv_id, turn from conversations where role = 'user') b
+    on b.conv_id = u.conv_id and b.turn = u.turn - 2 where u.role = 'user'),
+calls as (
+  select conv_id, turn, 'c' || conv_id || '-' || turn as call_id, words > 0 as valid,
+    '{"arguments":{"prompt":' || to_json(text) || ',"turn":' || turn || ',"words":' || words || '},"depends_on":['
+      || case when before is null then '' else '"c' || conv_id || '-' || before || '"' end || '],"id":"c' || conv_id || '-' || turn
+      || '","name":"answer","result":' as head
+  from users),
+results as (
+  select conv_id, turn, 'c' || conv_id || '-' || (turn - 1) as call_id, text from conversations where role = 'assistant')
+select coalesce(c.conv_id, r.conv_id) as conv_id, 0 as level, coalesce(c.turn, r.turn) as turn, coalesce(c.call_id, r.call_id) as call_id,
+  case when c.call_id is null then 'orphan' when r.call_id is null then 'unanswered' else 'linked' end as status,
+  coalesce(c.valid, true) as valid,
+  case when c.call_id is null then '{"content":' || to_json(r.text) || ',"id":"' || r.call_id || '","role":"tool"}'
+    else c.head || coalesce(cast(to_json(r.text) as varchar), 'null') || '}' end as record
+from calls c full join results r on c.conv_id = r.conv_id and c.call_id = r.call_id
+union all
+select conv_id, 0, turn, null, 'plain', true, '{"content":' || to_json(text) || ',"role":"' || role || '"}'
+from conversations where role not in ('user', 'assistant')
+"""
+
+
+@query("op5_tool_call_links", CHAT_SQL)
+def tool_call_links(spark: SparkSession, sf: str) -> DataFrame:
+    return format_conversations(table(spark, sf, "conversations")).drop("errors")
