@@ -1,13 +1,15 @@
 """Plain versions of the operators, for small inputs."""
 import hashlib
+import math
 import re
 from collections import Counter
+from datetime import date, timedelta
 
 
 def suffix_dedup(rows, window):
     """rows: (doc_id, text), ids unique."""
     seen, out = set(), {}
-    for doc_id, text in sorted(rows, key=lambda r: r[0]):
+    for doc_id, text in sorted(rows, key=lambda r: -(2**63) if r[0] is None else r[0]):
         raw = (text or "").encode()
         gone = bytearray(len(raw))
         for i in range(len(raw) - window + 1):
@@ -16,8 +18,7 @@ def suffix_dedup(rows, window):
                 gone[i : i + window] = b"\1" * window
             seen.add(s)
         kept = bytes(b for b, g in zip(raw, gone, strict=True) if not g)
-        spans = len(re.findall(b"\1+", bytes(gone)))
-        out[doc_id] = (len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+        out[doc_id] = (len(raw), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())
     return out
 
 
@@ -34,3 +35,138 @@ def phrase_dedup(rows, window):
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
         out[i] = (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
     return out
+
+
+def lowered(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+def near_duplicates(rows, window, percent):
+    """rows: (doc_id, text), ids unique and not null. doc_id -> (size of the set, smallest id of the group)."""
+    sets = {}
+    for i, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
+        sets[i] = {tuple(w[k : k + window]) for k in range(max(1, len(w) - window + 1))} if w else set()
+    of, root = {}, {i: i for i in sets}
+    for i, s in sets.items():
+        for x in s:
+            of.setdefault(x, []).append(i)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = {(min(a, b), max(a, b)) for ids in of.values() for a in ids for b in ids if a != b}
+    for a, b in pairs:
+        both = len(sets[a] & sets[b])
+        if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def top_k(rows, k, scale=64):
+    """rows: (vec_id, embedding), ids unique and usable."""
+    v = {i: [math.floor(x * scale) for x in e] for i, e in rows}
+    out = []
+    for q in (i for i in v if i % 20 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(v[q], v[i], strict=False)), i) for i in v if i != q)
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
+    return sorted(out)
+
+
+# ---------------------------------------------------------------- pseudonyms
+
+def _hash(key, *parts):
+    return int(hashlib.sha256("|".join([key, *map(str, parts)]).encode()).hexdigest()[:15], 16)
+
+
+def feistel(a, b, mod_a, mod_b, kind, key):
+    for i in range(8):
+        if i % 2 == 0:
+            a = (a + _hash(key, kind, i, mod_a, mod_b, b) % mod_a) % mod_a
+        else:
+            b = (b + _hash(key, kind, i, mod_a, mod_b, a) % mod_b) % mod_b
+    return a, b
+
+
+def _decimal(d, kind, key):
+    n = len(d) // 2
+    a, b = feistel(int(d[:n]), int(d[n:]), 10**n, 10 ** (len(d) - n), kind, key)
+    return f"{a:0{n}d}{b:0{len(d) - n}d}"
+
+
+def luhn(body):
+    total = 0
+    for x, c in enumerate(reversed(body)):
+        d = int(c)
+        total += (2 * d - 9 if d > 4 else 2 * d) if x % 2 == 0 else d
+    return (10 - total % 10) % 10
+
+
+def _refill(form, digits):
+    it = iter(digits)
+    return "".join(next(it) if c in "0123456789" else c for c in form)
+
+
+def pseudonym(value, key):
+    digits = re.sub("[^0-9]", "", value)
+    if "@" in value:
+        local, _, domain = value.partition("@")
+        n = len(local) // 2
+        a, b = local[:n], local[n:]
+
+        def shifted(half, other, i):
+            out = ""
+            for at, c in enumerate(half):
+                for base, size in (("a", 26), ("A", 26), ("0", 10)):
+                    if ord(base) <= ord(c) < ord(base) + size:
+                        c = chr(ord(base) + (ord(c) - ord(base) + _hash(key, "email", i, len(local), at, other) % size) % size)
+                        break
+                out += c
+            return out
+
+        for i in range(4):
+            a, b = (shifted(a, b, i), b) if i % 2 == 0 else (a, shifted(b, a, i))
+        return f"{a}{b}@{domain}"
+    if value.startswith("+1"):
+        return _refill(value, "1" + _decimal(digits[1:], "phone", key))
+    if re.fullmatch(r"\d{4}-\d\d-\d\d", value):
+        try:
+            day = (date.fromisoformat(value) - date(1900, 1, 1)).days
+        except ValueError:
+            return value
+        if not 0 <= day < 260 * 281:
+            return value
+        a, b = feistel(day // 281, day % 281, 260, 281, "date", key)
+        return (date(1900, 1, 1) + timedelta(days=a * 281 + b)).isoformat()
+    if "." in value:
+        p = [int(x) for x in value.split(".")]
+        if any(x > 255 for x in p) or re.search(r"(^|\.)0\d", value):
+            return value
+        a, b = feistel(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, "ipv4", key)
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", value):
+        if re.search("^(000|666|9)|^...-00|0000$", value):
+            return value
+        area = int(value[:3])
+        a, b = feistel((area - 2 if area > 666 else area - 1) * 99 + int(value[4:6]) - 1, int(value[7:]) - 1, 898 * 99, 9999, "ssn", key)
+        new = a // 99
+        return f"{new + 2 if new >= 665 else new + 1:03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+    if not 13 <= len(digits) <= 19 or luhn(digits[:-1]) != int(digits[-1]) or not digits.strip("0"):
+        return value
+    body = digits[0] + _decimal(digits[1:-1], "card", key)
+    return _refill(value, body + str(luhn(body)))
+
+
+def copies(doc_id, rate, seed):
+    """The Poisson draw of a document."""
+    u = int(hashlib.md5(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+    n, term = 0, math.exp(-rate)
+    total = term
+    while total <= u:
+        n += 1
+        term *= rate / n
+        total += term
+    return n
