@@ -16,6 +16,9 @@ BINS, BANDS, ROWS = 256, 32, 4
 AGREE = 0.69
 #: Buckets are compared in blocks of so many members.
 BLOCK = 2000
+#: After the stars, a member is compared with so many of those it agrees with best outside its group, round by round; in the
+#: end with all of them.
+NEAREST = (2, 16, None)
 SKETCH = "k_id long, k_hash long, doc_id long, n long, s1 long, s2 long, bands array<long>, sketch binary"
 _EMPTY = np.uint64(2**64 - 1)
 
@@ -139,9 +142,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, window: int,
     return sized.filter((F.col("o.any") > 0) & (100 * F.col("o.both") >= percent * F.col("o.any"))).select("a", "b")
 
 
-def _rest(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of one bucket that lie in different components and whose sketches agree: what the stars may have missed.
-    Buckets are compared in blocks of at most about BLOCK members; only agreeing pairs come out."""
+def _rest(rows: DataFrame, nodes: DataFrame, nearest: int | None) -> DataFrame:
+    """Pairs of one bucket that lie in different groups and whose sketches agree: what the stars may have missed. Of every
+    member that is not in the block's largest group, the `nearest` best (None: all) come out. Buckets are compared in blocks of
+    about BLOCK members."""
     many = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1")
     open_ = rows.join(many.select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), "bucket")
     mine = open_.withColumn("mine", F.pmod(F.xxhash64("node"), "parts").cast("int"))
@@ -154,13 +158,17 @@ def _rest(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         sk = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, BINS)
         mine, cell = pdf["mine"].to_numpy(), (pdf["x"].iat[0], pdf["y"].iat[0])
         roots = pd.factorize(pdf["r1"].astype(str) + ":" + pdf["r2"].astype(str))[0]
-        left, right = np.flatnonzero(mine == cell[0]), np.flatnonzero(mine == cell[1])
+        stray = roots != np.bincount(roots).argmax()
+        sides = [np.flatnonzero(mine == c) for c in dict.fromkeys(cell)]
         found = []
-        for i in left:
-            others = right[(right > i) if cell[0] == cell[1] else slice(None)]
-            others = others[roots[others] != roots[i]]
-            near = others[(sk[others] == sk[i]).mean(axis=1) >= AGREE] if len(others) else others
-            found.append(np.stack([np.full(len(near), i), near], axis=1))
+        for own, others in zip(sides, sides[::-1], strict=True):
+            for i in own[stray[own]]:
+                outside = others[roots[others] != roots[i]]
+                agree = np.count_nonzero(sk[outside] == sk[i], axis=1)
+                near = np.flatnonzero(agree >= AGREE * BINS)
+                if nearest is not None and len(near) > nearest:
+                    near = near[np.argsort(-agree[near], kind="stable")[:nearest]]
+                found.append(np.stack([np.full(len(near), i), outside[near]], axis=1))
         at = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         n1, n2 = pdf["n1"].to_numpy(), pdf["n2"].to_numpy()
         return pd.DataFrame({"a1": n1[at[:, 0]], "a2": n2[at[:, 0]], "b1": n1[at[:, 1]], "b2": n2[at[:, 1]]})
@@ -178,8 +186,8 @@ def near_duplicates(documents: DataFrame, window: int = 5, percent: int = 80) ->
     One row per document: k_id and k_hash (its key, see `row_key`), doc_id, n (size of its set), c_id and c_hash (key of the
     first document of its group). Equal sets are one class; only classes go on. Classes that share a band are candidates: in
     every bucket, the class that shares most buckets with others is the centre and the others are compared with it, so a
-    bucket gives one pair per member. Pairs of one bucket that the stars leave in different groups are compared afterwards,
-    where their sketches agree. Every link is confirmed on the full sets.
+    bucket gives one pair per member. Members that the stars leave in different groups are compared afterwards, where their
+    sketches agree: with the nearest first, in rounds, and in the end with all of these. Every link is confirmed on the full sets.
 
     Null, empty and blank texts have an empty set and a group of their own. Rows that share id and text are one document. A
     null id counts as smaller than any other. An empty table gives no rows. Texts are read whole.
@@ -203,12 +211,18 @@ def near_duplicates(documents: DataFrame, window: int = 5, percent: int = 80) ->
     texts = stored(source.join(wanted, ["k_id", "k_hash"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
     links = stored(_verified(star, nodes, texts, window, percent), "links")
-    root = stored(components(links), "roots")
-    placed = rows.select("bucket", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = stored(_rest(placed, nodes).join(star, ["a", "b"], "left_anti"), "rest")
-    more = stored(_verified(rest, nodes, texts, window, percent), "links")
-    if not more.isEmpty():
-        root = stored(components(links.unionAll(more)), "roots")
+    root, tested = stored(components(links), "roots"), star
+    for nearest in NEAREST:
+        placed = rows.select("bucket", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = stored(_rest(placed, nodes, nearest), "open")
+        if open_.isEmpty():
+            break
+        rest = stored(open_.join(tested, ["a", "b"], "left_anti"), "rest")
+        more = stored(_verified(rest, nodes, texts, window, percent), "links")
+        tested = tested.unionAll(rest)
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            root = stored(components(links), "roots")
 
     classes = nodes.select("node", "first").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = classes.groupBy("root").agg(F.min("first").alias("group"))
