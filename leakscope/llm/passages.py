@@ -73,8 +73,29 @@ def segments(h: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple
     return row[start], start - bounds[row[start]], n | np.where(times > 1, TWICE, 0), lowest[start], content
 
 
-def headers_batch(key: np.ndarray, content: np.ndarray, k_id: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(content)), pa.array(k_id), pa.array(at)], ["key", "content", "k_id", "at"])
+#: Marks a header whose segment is known to recur as a whole; its key only deals it out.
+KNOWN = -(2**63)
+
+
+def headers_batch(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], both: bool) -> pa.RecordBatch:
+    """The headers (key, content, k_id, at) of a batch of documents. Segments that recur within the batch are settled here: the
+    first goes on, the others (and the first, if `both`) are marked KNOWN and dealt out by their place, so a passage that very
+    many documents share doesn't pile up on one key."""
+    key, content, k_id, at = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
+    key, content = signed(key), signed(content)
+    order = np.lexsort((at, k_id, content, key))
+    key, content, k_id, at = key[order], content[order], k_id[order], at[order]
+    same = (key[1:] == key[:-1]) & (content[1:] == content[:-1])
+    once = np.concatenate(([True], ~(same & (k_id[1:] == k_id[:-1]) & (at[1:] == at[:-1])))) if len(key) else np.zeros(0, bool)
+    key, content, k_id, at = key[once], content[once], k_id[once], at[once]
+    again = np.zeros(len(key), bool)
+    again[1:] = (key[1:] == key[:-1]) & (content[1:] == content[:-1])
+    known = again.copy()
+    if both:
+        known[:-1] |= again[1:]
+    place = signed(mix(k_id[known].view(np.uint64) ^ mix(at[known].view(np.uint64))))
+    columns = [np.concatenate(x) for x in ((key[~again], place), (content[~again], np.zeros(len(place), np.int64)), (k_id[~again], k_id[known]), (at[~again], at[known] | KNOWN))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "content", "k_id", "at"])
 
 
 def _judge(both: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -93,6 +114,12 @@ def _judge(both: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             if not batch.num_rows:
                 continue
             new = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            known = new[3] < 0
+            if known.any():
+                yield out([*new[:3], new[3] & ~KNOWN], known, True)
+                new = [x[~known] for x in new]
+                if known.all():
+                    continue
             rows = new if last is None else [np.concatenate((x, y)) for x, y in zip(last, new, strict=True)]
             once = np.ones(len(rows[0]), bool)  # a repeated row of the documents is no other place
             once[1:] = np.any([x[1:] != x[:-1] for x in rows], axis=0)

@@ -29,11 +29,13 @@ def _headers(window: int, gram: int):
         for batch in batches:
             k_id, part = (batch.column(c).to_numpy() for c in ("k_id", "k_part"))
             buf, off = flat(batch.column("text"))
+            parts = []
             for lo, hi in blocks(off):
                 b = buf[off[lo] : off[hi]]
                 start, end, at = words(b, off[lo : hi + 1] - off[lo], ~SPACES)
                 row, first, n, key, content = segments(word_hashes(b, start, end), at, window, gram)
-                yield headers_batch(key, content, k_id[lo + row], packed(first, n, part[lo + row]))
+                parts.append((key, content, k_id[lo + row], packed(first, n, part[lo + row])))
+            yield headers_batch(parts, both=True)
 
     return run
 

@@ -102,9 +102,11 @@ def _headers(window: int, gram: int):
         for batch in batches:
             k_id, part = (batch.column(c).to_numpy() for c in ("k_id", "k_part"))
             buf, off = flat(batch.column("text"))
+            parts = []
             for lo, hi in blocks(off):
                 row, start, n, key, content = segments(buf[off[lo] : off[hi]].astype(np.uint64), off[lo : hi + 1] - off[lo], window, gram)
-                yield headers_batch(key, content, k_id[lo + row], packed(start, n, part[lo + row]))
+                parts.append((key, content, k_id[lo + row], packed(start, n, part[lo + row])))
+            yield headers_batch(parts, both=False)
 
     return run
 
