@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from leakscope.llm.common import blocks, flat, mix, rolled, signed
 from leakscope.llm.passages import HEADERS, by_document, document_key, headers_batch, judged, merged, packed, runs, segments, stretches, unpacked
 
-WINDOW, GRAM = 100, 16
+WINDOW, GRAM = 100, 40
 #: Bytes of stretches whose suffixes are ordered at once; a key's stretches stay together.
 SHARD_BYTES = 1 << 20
 #: Stretches of a hot key are cut into pieces of so many windows, dealt out by the bytes that all of these share.
