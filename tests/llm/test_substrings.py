@@ -56,17 +56,17 @@ def test_phrase_dedup_like_brute_force(spark, hot):
 def test_production_parameters(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.collect()]
-    assert suffixes(df, 100, 16) == brute.suffix_dedup(rows, 100)
+    assert suffixes(df, 100, 40) == brute.suffix_dedup(rows, 100)
     assert phrases(df, 35, 8) == brute.phrase_dedup(rows, 35)
 
 
 def test_repeated_rows_are_one_place(spark):
     text = " ".join(f"w{i}" for i in range(60))
     once = frame(spark, [(1, text), (1, text), (2, "short")])
-    assert suffixes(once, 100, 16)[1][1] == 0 and suffix_dedup(once).count() == 3
+    assert suffixes(once, 100, 40)[1][1] == 0 and suffix_dedup(once).count() == 3
     assert phrases(once, 35, 8)[1][1] == 0 and phrase_dedup(once).count() == 3
     twice = frame(spark, [(1, text), (1, text), (2, text)])
-    assert suffixes(twice, 100, 16)[2][1] == len(text) and suffixes(twice, 100, 16)[1][1] == 0
+    assert suffixes(twice, 100, 40)[2][1] == len(text) and suffixes(twice, 100, 40)[1][1] == 0
     assert {v[1] for v in phrases(twice, 35, 8).values()} == {60}
 
 
@@ -74,7 +74,7 @@ def test_very_long_text_and_empty_table(spark):
     random.seed(4)
     long = " ".join(str(random.randint(0, 10**6)) for _ in range(400_000))
     df = frame(spark, [(1, long), (2, "zz " + long[1000:1400])])
-    assert suffixes(df, 100, 16)[2] [1:3] == (400, 1)
+    assert suffixes(df, 100, 40)[2][1:3] == (400, 1)
     assert 0 < phrases(df, 35, 8)[2][1] <= 70
     empty = frame(spark, [])
     assert suffix_dedup(empty).count() == phrase_dedup(empty).count() == 0
