@@ -144,13 +144,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, window: int,
 
 def _rest(rows: DataFrame, nodes: DataFrame, nearest: int | None) -> DataFrame:
     """Pairs of one bucket that lie in different groups and whose sketches agree: what the stars may have missed. Of every
-    member that is not in the block's largest group, the `nearest` best (None: all) come out. Buckets are compared in blocks of
-    about BLOCK members."""
-    many = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1")
-    open_ = rows.join(many.select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), "bucket")
-    mine = open_.withColumn("mine", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    member that is `open` and not in the block's largest group, the `nearest` best (None: all) come out; a member that has more
+    comes out as a pair with itself, and is open in the next round. Buckets are compared in blocks of about BLOCK members."""
+    many = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("open").alias("any")).filter("r0 != r1 and any")
+    wanted = rows.join(many.select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), "bucket")
+    mine = wanted.withColumn("mine", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     cells = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "root")
+    cells = cells.select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "root", "open")
 
     def pairs(pdf):
         import pandas as pd
@@ -158,26 +158,27 @@ def _rest(rows: DataFrame, nodes: DataFrame, nearest: int | None) -> DataFrame:
         sk = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, BINS)
         mine, cell = pdf["mine"].to_numpy(), (pdf["x"].iat[0], pdf["y"].iat[0])
         roots = pd.factorize(pdf["r1"].astype(str) + ":" + pdf["r2"].astype(str))[0]
-        stray = roots != np.bincount(roots).argmax()
+        stray = (roots != np.bincount(roots).argmax()) & pdf["open"].to_numpy()
         sides = [np.flatnonzero(mine == c) for c in dict.fromkeys(cell)]
         found = []
         for own, others in zip(sides, sides[::-1], strict=True):
+            theirs = sk[others]
             for i in own[stray[own]]:
-                outside = others[roots[others] != roots[i]]
-                agree = np.count_nonzero(sk[outside] == sk[i], axis=1)
-                near = np.flatnonzero(agree >= AGREE * BINS)
+                agree = np.count_nonzero(theirs == sk[i], axis=1)
+                near = np.flatnonzero((agree >= AGREE * BINS) & (roots[others] != roots[i]))
                 if nearest is not None and len(near) > nearest:
                     near = near[np.argsort(-agree[near], kind="stable")[:nearest]]
-                found.append(np.stack([np.full(len(near), i), outside[near]], axis=1))
+                    found.append(np.array([[i, i]]))
+                found.append(np.stack([np.full(len(near), i), others[near]], axis=1))
         at = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         n1, n2 = pdf["n1"].to_numpy(), pdf["n2"].to_numpy()
-        return pd.DataFrame({"a1": n1[at[:, 0]], "a2": n2[at[:, 0]], "b1": n1[at[:, 1]], "b2": n2[at[:, 1]]})
+        return pd.DataFrame({"bucket": pdf["bucket"].iat[0], "a1": n1[at[:, 0]], "a2": n2[at[:, 0]], "b1": n1[at[:, 1]], "b2": n2[at[:, 1]]})
 
     flat_ = cells.join(nodes.select("node", "sketch"), "node").select(
-        "bucket", "x", "y", "mine", F.col("node.s1").alias("n1"), F.col("node.s2").alias("n2"), F.col("root.s1").alias("r1"), F.col("root.s2").alias("r2"), "sketch")
-    out = flat_.groupBy("bucket", "x", "y").applyInPandas(pairs, "a1 long, a2 long, b1 long, b2 long").distinct()
+        "bucket", "x", "y", "mine", F.col("node.s1").alias("n1"), F.col("node.s2").alias("n2"), F.col("root.s1").alias("r1"), F.col("root.s2").alias("r2"), "open", "sketch")
+    out = flat_.groupBy("bucket", "x", "y").applyInPandas(pairs, "bucket long, a1 long, a2 long, b1 long, b2 long")
     node = lambda p: F.struct(F.col(f"{p}1").alias("s1"), F.col(f"{p}2").alias("s2"))
-    return out.select(F.greatest(node("a"), node("b")).alias("a"), F.least(node("a"), node("b")).alias("b")).distinct()
+    return out.select("bucket", F.greatest(node("a"), node("b")).alias("a"), F.least(node("a"), node("b")).alias("b"))
 
 
 def near_duplicates(documents: DataFrame, window: int = 5, percent: int = 80) -> DataFrame:
@@ -211,18 +212,24 @@ def near_duplicates(documents: DataFrame, window: int = 5, percent: int = 80) ->
     texts = stored(source.join(wanted, ["k_id", "k_hash"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
     links = stored(_verified(star, nodes, texts, window, percent), "links")
-    root, tested = stored(components(links), "roots"), star
+    root, tested, again = stored(components(links), "roots"), star, None
     for nearest in NEAREST:
         placed = rows.select("bucket", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = stored(_rest(placed, nodes, nearest), "open")
-        if open_.isEmpty():
-            break
-        rest = stored(open_.join(tested, ["a", "b"], "left_anti"), "rest")
+        if again is None:
+            placed = placed.withColumn("open", F.lit(True))
+        else:
+            placed = placed.join(again.select("bucket").distinct(), "bucket", "left_semi").join(again, ["bucket", "node"], "left")
+            placed = placed.withColumn("open", F.coalesce("open", F.lit(False)))
+        found = stored(_rest(placed, nodes, nearest), "rest")
+        again = found.filter("a = b").select("bucket", F.col("a").alias("node"), F.lit(True).alias("open")).distinct()
+        rest = stored(found.filter("a != b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "rest")
         more = stored(_verified(rest, nodes, texts, window, percent), "links")
         tested = tested.unionAll(rest)
         if not more.isEmpty():
             links = links.unionAll(more)
             root = stored(components(links), "roots")
+        if again.isEmpty():
+            break
 
     classes = nodes.select("node", "first").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = classes.groupBy("root").agg(F.min("first").alias("group"))
