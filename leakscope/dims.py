@@ -25,9 +25,21 @@ UPI_PATTERN = r"\b[a-zA-Z0-9.\-_]{2,40}@[a-zA-Z]{2,64}\b"
 ABHA_PATTERN = r"\b\d{2}-\d{4}-\d{4}-\d{4}\b"
 
 # GSTIN follows PAN, the payment and health identifiers close the list.
-EXTENDED_PATTERNS: list[tuple[str, str]] = (
-    LIVE_PATTERNS[:2] + [("GSTIN", GSTIN_PATTERN)] + LIVE_PATTERNS[2:] + [("UPI", UPI_PATTERN), ("ABHA", ABHA_PATTERN)]
-)
+EXTENDED_PATTERNS: list[tuple[str, str]] = [
+    ("AADHAAR", r"(?<!\d)[1-9]\d{3}[\s\-]?\d{4}[\s\-]?\d{4}(?!\d)"),
+    ("PAN", r"\b[A-Z]{5}[0-9]{4}[A-Z]\b"),
+    ("GSTIN", GSTIN_PATTERN),
+    ("PASSPORT_IN", r"\b[A-PR-WY][1-9]\d{6}\b"),
+    ("VOTER_ID", r"\b[A-Z]{3}[0-9]{7}\b"),
+    ("DL_IN", r"\b[A-Z]{2}[0-9]{2}\s?[0-9]{11}\b"),
+    ("SSN", r"(?<![\d.])\b\d{3}-\d{2}-\d{4}\b(?![\d.])"),
+    ("CREDIT_CARD", r"\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|6011[0-9]{12}|3[47][0-9]{13})\b"),
+    ("IFSC", r"\b[A-Z]{4}0[A-Z0-9]{6}\b"),
+    ("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
+    ("PHONE", r"(?<!\d)(\+91[-\s]?)?[6-9]\d{9}(?!\d)"),
+    ("UPI", UPI_PATTERN),
+    ("ABHA", ABHA_PATTERN),
+]
 
 # Payment handles the strict profile accepts.
 STRICT_UPI_HANDLES = [
@@ -181,6 +193,8 @@ SKIP_FILENAME = (
     r"|\.map$|/__pycache__/|/\.git/)"
 )
 CHUNK_CHARS = 300_000
+# Characters that a piece of a long text also sees of its neighbours.
+CHUNK_OVERLAP = 10_000
 
 # --- pastes (fixed values) ---------------------------------------------------------------------------------------
 

@@ -96,7 +96,7 @@ def score_sentences(sentences: DataFrame, scorer: Callable, column: str = "sente
 def scan_in_context(
     documents: DataFrame, key: str = "doc_id", scorer: Callable | None = None, scores: DataFrame | None = None,
     entities: DataFrame | None = None, patterns: Sequence[Pattern] = LIVE, *, text: str = "text",
-    filename: str | None = "path", chunk_size: int = dims.CHUNK_CHARS, keep_severity: bool = False,
+    filename: str | None = "path", chunk_size: int | None = None, overlap: int = dims.CHUNK_OVERLAP, keep_severity: bool = False,
 ) -> DataFrame:
     """The context profile with a batch classifier (or landed sentence scores) and landed entities.
 
@@ -107,8 +107,11 @@ def scan_in_context(
         raise ValueError("give either a scorer or a table of sentence scores")
     carried = [c for c in documents.columns if c != text]
     t = F.col(text)
-    chunks = prepared_chunks(documents, "context", patterns, text, filename, chunk_size, 0, None)
+    chunks = prepared_chunks(documents, "context", patterns, text, filename, chunk_size, overlap, None)
     features = with_context_features(chunks, text, patterns)
+    if chunk_size is not None and overlap:  # a match belongs to the slice it starts in
+        own = lambda f: (f["start"] >= F.col("lead")) & (f["start"] < F.col("lead") + chunk_size)
+        features = features.withColumn("_features", F.filter("_features", own)).withColumn("chunk_start", F.col("chunk_start") - F.col("lead"))
     row = lambda f: F.struct(
         f.alias("_f"), snippet(t, f["start"], f["end"], 80, F.col("_pages")).alias("snippet"), mask(f["value"]).alias("value_masked"))
     used = F.array_distinct(F.transform("_features", lambda f: f["sentence_key"]))
@@ -133,7 +136,7 @@ def scan_in_context(
     scored = rows.withColumn(
         "_s", score_feature(F.col("_f"), F.coalesce("_scores", no_scores), F.coalesce("_person", F.lit(False)))
     ).filter(F.col("_s.severity").isNotNull())
-    # one group is one slice of at most chunk_size characters
+    # one group is one text, or one slice of it
     group = scored.groupBy(key, "chunk_no").agg(
         F.collect_list(F.struct("_s.*", F.struct(*carried, "start", "end", "snippet", "value_masked").alias("_row"))).alias("_g")
     )

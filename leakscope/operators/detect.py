@@ -411,8 +411,10 @@ def with_spans(df: DataFrame, profile: str = "fast", patterns: Sequence[Pattern]
 
 
 def prepared_chunks(documents: DataFrame, profile: str, patterns: Sequence[Pattern] | None, text: str,
-                    filename: str | None, chunk_size: int, overlap: int, spread_by: str | None) -> DataFrame:
-    """Screened, chunked, re-screened and gated texts: what the expensive expressions run on.
+                    filename: str | None, chunk_size: int | None, overlap: int, spread_by: str | None,
+                    screen: bool = False) -> DataFrame:
+    """Chunked and gated texts: what the expensive expressions run on. `screen` also drops what looks binary (by its first
+    500 characters, and those of each chunk) and, in the strict profile, minified.
 
     File names are tested below the generator. Text predicates sit above it, on its output, so that a text which is
     itself a computed column is computed once and not once per predicate.
@@ -420,11 +422,14 @@ def prepared_chunks(documents: DataFrame, profile: str, patterns: Sequence[Patte
     if filename:
         documents = documents.filter(~is_noise_filename(F.col(filename)))
     t = F.col(text)
-    chunks = chunk_documents(documents.filter(t.isNotNull()), chunk_size, overlap, text, spread_by, head=500)
-    own = F.substring(t, F.col("lead") + 1, F.lit(500))
-    keep = ~is_blank(t) & ~is_binary(F.col("head")) & ((F.col("chunk_no") == 0) | ~is_binary(own))
+    chunks = chunk_documents(documents.filter(t.isNotNull()), chunk_size, overlap, text, spread_by, head=500 if screen else 0)
+    keep = ~is_blank(t)
+    if screen:
+        own = F.substring(t, F.col("lead") + 1, F.lit(500))
+        keep = keep & ~is_binary(F.col("head")) & ((F.col("chunk_no") == 0) | ~is_binary(own))
+        if profile == "strict":
+            keep = keep & ~is_minified(t)
     if profile == "strict":
-        keep = keep & ~is_minified(t)
         gate = any_gate(t, [DIGIT_RUNS, CAPITALS, AT_SIGN])
     else:
         gate = doc_gate(patterns or (EXTENDED if profile == "extended" else LIVE), t)
@@ -434,10 +439,15 @@ def prepared_chunks(documents: DataFrame, profile: str, patterns: Sequence[Patte
 def scan(
     documents: DataFrame, profile: str = "fast", patterns: Sequence[Pattern] | None = None,
     scorer: Scorer | None = None, *, text: str = "text", filename: str | None = "path",
-    chunk_size: int = dims.CHUNK_CHARS, overlap: int = 0, spread_by: str | None = None, keep_severity: bool = False,
+    chunk_size: int | None = None, overlap: int = dims.CHUNK_OVERLAP, spread_by: str | None = None, screen: bool = False,
+    keep_severity: bool = False,
 ) -> DataFrame:
     """Scan every document; the other document columns are carried along to each finding.
 
+    Texts are scanned whole. With `chunk_size`, longer ones are cut, and every piece sees `overlap` characters on both sides:
+    enough for matches and their context windows, and for sentences up to that length. `screen` leaves out what looks binary
+    or minified, as older scans did.
+
     Profiles: `fast` (patterns, validators, keyword confidence), `context` (sentence scores from `scorer`, a function
     from a sentence column to a label -> probability map), `extended` (thirteen patterns, full validators), `strict`
     (validator-first). The plan is one stage: filters, one generator, no exchange, no Python worker.
@@ -445,9 +455,9 @@ def scan(
     clash = sorted(set(documents.columns) & {*FINDING_FIELDS, "severity", "chunk_no", "chunk_start", "lead"} - {text})
     if clash:
         raise ValueError(f"rename the document columns {clash}: findings have columns of that name")
-    chunks = prepared_chunks(documents, profile, patterns, text, filename, chunk_size, overlap, spread_by)
+    chunks = prepared_chunks(documents, profile, patterns, text, filename, chunk_size, overlap, spread_by, screen)
     t, spans = F.col(text), F.col("_spans")
-    if overlap:
+    if chunk_size is not None and overlap:
         own_end = F.col("lead") + F.lit(chunk_size)
         spans = F.filter(spans, lambda s: (s["start"] >= F.col("lead")) & (s["start"] < own_end))
     found = F.transform(spans, lambda s: finding_struct(t, s, F.col("chunk_start"), F.col("lead"), F.col("_pages")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leakscope.functions.text import cut, is_blank, let, mask
 from leakscope.operators.detect import SPAN, Pattern, with_spans
-from leakscope.operators.screen import is_binary, is_noise_filename
+from leakscope.operators.screen import is_noise_filename
 
 REDACTED = "***REDACTED***"
 
@@ -39,14 +39,14 @@ def redacted(text: Column, spans: Column, mode: str = "mask", paged: Column | No
 
 def redact_documents(
     documents: DataFrame, profile: str = "fast", patterns: Sequence[Pattern] | None = None, mode: str = "mask",
-    text: str = "text", filename: str | None = "path",
+    text: str = "text", filename: str | None = None,
 ) -> DataFrame:
     """Documents with their findings covered in place; `redactions` counts them. One stage, no join with findings.
 
-    Texts the scan skips are passed through unchanged. Long texts are scanned whole here, so nothing at a cut is missed.
+    Every text is redacted, whole. With `filename`, texts in lock files and the like are passed through, as `scan` skips them.
     """
     t = F.col(text)
-    skip = is_blank(t) | is_binary(t)
+    skip = is_blank(t)
     if filename:
         skip = skip | is_noise_filename(F.col(filename))
     carried = [c for c in documents.columns if c != text]

@@ -39,7 +39,6 @@ REMEDY = {
     "EMAIL_ADDRESS": "Turn on a second factor, check logins, change the password.",
 }
 NO_REMEDY = "No specific remediation actions required based on detected entity types."
-PLATFORM_PHRASE = {"github": "GitHub repository", "pastebin": "Pastebin pastes", "combined": "GitHub and Pastebin"}
 PLATFORM_LABEL = {"github": "GitHub", "pastebin": "Pastebin", "combined": "GitHub + Pastebin"}
 SNIPPET_SHOWN = 150
 
@@ -69,33 +68,22 @@ def _one_decimal(c: Column) -> Column:
 
 
 def executive_summary() -> Column:
-    """Text over the columns target, scan_type, total, critical, high, top_type, top_count, max_ess and label."""
-    target, total = html_escape(F.col("target")), F.col("total")
-    crit, high, ess = F.col("critical"), F.col("high"), F.coalesce(F.col("max_ess"), F.lit(0.0))
-    clean = F.concat(
-        F.lit("The scan of "), _strong(target), F.lit(" completed successfully. "),
-        _strong(F.lit("No PII leakage was detected")), F.lit(" in any scanned file."),
+    """Text over the columns target, scan_type, total, critical, high, top_type, top_count, max_ess and label: what was
+    found, what most of it is, how bad it is and what to do."""
+    total, worst = F.col("total"), F.coalesce(F.col("max_ess"), F.lit(0.0))
+    name = _strong(html_escape(F.col("target")))
+    severe = F.col("critical") + F.col("high")
+    todo = (
+        F.when(worst >= 7.0, "Act today: revoke, remove and notify.").when(worst >= 4.0, "Plan a clean-up this week.")
+        .otherwise("Keep an eye on it.")
     )
-    word = F.when(crit > 0, "critical").when(high > 0, "significant").otherwise("moderate")
-    where = lookup(PLATFORM_PHRASE, F.col("scan_type"), F.lit("scanned sources"))
-    score = _strong(_one_decimal(ess), F.lit("/10 ("), F.coalesce(F.col("label"), F.lit("INFO")), F.lit(")"))
-    found = F.concat(
-        F.lit("Detected "), _strong(_plural(total, "PII instance")), F.lit(" across the "), where, F.lit(" "),
-        _strong(target), F.lit(". "),
-        F.when(
-            crit + high > 0,
-            F.concat(F.lit("Of these, "), _strong(crit.cast("string"), F.lit(" are critical")), F.lit(" and "),
-                     _strong(high.cast("string"), F.lit(" are high")), F.lit(" severity, indicating "), word,
-                     F.lit(" exposure risk. ")),
-        ).otherwise(""),
-        F.lit("The most frequently leaked data type is "), _strong(display_name(F.col("top_type"))), F.lit(" ("),
-        _plural(F.col("top_count"), "occurrence"), F.lit("). "),
-        F.when(ess >= 7.0, F.concat(F.lit("The Exposure Severity Score peaked at "), score, F.lit(", warranting "),
-                                    _strong(F.lit("immediate remediation")), F.lit(".")))
-        .when(ess >= 4.0, F.concat(F.lit("The Exposure Severity Score is "), score, F.lit(". Remediation is recommended.")))
-        .otherwise(""),
-    )
-    return F.when(total == 0, clean).otherwise(found)
+    parts = [
+        name, F.lit(" ("), lookup(PLATFORM_LABEL, F.col("scan_type"), F.lit("other sources")), F.lit("): "),
+        _strong(_plural(total, "finding")), F.lit(", "), severe.cast("string"), F.lit(" of them critical or high. Most common: "),
+        display_name(F.col("top_type")), F.lit(", "), F.col("top_count").cast("string"), F.lit("x. Worst exposure "),
+        _strong(_one_decimal(worst), F.lit(" of 10, "), F.coalesce(F.col("label"), F.lit("INFO"))), F.lit(". "), todo,
+    ]
+    return F.when(total == 0, F.concat(name, F.lit(": no identifiers, no action needed."))).otherwise(F.concat(*parts))
 
 
 def report_tables(findings: DataFrame, scored: DataFrame, summary: DataFrame, scans: DataFrame, by: str = "scan_id",

@@ -141,12 +141,14 @@ GROUP_LIMIT_PUSHED = 1000
 SALTS = 64
 
 
-def limit_per_group(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
-    """First n rows of each group in the given order, which should be total.
+def limit_per_group(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column | str], n: int | None) -> DataFrame:
+    """First n rows of each group in the given order, which should be total; all rows if n is None.
 
     A rank filter: each task keeps at most n rows of a group before the shuffle. For large n, where Spark does not do
     that by itself, groups are first cut inside salted parts, then once more.
     """
+    if n is None:
+        return df
     names = _keys(keys)
     if n > GROUP_LIMIT_PUSHED:
         plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]

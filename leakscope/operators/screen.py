@@ -1,4 +1,4 @@
-"""Pre-screening and chunking: which texts are scanned at all, and in which pieces."""
+"""Pre-screening and chunking: reasons to skip a text, and pieces of long texts. Scans apply the screens on request only."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
@@ -61,10 +61,10 @@ def screened(df: DataFrame, text: str = "text", filename: str | None = "path", p
 
 
 def chunk_documents(
-    df: DataFrame, size: int = dims.CHUNK_CHARS, overlap: int = 0, text: str = "text", spread_by: str | None = None,
+    df: DataFrame, size: int | None = dims.CHUNK_CHARS, overlap: int = 0, text: str = "text", spread_by: str | None = None,
     head: int = 0,
 ) -> DataFrame:
-    """Cut long texts into slices of `size` characters, one row each, with `chunk_no`, `chunk_start` and `lead`.
+    """Cut long texts into slices of `size` characters (None: whole), one row each, with `chunk_no`, `chunk_start` and `lead`.
 
     `lead` counts characters before `chunk_start` that are included only as context (0 without overlap). With
     `overlap`, a slice also sees that many characters on both sides; a match belongs to the slice it starts in.
@@ -82,7 +82,7 @@ def chunk_documents(
 
     zero = F.lit(0)
     whole = F.array(F.struct(zero.alias("chunk_no"), zero.alias("chunk_start"), zero.alias("lead"), t.alias("part"), *opening))
-    parts = F.when(F.length(t) <= size, whole).otherwise(
+    parts = whole if size is None else F.when(F.length(t) <= size, whole).otherwise(
         F.transform(F.sequence(F.lit(0), F.length(t) - 1, F.lit(size)), cut)
     )
     rest = [c for c in df.columns if c != text]

@@ -69,7 +69,7 @@ def _repo_documents(files: DataFrame, contents: DataFrame, source: Column) -> Da
     })
 
 
-def scan_repo(files: DataFrame, contents: DataFrame, branch: str = "main", max_files: int = 40, profile: str = "fast",
+def scan_repo(files: DataFrame, contents: DataFrame, branch: str = "main", max_files: int | None = None, profile: str = "fast",
               vocab: str = "canonical", patterns: Sequence[Pattern] | None = None, scorer: Callable | None = None) -> ScanResult:
     """Every listed repository as its own scan, one score per file."""
     chosen = FL.scannable_files(FL.resolve_branch(files, branch), max_files).withColumn("scan_id", F.col("repo"))
@@ -79,16 +79,16 @@ def scan_repo(files: DataFrame, contents: DataFrame, branch: str = "main", max_f
     return _result(docs, F.lit("github_public"), scanned, profile, vocab, patterns, scorer, "path")
 
 
-def _owner_files(repos: DataFrame, files: DataFrame, max_repos: int, max_files: int) -> DataFrame:
+def _owner_files(repos: DataFrame, files: DataFrame, max_repos: int | None, max_files: int | None) -> DataFrame:
     newest = FL.latest_repos(repos, max_repos).select(
         "owner", F.col("full_name").alias("repo"), F.col("default_branch").alias("branch"))
     return FL.scannable_files(files.join(newest, ["repo", "branch"]), max_files)
 
 
-def scan_user_repos(repos: DataFrame, files: DataFrame, contents: DataFrame, max_repos: int = 5, max_files: int = 40,
+def scan_user_repos(repos: DataFrame, files: DataFrame, contents: DataFrame, max_repos: int | None = None, max_files: int | None = None,
                     profile: str = "fast", vocab: str = "canonical", patterns: Sequence[Pattern] | None = None,
                     scorer: Callable | None = None) -> ScanResult:
-    """Every owner's newest repositories, one score per repository."""
+    """Every owner's repositories (with `max_repos`, the newest), one score per repository."""
     chosen = _owner_files(repos, files, max_repos, max_files).withColumn("scan_id", F.col("owner"))
     source = F.concat(F.lit("GitHub: "), F.col("repo"), F.lit("/"), F.col("path"))
     docs = _repo_documents(chosen, contents, source).withColumn("source_key", F.col("repo"))
@@ -133,7 +133,7 @@ SOCIAL = ["scan_id", "source_key", "file_path", "source", "source_url", "platfor
           "source_type", "text"]
 
 
-def scan_social(forum_json: DataFrame | None, messages: DataFrame | None, max_posts: int = 20, per_channel: int = 50,
+def scan_social(forum_json: DataFrame | None, messages: DataFrame | None, max_posts: int | None = None, per_channel: int | None = None,
                 profile: str = "fast", vocab: str = "canonical", patterns: Sequence[Pattern] | None = None,
                 scorer: Callable | None = None, scan_id: str = "social") -> ScanResult:
     """Forum users and channels together: one score per user and per channel."""
@@ -165,11 +165,12 @@ def profile_entries(profiles: DataFrame) -> DataFrame:
 
 def scan_profiles(profiles: DataFrame, repos: DataFrame, files: DataFrame, contents: DataFrame, forum_json: DataFrame,
                   messages: DataFrame, profile: str = "fast", vocab: str = "canonical",
-                  patterns: Sequence[Pattern] | None = None, scorer: Callable | None = None) -> ScanResult:
+                  patterns: Sequence[Pattern] | None = None, scorer: Callable | None = None, max_repos: int | None = None,
+                  max_files: int | None = None, max_posts: int | None = None, per_channel: int | None = None) -> ScanResult:
     """Everybody's profile map in one job; the scan id is the user.
 
-    Repository entries read the owner's 3 newest repositories (20 files each), forum entries 20 posts, channel entries
-    50 messages; any other entry is scanned as text itself. An entry without landed documents contributes nothing and
+    Repository entries read the owner's repositories, forum entries a user's posts, channel entries the messages, all of
+    them or the newest so many; any other entry is scanned as text itself. An entry without landed documents contributes nothing and
     disturbs nobody else.
     """
     entries = profile_entries(profiles)
@@ -177,7 +178,7 @@ def scan_profiles(profiles: DataFrame, repos: DataFrame, files: DataFrame, conte
 
     repo_rows = entries.filter(F.col("kind") == "github").select(*user).withColumn(
         "owner", normalise_handle(F.col("value"), "profile_repo_user"))
-    chosen = _owner_files(repos, files, 3, 20)
+    chosen = _owner_files(repos, files, max_repos, max_files)
     repo_source = F.concat(F.lit("GitHub ("), F.col("label"), F.lit("): "), F.col("repo"), F.lit("/"), F.col("path"))
     repo_files = chosen.join(repo_rows, "owner")
     repo_docs = _repo_documents(repo_files, contents, repo_source).withColumns({
@@ -188,14 +189,14 @@ def scan_profiles(profiles: DataFrame, repos: DataFrame, files: DataFrame, conte
 
     forum_rows = entries.filter(F.col("kind") == "reddit").select(*user).withColumn(
         "username", normalise_handle(F.col("value"), "profile_forum"))
-    forum_docs = forum_scan_documents(forum_documents(forum_json, 20)).join(forum_rows, "username").withColumns({
+    forum_docs = forum_scan_documents(forum_documents(forum_json, max_posts)).join(forum_rows, "username").withColumns({
         "source": F.concat(F.lit("Reddit ("), F.col("label"), F.lit("): u/"), F.col("username")),
         "source_key": F.concat_ws("/", F.col("entry_no").cast("string"), F.col("source_key")),
     })
 
     channel_rows = entries.filter(F.col("kind") == "telegram").select(*user).withColumn(
         "channel", normalise_handle(F.col("value"), "profile_channel"))
-    channel_docs = channel_scan_documents(channel_documents(messages, 50)).join(channel_rows, "channel").withColumns({
+    channel_docs = channel_scan_documents(channel_documents(messages, per_channel)).join(channel_rows, "channel").withColumns({
         "source": F.concat(F.lit("Telegram ("), F.col("label"), F.lit("): "), F.col("channel")),
         "source_key": F.concat_ws("/", F.col("entry_no").cast("string"), F.col("source_key")),
         "filename": F.concat(F.lit("telegram_"), F.col("channel")),

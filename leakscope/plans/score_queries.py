@@ -258,16 +258,14 @@ def report_risk(spark, sf):
 
 TOP = "select platform, type as top_type, n as top_n from (select platform, type, n, row_number() over (partition by platform order by n desc, type) as rn from (select platform, type, count(*) as n from (select * replace (" + O.CANON + " as type) from F) group by platform, type)) where rn = 1"
 NAME = O.sql_map(dims.DISPLAY_NAMES, "top_type", "top_type")
-WHERE = "case platform when 'github_public' then 'GitHub repository' when 'pastebin' then 'Pastebin pastes' else 'scanned sources' end"
+WHERE = "case platform when 'github_public' then 'GitHub' when 'pastebin' then 'Pastebin' else 'other sources' end"
 
 
 @query("executive_summary", O.with_(f"{O.F},\n{O.ess_ctes('F', FILE, 'platform')}, SM as ({O.summary_select('E', ['platform'])}), TP as ({TOP}), "
        "RC as (select platform, count(*) as n, count(*) filter (where risk = 'Critical') as crit, count(*) filter (where risk = 'High') as high from F group by platform)",
-       f"""select platform as scan_id, concat('Detected <strong>', n, ' PII instance', case when n = 1 then '' else 's' end, '</strong> across the ', {WHERE}, ' <strong>org &lt;', platform, '&gt;</strong>. ',
- case when crit + high > 0 then concat('Of these, <strong>', crit, ' are critical</strong> and <strong>', high, ' are high</strong> severity, indicating ', case when crit > 0 then 'critical' when high > 0 then 'significant' else 'moderate' end, ' exposure risk. ') else '' end,
- 'The most frequently leaked data type is <strong>', {NAME}, '</strong> (', top_n, ' occurrence', case when top_n = 1 then '' else 's' end, '). ',
- case when max_ess >= 7 then concat('The Exposure Severity Score peaked at <strong>', printf('%.1f', max_ess), '/10 (', label, ')</strong>, warranting <strong>immediate remediation</strong>.')
-  when max_ess >= 4 then concat('The Exposure Severity Score is <strong>', printf('%.1f', max_ess), '/10 (', label, ')</strong>. Remediation is recommended.') else '' end) as summary
+       f"""select platform as scan_id, concat('<strong>org &lt;', platform, '&gt;</strong> (', {WHERE}, '): <strong>', n, ' finding', case when n = 1 then '' else 's' end, '</strong>, ', crit + high,
+ ' of them critical or high. Most common: ', {NAME}, ', ', top_n, 'x. Worst exposure <strong>', printf('%.1f', max_ess), ' of 10, ', label, '</strong>. ',
+ case when max_ess >= 7 then 'Act today: revoke, remove and notify.' when max_ess >= 4 then 'Plan a clean-up this week.' else 'Keep an eye on it.' end) as summary
  from RC join TP using (platform) join SM using (platform)"""))
 def executive_summary(spark, sf):
     return RP.report_tables(*_report_input(spark, sf))["overview"].select("scan_id", F.col("executive_summary").alias("summary"))

@@ -41,7 +41,7 @@ def _tree(spark, sf):
 _LAST = "regexp_extract(path, '[^/]*$')"
 SUFFIX = f"lower(regexp_extract({_LAST}, '^.+(\\.[^.]+)$', 1))"
 SKIPPED = "len(list_intersect(string_split(lower(regexp_replace(path, '[^/]*$', '')), '/'), [" + ", ".join(O.q(d) for d in dims.SKIP_DIRS) + "])) > 0"
-ROUTE = (f"case when size > 1000000 then 'skip' when {SUFFIX} in ({', '.join(O.q(s) for s in dims.TEXT_SUFFIXES)}) then 'text' "
+ROUTE = (f"case when {SUFFIX} in ({', '.join(O.q(s) for s in dims.TEXT_SUFFIXES)}) then 'text' "
          f"when {SUFFIX} in ({', '.join(O.q(s) for s in dims.OCR_SUFFIXES)}) then 'ocr' else 'skip' end")
 
 
@@ -111,7 +111,7 @@ KEYED = "list_filter(list_transform(regexp_extract_all(html, '(?s)<a href=\"([^\
 
 @query("paste_links", f"select page_id, paste_id, concat('https://pastebin.com/raw/', paste_id) as raw_url, paste_id as title, source from (select page_id, unnest(list_distinct({KEYED})) as paste_id, 'archive_scrape' as source from pages) where concat('/', paste_id) not in ('/archive', '/doc_api')")
 def paste_links(spark, sf):
-    return PA.paste_links(table(spark, sf, "pages"), 1000).select("page_id", "paste_id", "raw_url", "title", "source")
+    return PA.paste_links(table(spark, sf, "pages")).select("page_id", "paste_id", "raw_url", "title", "source")
 
 
 @query("paste_tables", "select page_id, paste_id, title, syntax from (select page_id, lpad(cast(page_id as varchar), 8, 'k') as paste_id, 'old' as title, case when page_id % 2 = 0 then 'text' else 'php' end as syntax from pages)")
@@ -221,18 +221,17 @@ def channel_messages(spark, sf):
 
 @query("messages_per_channel", f"select channel, count(*) as messages, min(message_id) as first_id, max(message_id) as last_id from {MESSAGES} where content <> '' group by channel")
 def messages_per_channel(spark, sf):
-    return CH.messages_per_channel(CH.channel_documents(_messages(spark, sf), 100000))
+    return CH.messages_per_channel(CH.channel_documents(_messages(spark, sf)))
 
 
-@query("ocr_documents", "select doc_id, concat('img', doc_id, '_ocr') as source_url, case when doc_id % 3 = 0 then 'true' else 'false' end as is_kyc, cast(length(text) + case when doc_id % 3 = 0 then 24 + 18 else 0 end as int) as chars, true as is_ocr_derived from documents")
+@query("ocr_documents", f"select doc_id, concat('img', doc_id, '_ocr') as source_url, case when doc_id % 3 = 0 then 'true' else 'false' end as is_kyc, md5(case when doc_id % 3 = 0 then concat({O.q(dims.KYC_MARKER_LINE)}, chr(10), 'Election Commission ', text) else text end) as digest, true as is_ocr_derived from documents")
 def ocr_documents(spark, sf):
     k = F.col("doc_id")
     texts = table(spark, sf, "documents").select(
         F.concat(F.lit("img"), k.cast("string")).alias("source_url"), F.lit("r").alias("repo_id"), k.cast("string").alias("file_path"),
-        F.when(k % 3 == 0, F.concat(F.lit("Election Commission "), F.substring("text", 3, 1000000))).otherwise(F.col("text")).alias("text"))
+        F.when(k % 3 == 0, F.concat(F.lit("Election Commission "), F.col("text"))).otherwise(F.col("text")).alias("text"))
     out = CH.ocr_documents(texts)
-    n = F.length("text") - F.when(F.col("metadata.is_kyc") == "true", F.lit(0)).otherwise(0)
-    return out.select(F.col("file_path").cast("bigint").alias("doc_id"), "source_url", F.col("metadata.is_kyc").alias("is_kyc"), n.cast("int").alias("chars"), "is_ocr_derived")
+    return out.select(F.col("file_path").cast("bigint").alias("doc_id"), "source_url", F.col("metadata.is_kyc").alias("is_kyc"), F.md5("text").alias("digest"), "is_ocr_derived")
 
 
 @query("image_documents", "select doc_id, concat('p', doc_id, '_img') as post_id, 'image_ocr' as content_type from documents where doc_id % 3 <> 0")
@@ -247,7 +246,7 @@ def image_documents(spark, sf):
 # --- pipelines ---------------------------------------------------------------------------------------------------
 
 CORPUS_FILES = "RF as (select doc_id, container as repo, concat('src/f', doc_id, '.py') as path from D)"
-CHOSEN = "CHS as (select repo, path, doc_id from (select *, row_number() over (partition by repo order by path) as rn from RF) where rn <= 40)"
+CHOSEN = "CHS as (select repo, path, doc_id from RF)"
 
 
 def _repo_tables(spark, sf):
@@ -276,12 +275,12 @@ def _repos(spark, sf):
                                              F.lit("main").alias("default_branch"), F.lit(False).alias("private"), n.alias("updated_at"))
 
 
-@query("scan_user_repos", O.with_(f"{O.F}, {CORPUS_FILES}, {CHOSEN}, OW as (select *, cast(cast(substr(repo, 5) as int) % 5 as varchar) as owner from CHS where cast(substr(repo, 5) as int) >= 10), "
+@query("scan_user_repos", O.with_(f"{O.F}, {CORPUS_FILES}, {CHOSEN}, OW as (select *, cast(cast(substr(repo, 5) as int) % 5 as varchar) as owner from CHS), "
        f"UF as (select owner as scan_id, repo as source_key, type, conf, 'github_public' as st from F join (select owner, repo, doc_id from OW) using (doc_id)), {O.ess_ctes('UF', ['scan_id', 'source_key'], 'st')}",
        O.summary_select("E", ["scan_id"])))
 def scan_user_repos(spark, sf):
     files, contents = _repo_tables(spark, sf)
-    return P.scan_user_repos(_repos(spark, sf), files, contents, max_repos=3).summary.withColumn("all_types", joined("all_types"))
+    return P.scan_user_repos(_repos(spark, sf), files, contents).summary.withColumn("all_types", joined("all_types"))
 
 
 def _paste_tables(spark, sf):
@@ -299,14 +298,14 @@ def scan_pastes(spark, sf):
     return P.scan_pastes(*_paste_tables(spark, sf)).summary.withColumn("all_types", joined("all_types"))
 
 
-@query("scan_combined", O.with_(f"{O.F}, RFF as (select 'combined' as scan_id, doc_id as source_key, type, conf, 'github_public' as st from F where container = 'repo1'), {O.ess_ctes('RFF', ['scan_id', 'source_key'], 'st')}, {PASTE_F}, "
+@query("scan_combined", O.with_(f"{O.F}, RFF as (select 'combined' as scan_id, doc_id as source_key, type, conf, 'github_public' as st from F), {O.ess_ctes('RFF', ['scan_id', 'source_key'], 'st')}, {PASTE_F}, "
        f"A as ({O.summary_select('E', ['scan_id'])}), B as ({O.summary_select('PE', ['scan_id'])})",
        """select greatest(a.max_ess, b.max_ess) as max_ess, (cast(a.avg_ess * 100 as bigint) + cast(b.avg_ess * 100 as bigint)) / 200.0 as avg_ess, case when a.max_ess >= b.max_ess then a.label else b.label end as label,
  a.total_sources + b.total_sources as total_sources, array_to_string(list_sort(list_distinct(list_concat(string_split(a.all_types, ','), string_split(b.all_types, ',')))), ',') as all_types from A a, B b"""))
 def scan_combined(spark, sf):
     files, contents = _repo_tables(spark, sf)
-    one = P.scan_repo(files.filter(F.col("repo") == "repo1"), contents, max_files=1000000)
-    out = P.scan_combined(one, P.scan_pastes(*_paste_tables(spark, sf))).summary
+    one_repo = files.withColumn("repo", F.lit("all")), contents.withColumn("repo", F.lit("all"))
+    out = P.scan_combined(P.scan_repo(*one_repo), P.scan_pastes(*_paste_tables(spark, sf))).summary
     return out.select("max_ess", "avg_ess", "label", "total_sources", joined("all_types").alias("all_types"))
 
 
@@ -314,7 +313,7 @@ def _leak_messages(spark, sf):
     return corpus(spark, sf).select(F.col("container").alias("channel"), F.col("doc_id").alias("message_id"), F.col("text").alias("content"))
 
 
-CHAN_F = f"CM as (select doc_id, container from (select doc_id, container, row_number() over (partition by container order by doc_id desc) as rn from D) where rn <= 50), TF as (select 'social' as scan_id, concat('channel/', c.container) as source_key, type, conf, 'telegram' as st from F join CM c using (doc_id)), {O.ess_ctes('TF', ['scan_id', 'source_key'], 'st')}"
+CHAN_F = f"CM as (select doc_id, container from D), TF as (select 'social' as scan_id, concat('channel/', c.container) as source_key, type, conf, 'telegram' as st from F join CM c using (doc_id)), {O.ess_ctes('TF', ['scan_id', 'source_key'], 'st')}"
 
 
 @query("scan_social", O.with_(f"{O.F}, {CHAN_F}", f"select source_key, {O.ESS_COLUMNS} from E"))
@@ -337,8 +336,8 @@ def scan_profiles(spark, sf):
     return out.summary.join(counts, "scan_id").select("scan_id", "total_findings", "max_ess", "label")
 
 
-@query("scan_profile_routes", O.with_(f"{O.F}, {CORPUS_FILES}, CH2 as (select * from (select *, row_number() over (partition by repo order by path) as rn from RF) where rn <= 20 and cast(substr(repo, 5) as int) >= 10), "
-       "CM as (select doc_id, container from (select doc_id, container, row_number() over (partition by container order by doc_id desc) as rn from D) where rn <= 50)",
+@query("scan_profile_routes", O.with_(f"{O.F}, {CORPUS_FILES}, CH2 as (select * from RF), "
+       "CM as (select doc_id, container from D)",
        "select concat('user', r_regionkey) as scan_id, 'github' as platform, count(*) as findings from region, F join CH2 using (doc_id) where cast(substr(repo, 5) as int) % 5 = r_regionkey group by all "
        "union all select concat('user', r_regionkey), 'telegram', count(*) from region, F join CM c using (doc_id) where c.container = concat('repo', r_regionkey) group by all"))
 def scan_profile_routes(spark, sf):
@@ -502,10 +501,13 @@ def alert_errors(spark, sf):
 
 
 def _run_stream(frame, name, mode="append"):
-    folder = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    q = frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder).trigger(availableNow=True).start()
+    """Runs a stream over what is there and reads its files from the shared folder, which is new for every run."""
+    spark, run = frame.sparkSession, f"{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{run}"
+    q = (frame.writeStream.format("parquet").queryName(run).outputMode(mode).option("path", f"{folder}/rows")
+         .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
     q.awaitTermination()
-    return frame.sparkSession.table(name)
+    return spark.read.schema(frame.schema).parquet(f"{folder}/rows")
 
 
 @query("stream_findings", O.with_(O.F, "select doc_id, type, value, cast(conf as double) as confidence from F"))

@@ -12,10 +12,10 @@ from leakscope.operators.kyc import is_kyc
 from leakscope.operators.rollups import limit_per_group
 
 
-def channel_documents(messages: DataFrame, n: int = 50) -> DataFrame:
-    """Messages with text among the newest n of every channel.
+def channel_documents(messages: DataFrame, n: int | None = None) -> DataFrame:
+    """Messages with text; with n, those among the newest n of every channel.
 
-    The cut is over all messages of a channel, so messages without text use up places, as a fetch limit does.
+    That cut is over all messages of a channel, so messages without text use up places, as a fetch limit does.
     """
     named = messages.withColumn("channel", normalise_handle(F.col("channel"), "channel")).filter(F.length("channel") > 0)
     newest = limit_per_group(named, "channel", [F.desc("message_id")], n)

@@ -31,15 +31,17 @@ def read_documents(spark: SparkSession, path: str, fmt: str = "parquet", schema=
     raise ValueError(f"unknown format {fmt!r}")
 
 
-def apply_size_policy(df: DataFrame, kind: str, content: str = "content", limit: int = dims.MAX_CONTENT_BYTES) -> DataFrame:
-    """Bytes column -> text column. Repository files over the limit are dropped, pastes are cut to it."""
+def apply_size_policy(df: DataFrame, kind: str, content: str = "content", limit: int | None = None) -> DataFrame:
+    """Bytes column -> text column. With a limit, larger repository files are dropped and pastes are cut to it."""
     body = F.col(content)
     rest = [c for c in df.columns if c != content]
+    if kind not in ("repo", "paste"):
+        raise ValueError("kind must be 'repo' or 'paste'")
+    if limit is None:
+        return df.select(*rest, decode_utf8(body).alias("text"))
     if kind == "repo":
         return df.filter(F.octet_length(body) <= limit).select(*rest, decode_utf8(body).alias("text"))
-    if kind == "paste":
-        return df.select(*rest, decode_utf8(F.substring(body, 1, limit)).alias("text"))
-    raise ValueError("kind must be 'repo' or 'paste'")
+    return df.select(*rest, decode_utf8(F.substring(body, 1, limit)).alias("text"))
 
 
 def file_name(path: Column) -> Column:
@@ -62,18 +64,17 @@ def filter_tree(files: DataFrame) -> DataFrame:
     return files.filter((F.col("type") == "blob") & ~in_skipped_dir(F.col("path")))
 
 
-def route(path: Column, size: Column) -> Column:
+def route(path: Column, size: Column, limit: int | None = None) -> Column:
+    """How a file is read, by its suffix. With a limit, larger files are skipped."""
     kind = suffix(path)
-    return (
-        F.when(size > dims.MAX_LISTED_BYTES, "skip").when(kind.isin(dims.TEXT_SUFFIXES), "text")
-        .when(kind.isin(dims.OCR_SUFFIXES), "ocr").otherwise("skip")
-    )
+    by_kind = F.when(kind.isin(dims.TEXT_SUFFIXES), "text").when(kind.isin(dims.OCR_SUFFIXES), "ocr").otherwise("skip")
+    return by_kind if limit is None else F.when(size > limit, "skip").otherwise(by_kind)
 
 
-def classify_route(files: DataFrame) -> DataFrame:
+def classify_route(files: DataFrame, limit: int | None = None) -> DataFrame:
     return files.withColumns({
         "name": file_name(F.col("path")),
-        "route": route(F.col("path"), F.coalesce(F.col("size"), F.lit(0))),
+        "route": route(F.col("path"), F.coalesce(F.col("size"), F.lit(0)), limit),
     })
 
 
@@ -94,8 +95,8 @@ def files_by_route(files: DataFrame, wanted: str) -> DataFrame:
     return classify_route(filter_tree(files)).filter(F.col("route") == wanted)
 
 
-def scannable_files(files: DataFrame, per_repo: int = 40) -> DataFrame:
-    """The first text files of every repository in tree order."""
+def scannable_files(files: DataFrame, per_repo: int | None = None) -> DataFrame:
+    """The text files of every repository; with `per_repo`, the first ones in tree order."""
     return limit_per_group(files_by_route(files, "text"), ["repo", "branch"], ["path"], per_repo)
 
 
@@ -111,8 +112,8 @@ def resolve_branch(files: DataFrame, branch: str = "main", fallback: str = "mast
     return both.join(chosen, ["repo", "branch"], "left_semi")
 
 
-def latest_repos(repos: DataFrame, n: int = 5) -> DataFrame:
-    """Every owner's newest public repositories."""
+def latest_repos(repos: DataFrame, n: int | None = None) -> DataFrame:
+    """Every owner's public repositories; with n, the newest ones."""
     public = repos.filter(~F.coalesce(F.col("private"), F.lit(False)))
     named = public.withColumn("default_branch", F.coalesce("default_branch", F.lit("main")))
     return limit_per_group(named, "owner", [F.desc("updated_at"), "full_name"], n)

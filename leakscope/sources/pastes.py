@@ -21,10 +21,11 @@ def _paste(key: Column, title: Column, syntax: Column, size: Column, expire: Col
     ]
 
 
-def pastes_from_json(raw: DataFrame, n: int = 30, body: str = "body") -> DataFrame:
-    """Landed API bodies (a JSON array each) -> pastes: the first n items of a body, without those that have no key."""
+def pastes_from_json(raw: DataFrame, n: int | None = None, body: str = "body") -> DataFrame:
+    """Landed API bodies (a JSON array each) -> pastes: the items of a body (with n, the first ones) that have a key."""
     item = "array<struct<key:string,title:string,syntax:string,size:string,expire:string>>"
-    items = F.slice(F.from_json(F.col(body), item), 1, min(n, API_LIMIT))
+    items = F.from_json(F.col(body), item)
+    items = items if n is None else F.slice(items, 1, n)
     keep = [c for c in raw.columns if c != body]
     rows = raw.select(*keep, F.posexplode_outer(items).alias("position", "_i")).filter(F.length("_i.key") > 0)
     return rows.select(
@@ -89,13 +90,13 @@ def _table(html: Column) -> Column:
     return F.filter(linked, lambda x: F.length(x["key"]) > 0)
 
 
-def paste_links(pages: DataFrame, n: int = 30, page_key: str = "page_id", html: str = "html") -> DataFrame:
-    """Pastes linked from archive pages, first occurrence of a key per page, at most n per page.
+def paste_links(pages: DataFrame, n: int | None = None, page_key: str = "page_id", html: str = "html") -> DataFrame:
+    """Pastes linked from archive pages, first occurrence of a key per page; with n, the first n per page.
 
     All of it happens inside the row of the page: no shuffle, no join with the navigation list.
     """
-    modern = F.slice(_first_of_each(_modern(F.col(html))), 1, n)
-    older = F.slice(_first_of_each(_table(F.col(html))), 1, n)
+    some = lambda links: links if n is None else F.slice(links, 1, n)
+    modern, older = some(_first_of_each(_modern(F.col(html)))), some(_first_of_each(_table(F.col(html))))
     staged = pages.select(page_key, html, F.explode_outer(F.array(modern)).alias("_m"))
     links = F.when(F.size("_m") > 0, F.col("_m")).otherwise(older)
     rows = staged.select(page_key, F.posexplode_outer(links).alias("position", "_l")).filter(F.col("_l").isNotNull())
@@ -123,7 +124,7 @@ def first_nonempty(*frames: DataFrame) -> DataFrame:
     return frames[-1]
 
 
-def recent_pastes(api: DataFrame, archive: DataFrame, demo: DataFrame, n: int = 30) -> DataFrame:
-    """API listing, else archive, else the fixed list; the first n by position."""
-    order = ["position", "paste_id"]
-    return first_nonempty(api, archive, demo).orderBy(*order).limit(n)
+def recent_pastes(api: DataFrame, archive: DataFrame, demo: DataFrame, n: int | None = None) -> DataFrame:
+    """API listing, else archive, else the fixed list; with n, the first ones by position."""
+    found = first_nonempty(api, archive, demo)
+    return found if n is None else found.orderBy("position", "paste_id").limit(n)

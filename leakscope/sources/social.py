@@ -30,10 +30,10 @@ def _children(bodies: DataFrame) -> DataFrame:
     ).select("username", "page", "position", "_c.data.*")
 
 
-def forum_documents(forum_json: DataFrame, max_posts: int = 25, budget: str = "clamp") -> DataFrame:
-    """Landed JSON (username, kind, body, optional page) -> bio, post and comment documents.
+def forum_documents(forum_json: DataFrame, max_posts: int | None = None, budget: str = "clamp") -> DataFrame:
+    """Landed JSON (username, kind, body, optional page) -> bio, post and comment documents: all of a user's.
 
-    Posts are the first `max_posts` of a user. Comments may use what bio and posts left of `max_posts`. When those
+    With `max_posts`, posts are the first `max_posts` of a user. Comments may use what bio and posts left of `max_posts`. When those
     already exceed it, `clamp` gives no comments; `as_is` keeps all but the last few, as a slice with a negative end does.
     """
     if budget not in ("clamp", "as_is"):
@@ -61,11 +61,12 @@ def forum_documents(forum_json: DataFrame, max_posts: int = 25, budget: str = "c
     # a user's comments are first cut to max_posts (cheap on both sides of the shuffle), then to the user's budget
     talk = limit_per_group(_children(raw.filter(F.col("kind") == "comments")), "username", order, max_posts)
     mine = Window.partitionBy("username")
-    ranked = talk.withColumns({"_rn": F.row_number().over(mine.orderBy(*order)), "_n": F.count(F.lit(1)).over(mine)})
-    left = F.lit(max_posts) - F.coalesce("_used", F.lit(0))
-    over = F.greatest(F.col("_n") + left, F.lit(0)) if budget == "as_is" else F.lit(0)
-    allowed = F.when(left >= 0, left).otherwise(over)
-    comments = ranked.join(emitted, "username", "left").filter(F.col("_rn") <= allowed)
+    comments = talk
+    if max_posts is not None:
+        ranked = talk.withColumns({"_rn": F.row_number().over(mine.orderBy(*order)), "_n": F.count(F.lit(1)).over(mine)})
+        left = F.lit(max_posts) - F.coalesce("_used", F.lit(0))
+        over = F.greatest(F.col("_n") + left, F.lit(0)) if budget == "as_is" else F.lit(0)
+        comments = ranked.join(emitted, "username", "left").filter(F.col("_rn") <= F.when(left >= 0, left).otherwise(over))
     comments = comments.withColumn("_t", strip(F.coalesce("body", F.lit("")))).filter(
         (F.length("_t") > 0) & ~F.col("_t").isin(dims.REMOVED_BODIES)
     ).select(F.lit(2).alias("part"), *order, *_item("reddit", user, F.coalesce("id", F.lit("unknown")), F.col("_t"), link, "post"))
@@ -74,7 +75,7 @@ def forum_documents(forum_json: DataFrame, max_posts: int = 25, budget: str = "c
     return every.join(profile.select("username"), "username", "left_semi").select("part", *order, *ITEM)
 
 
-def microblog_documents(profile: DataFrame, posts: DataFrame, n: int = 20) -> DataFrame:
+def microblog_documents(profile: DataFrame, posts: DataFrame, n: int | None = None) -> DataFrame:
     """profile(username, bio, name, location, website), posts(username, position, text, href) -> documents."""
     prof = profile.withColumn("username", normalise_handle(F.col("username"), "twitter"))
     user = F.col("username")
@@ -95,7 +96,7 @@ def microblog_documents(profile: DataFrame, posts: DataFrame, n: int = 20) -> Da
     return union_findings(bio, meta, body)
 
 
-def professional_documents(profile: DataFrame, experience: DataFrame, activity: DataFrame, n: int = 15) -> DataFrame:
+def professional_documents(profile: DataFrame, experience: DataFrame, activity: DataFrame, n: int | None = None) -> DataFrame:
     """Profile columns with candidates (name_1.., headline_1.., location_1.., about_1..) plus experience and activity
     rows (username, position, text) -> documents. The first candidate present counts, even when it is empty.
     """
@@ -111,13 +112,13 @@ def professional_documents(profile: DataFrame, experience: DataFrame, activity:
         "_t", join_non_blank(" | ", *[first(s) for s in ("name", "headline", "location", "about")])
     ).filter(F.length("_t") > 0).select(*_item("linkedin", user, F.concat(user, F.lit("_bio")), F.col("_t"), page, "bio"))
 
-    def listed(df: DataFrame, tag: str, cap: int, url: Column) -> DataFrame:
+    def listed(df: DataFrame, tag: str, cap: int | None, url: Column) -> DataFrame:
         cut = limit_per_group(handle(df), "username", ["position"], cap)
         return cut.withColumn("_t", strip(F.coalesce("text", F.lit("")))).filter(F.length("_t") > 20).select(
             *_item("linkedin", user, F.concat(user, F.lit(f"_{tag}_"), F.col("position").cast("string")), F.col("_t"), url, "post"))
 
     feed = F.concat(page, F.lit("recent-activity/all/"))
-    return union_findings(bio, listed(experience, "exp", n // 2, page), listed(activity, "activity", n, feed))
+    return union_findings(bio, listed(experience, "exp", None if n is None else n // 2, page), listed(activity, "activity", n, feed))
 
 
 PLATFORMS: dict[str, Callable[..., DataFrame]] = {
