@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leakscope.llm.common import SPACES, blocks, flat, rolled, word_hashes, words
+from leakscope.llm.common import SPACES, blocks, flat, rolled, stored, word_hashes, words
 from leakscope.llm.passages import HEADERS, by_document, document_key, headers_batch, judged, merged, packed, runs, segments, stretches, unpacked
 
 WINDOW, GRAM = 35, 8
@@ -122,7 +122,7 @@ def _covered(rows: list[tuple]) -> pa.RecordBatch:
 def confirmed_passages(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """k_id, k_part, lo, hi (words): passages in which every window recurs somewhere; they may overlap."""
     docs = documents.select(*document_key(), F.coalesce("text", F.lit("")).alias("text"))
-    found = judged(docs.mapInArrow(_headers(window, gram), HEADERS), both=True)
+    found = stored(judged(docs.mapInArrow(_headers(window, gram), HEADERS), both=True), "segments")  # read three times
     keyed = by_document(found).join(docs, ["k_id", "k_part"])
     cut = keyed.select("k_id", "k_part", "text", "found").mapInArrow(_cut(window), STRETCHES)
     own = cut.repartition("shard").sortWithinPartitions("shard", "words", "k_id", "lo").mapInArrow(_confirmed(window), COVERED)

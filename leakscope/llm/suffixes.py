@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leakscope.llm.common import blocks, flat, mix, rolled, signed
+from leakscope.llm.common import blocks, flat, mix, rolled, signed, stored
 from leakscope.llm.passages import HEADERS, by_document, document_key, headers_batch, judged, merged, packed, runs, segments, stretches, unpacked
 
 WINDOW, GRAM = 100, 40
@@ -205,7 +205,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_stretches(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """k_id, k_part, lo, hi (bytes): stretches that cover exactly the windows which also start earlier; they may overlap."""
     docs = documents.select(*document_key(), F.coalesce("text", F.lit("")).alias("text"))
-    found = judged(docs.mapInArrow(_headers(window, gram), HEADERS), both=False)
+    found = stored(judged(docs.mapInArrow(_headers(window, gram), HEADERS), both=False), "segments")  # read three times
     keyed = by_document(found).join(docs, ["k_id", "k_part"])
     cut = keyed.select("k_id", "k_part", "text", "found").mapInArrow(_cut(window, gram), STRETCHES)
     ordered = cut.repartition("shard").sortWithinPartitions("shard", "bytes", "k_id", "lo").mapInArrow(_ordered(window), COVERED)
