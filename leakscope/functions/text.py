@@ -90,6 +90,26 @@ def mask(col: Column) -> Column:
     )
 
 
+#: Matches are 8 characters long at least, so a window of 80 on both sides touches no more neighbours than this.
+NEIGHBOURS = 24
+
+
+def masked_snippet(text: Column, spans: Column, i: Column, n: int = 80, paged: Column | None = None) -> Column:
+    """The snippet of span i with every span that it touches masked, by position. Spans are in the order of the text and
+    don't overlap."""
+    own = F.get(spans, i)
+    first, last = F.greatest(own["start"] - F.lit(n), F.lit(0)), own["end"] + F.lit(n)
+    near = F.filter(F.slice(spans, F.greatest(i - NEIGHBOURS, F.lit(0)) + 1, F.lit(2 * NEIGHBOURS + 1)), lambda x: (x["end"] > first) & (x["start"] < last))
+
+    def step(acc: Column, x: Column) -> Column:
+        gap = cut(text, acc["at"], F.greatest(x["start"] - acc["at"], F.lit(0)), paged)
+        return F.struct(x["end"].alias("at"), F.concat(acc["out"], gap, mask(x["value"])).alias("out"))
+
+    shown = F.aggregate(near, F.struct(first.alias("at"), F.lit("").alias("out")), step,
+                        lambda acc: F.concat(acc["out"], cut(text, acc["at"], F.greatest(last - acc["at"], F.lit(0)), paged)))
+    return strip(F.replace(shown, F.lit("\n"), F.lit(" ")))
+
+
 def html_escape(col: Column) -> Column:
     out = F.coalesce(col, F.lit(""))
     for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):

@@ -17,7 +17,7 @@ from leakscope import dims
 from leakscope.functions import scoring as S
 from leakscope.functions import validators as V
 from leakscope.functions.spans import between_spans, blocked, holder, match_spans, resolve_overlaps
-from leakscope.functions.text import UNI, context, cut, is_blank, let, mask, matches, pages, snippet, strip
+from leakscope.functions.text import UNI, context, cut, is_blank, let, mask, masked_snippet, matches, pages, snippet, strip
 from leakscope.operators.screen import chunk_documents, is_binary, is_minified, is_noise_filename
 
 # start comes first: the natural order of spans is their order in the text
@@ -371,13 +371,15 @@ def strict_spans(text: Column, paged: Column | None = None) -> Column:
 FINDING_FIELDS = ["type", "value", "value_masked", "snippet", "confidence", "risk", "annotation", "start", "end"]
 
 
-def finding_struct(text: Column, s: Column, chunk_start: Column, lead: Column, paged: Column | None = None) -> Column:
+def finding_struct(text: Column, s: Column, chunk_start: Column, lead: Column, paged: Column | None = None,
+                   masked: Column | None = None) -> Column:
     shift = chunk_start - lead
     return F.struct(
         s["type"].alias("type"), strip(s["value"]).alias("value"), mask(s["value"]).alias("value_masked"),
         snippet(text, s["start"], s["end"], 80, paged).alias("snippet"), s["confidence"].alias("confidence"),
         S.risk_class(s["type"], s["severity"]).alias("risk"), s["decision"].alias("annotation"),
         (s["start"] + shift).alias("start"), (s["end"] + shift).alias("end"), s["severity"].alias("severity"),
+        *([masked.alias("masked_snippet")] if masked is not None else []),
     )
 
 
@@ -440,30 +442,33 @@ def scan(
     documents: DataFrame, profile: str = "fast", patterns: Sequence[Pattern] | None = None,
     scorer: Scorer | None = None, *, text: str = "text", filename: str | None = "path",
     chunk_size: int | None = None, overlap: int = dims.CHUNK_OVERLAP, spread_by: str | None = None, screen: bool = False,
-    keep_severity: bool = False,
+    keep_severity: bool = False, masked: bool = False,
 ) -> DataFrame:
     """Scan every document; the other document columns are carried along to each finding.
 
     Texts are scanned whole. With `chunk_size`, longer ones are cut, and every piece sees `overlap` characters on both sides:
     enough for matches and their context windows, and for sentences up to that length. `screen` leaves out what looks binary
-    or minified, as older scans did.
+    or minified, as older scans did. `masked` adds `masked_snippet`, in which no value found in the text can be read: the form
+    to store or show.
 
     Profiles: `fast` (patterns, validators, keyword confidence), `context` (sentence scores from `scorer`, a function
     from a sentence column to a label -> probability map), `extended` (thirteen patterns, full validators), `strict`
     (validator-first). The plan is one stage: filters, one generator, no exchange, no Python worker.
     """
-    clash = sorted(set(documents.columns) & {*FINDING_FIELDS, "severity", "chunk_no", "chunk_start", "lead"} - {text})
+    clash = sorted(set(documents.columns) & {*FINDING_FIELDS, "severity", "chunk_no", "chunk_start", "lead", "masked_snippet"} - {text})
     if clash:
         raise ValueError(f"rename the document columns {clash}: findings have columns of that name")
     chunks = prepared_chunks(documents, profile, patterns, text, filename, chunk_size, overlap, spread_by, screen)
-    t, spans = F.col(text), F.col("_spans")
-    if chunk_size is not None and overlap:
-        own_end = F.col("lead") + F.lit(chunk_size)
-        spans = F.filter(spans, lambda s: (s["start"] >= F.col("lead")) & (s["start"] < own_end))
-    found = F.transform(spans, lambda s: finding_struct(t, s, F.col("chunk_start"), F.col("lead"), F.col("_pages")))
+    t, paged = F.col(text), F.col("_pages")
     chunks = with_spans(chunks, profile, patterns, scorer, text)
+    if masked:
+        chunks = chunks.withColumn("_spans", F.array_sort("_spans"))
+    shown = (lambda i: masked_snippet(t, F.col("_spans"), i, 80, paged)) if masked else (lambda i: None)
+    found = F.transform("_spans", lambda s, i: finding_struct(t, s, F.col("chunk_start"), F.col("lead"), paged, shown(i)))
+    if chunk_size is not None and overlap:  # a match belongs to the piece it starts in
+        found = F.filter(found, lambda f: (f["start"] >= F.col("chunk_start")) & (f["start"] < F.col("chunk_start") + F.lit(chunk_size)))
     carried = [c for c in documents.columns if c != text]
-    fields = FINDING_FIELDS + (["severity"] if keep_severity else [])
+    fields = FINDING_FIELDS + (["severity"] if keep_severity else []) + (["masked_snippet"] if masked else [])
     # explode_outer: the plain form makes the optimizer add a size() filter that runs the detection a second time
     rows = chunks.select(*carried, F.explode_outer(found).alias("_f")).filter(F.col("_f").isNotNull())
     return rows.select(*carried, *[F.col(f"_f.{f}").alias(f) for f in fields])

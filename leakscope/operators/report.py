@@ -40,7 +40,6 @@ REMEDY = {
 }
 NO_REMEDY = "No specific remediation actions required based on detected entity types."
 PLATFORM_LABEL = {"github": "GitHub", "pastebin": "Pastebin", "combined": "GitHub + Pastebin"}
-SNIPPET_SHOWN = 150
 
 
 def display_name(type_col: Column) -> Column:
@@ -122,9 +121,7 @@ def finding_row(number: Column) -> Column:
         F.length(F.coalesce("source_url", F.lit(""))) > 0,
         F.concat(F.lit('<a href="'), html_escape(F.col("source_url")), F.lit('">'), html_escape(F.col("source")), F.lit("</a>")),
     ).otherwise(html_escape(F.col("source")))
-    shown = F.concat(
-        html_escape(F.substring("snippet", 1, SNIPPET_SHOWN)), F.when(F.length("snippet") > SNIPPET_SHOWN, "…").otherwise("")
-    )
+    shown = html_escape(F.col("masked_snippet"))
     pct = F.concat(F.round(F.col("confidence") * 100, 0).cast("int").cast("string"), F.lit("%"))
     cells = [
         number.cast("string"), display_name(F.col("type")), html_escape(F.col("value_masked")),
@@ -173,6 +170,8 @@ def report_fragments(findings: DataFrame, scored: DataFrame, summary: DataFrame,
                      li(F.lit("Validated "), num("validated")), li(F.lit("Annotated "), num("annotated")), F.lit("</ul>"))
     remedy = F.concat(F.lit("<p><strong>"), F.col("display_name"), F.lit("</strong> "), html_escape(F.col("advice")), F.lit("</p>"))
     typed = findings.withColumn("type", S.canonical_type(F.col("type"), vocab))
+    if "masked_snippet" not in typed.columns:  # raw snippets are not shown
+        typed = typed.withColumn("masked_snippet", F.lit(None).cast("string"))
     listed = number_rows(typed, by, list(order))
     without_remedy = scans.select(by).join(tables["remediation"].select(by).distinct(), by, "left_anti")
     without_findings = scans.join(findings.select(by).distinct(), by, "left_anti")

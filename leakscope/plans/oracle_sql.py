@@ -54,6 +54,12 @@ RULES = {
 }
 
 
+#: Findings of the corpus with every value of the same text masked in the snippet; a text has up to three findings.
+MASKED = """MV as (select doc_id, list(value order by s) as vs, list(value_masked order by s) as ms from F group by doc_id),
+ FM as (select F.* replace (replace(replace(replace(snippet, vs[1], ms[1]), coalesce(vs[2], '~none~'), coalesce(ms[2], '')), coalesce(vs[3], '~none~'), coalesce(ms[3], '')) as snippet)
+  from F join MV using (doc_id))"""
+
+
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

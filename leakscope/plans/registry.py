@@ -40,8 +40,8 @@ def identity(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(IDENTITY_SQL.replace("from part)", "from {part})"), part=part)
 
 
-def corpus_findings(spark: SparkSession, sf: str, profile: str = "fast") -> DataFrame:
-    return scan(corpus(spark, sf), profile)
+def corpus_findings(spark: SparkSession, sf: str, profile: str = "fast", masked: bool = False) -> DataFrame:
+    return scan(corpus(spark, sf), profile, masked=masked)
 
 
 def joined(col: str | Column) -> Column:

@@ -240,7 +240,7 @@ def advice_by_type(spark, sf):
 
 
 def _report_input(spark, sf):
-    found = corpus_findings(spark, sf).withColumns({"scan_id": F.col("platform"), "source": F.concat("container", F.lit("/"), "path"), "source_type": F.col("platform")})
+    found = corpus_findings(spark, sf, masked=True).withColumns({"scan_id": F.col("platform"), "source": F.concat("container", F.lit("/"), "path"), "source_type": F.col("platform")})
     found = checkpointed(found)  # many sections read the findings; the texts are scanned once
     scored = E.ess(found, ["scan_id", "container", "path"], "source_type")
     scans = corpus(spark, sf).groupBy(F.col("platform").alias("scan_id")).agg(F.count(F.lit(1)).alias("files_scanned")).withColumns({
@@ -292,7 +292,7 @@ ROW = ("concat('<tr><td>', row_number() over (partition by platform order by sou
        + ", '\">', risk, '</span></td><td><a href=\"', source_url, '\">', source, '</a></td><td>', snippet, '</td><td>fast regex match</td></tr>')")
 
 
-@query("report_findings", O.with_(O.F, f"select platform as scan_id, {ROW} as html from (select *, {O.CANON} as t, concat(container, '/', path) as source from F)"))
+@query("report_findings", O.with_(f"{O.F},\n{O.MASKED}", f"select platform as scan_id, {ROW} as html from (select *, {O.CANON} as t, concat(container, '/', path) as source from FM)"))
 def report_findings(spark, sf):
     """The findings section of the report, one fragment per finding."""
     found, scored, summary, scans = _report_input(spark, sf)

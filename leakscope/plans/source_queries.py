@@ -427,12 +427,12 @@ def session_totals(spark, sf):
     return R.session_totals(leaks, platforms)
 
 
-@query("leak_records", O.with_(O.F, f"""select doc_id, type as entity_type, value_masked, replace(snippet, value, value_masked) as snippet, sha256(concat({O.CANON}, '|', case when type = 'PHONE' and length(n) = 12 and n like '91%' then substr(n, 3) else n end)) as identity_cluster_id
- from (select *, lower(case when type = 'PHONE' then regexp_replace(value, '[^0-9]', '', 'g') else regexp_replace(value, '[\\s\\-]', '', 'g') end) as n from F)"""))
+@query("leak_records", O.with_(f"{O.F},\n{O.MASKED}", f"""select doc_id, type as entity_type, value_masked, snippet, sha256(concat({O.CANON}, '|', case when type = 'PHONE' and length(n) = 12 and n like '91%' then substr(n, 3) else n end)) as identity_cluster_id
+ from (select *, lower(case when type = 'PHONE' then regexp_replace(value, '[^0-9]', '', 'g') else regexp_replace(value, '[\\s\\-]', '', 'g') end) as n from FM)"""))
 def leak_records(spark, sf):
     from leakscope.plans.registry import corpus_findings
 
-    return SK.leak_records(corpus_findings(spark, sf)).select("doc_id", "entity_type", "value_masked", "snippet", "identity_cluster_id")
+    return SK.leak_records(corpus_findings(spark, sf, masked=True)).select("doc_id", "entity_type", "value_masked", "snippet", "identity_cluster_id")
 
 
 # --- alerts over events ------------------------------------------------------------------------------------------

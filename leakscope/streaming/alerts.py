@@ -6,6 +6,7 @@ tumbling windows. State keys are hashes, so no raw value is kept in state.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,7 +78,7 @@ def tagged_findings(documents: DataFrame, profile: str = "context", scorer: Call
         F.concat("kind", F.lit(":"), "target").alias("source"), F.col("url").alias("source_url"),
         F.col("landed_at").alias("detected_at"), "path", "text",
     )
-    return scan(tagged, profile, scorer=scorer, filename="path")
+    return scan(tagged, profile, scorer=scorer, filename="path", masked=True)
 
 
 def new_findings(findings: DataFrame, horizon: str = "1 day") -> DataFrame:
@@ -148,12 +149,30 @@ def alert_batch(findings: DataFrame, n: int = SAMPLE) -> DataFrame:
         F.lit("alert_batch").alias("type"), *counters, F.size("_s").alias("sample_size"), sample.alias("findings"))
 
 
+class AlertQueries(NamedTuple):
+    """The running scan and, if asked for, the query that collects unreadable rows."""
+
+    found: StreamingQuery
+    errors: StreamingQuery | None
+
+    def stop(self) -> None:
+        for q in self:
+            if q is not None:
+                q.stop()
+
+    def awaitTermination(self, timeout: float | None = None) -> None:  # noqa: N802  like a query's
+        for q in self:
+            if q is not None:
+                q.awaitTermination(timeout) if timeout is not None else q.awaitTermination()
+
+
 def alert_stream(spark: SparkSession, landing: str, targets: DataFrame | None, out: str, checkpoint: str,
                  interval: str = "300 seconds", horizon: str = "1 day", profile: str = "context", fmt: str = "json",
                  scorer: Callable[[Column], Column] | None = None, once: bool = False, errors: str | None = None,
-                 max_files: int | None = None) -> StreamingQuery:
+                 max_files: int | None = None) -> AlertQueries:
     """Start the recurring scan. Every micro-batch writes new findings and one alert row under its batch number, so a
-    repeated batch overwrites itself. `once` processes what is there and ends. Stop with `query.stop()`.
+    repeated batch overwrites itself. `once` processes what is there and ends. `errors` names a folder for rows that can't be
+    read; they are a query of their own. Both end with `stop()`.
     """
     landed = landed_documents(spark, landing, fmt, max_files)
     docs = readable(landed)
@@ -164,18 +183,20 @@ def alert_stream(spark: SparkSession, landing: str, targets: DataFrame | None, o
         kept = first_per_value(batch, ["detected_at", "source", "path", "start"], ["type", "value"])
         kept = kept.persist()
         try:
-            # neither the value nor a snippet that shows it leaves the query
-            safe = kept.withColumn("snippet", F.replace("snippet", "value", "value_masked")).drop("value")
+            # neither the value nor a snippet that shows any value leaves the query
+            safe = kept.withColumn("snippet", F.col("masked_snippet")).drop("value", "masked_snippet")
             safe.write.mode("overwrite").parquet(f"{out}/findings/batch_id={batch_id}")
             alert_batch(safe).write.mode("overwrite").parquet(f"{out}/alerts/batch_id={batch_id}")
         finally:
             kept.unpersist()
 
     trigger = {"availableNow": True} if once else {"processingTime": interval}
+    failed = None
     if errors is not None:
         side = unreadable(landed).writeStream.format("json").option("path", errors).option("checkpointLocation", f"{checkpoint}/errors")
-        side.outputMode("append").trigger(**trigger).start()
-    return (
+        failed = side.outputMode("append").trigger(**trigger).start()
+    found = (
         fresh.writeStream.foreachBatch(emit).outputMode("append").option("checkpointLocation", f"{checkpoint}/alerts")
         .trigger(**trigger).start()
     )
+    return AlertQueries(found, failed)

@@ -115,16 +115,19 @@ def test_store_and_report(spark, tmp_path):
                                  "scan_id string, doc_id long, source string, source_url string, text string")
     from leakscope.operators.detect import scan
 
-    found = scan(docs, filename=None).withColumn("source_type", F.lit("pastebin"))
+    found = scan(docs, filename=None, masked=True).withColumn("source_type", F.lit("pastebin"))
     scored = ess(found, ["scan_id", "doc_id"])
-    SK.write_scan(found, scored, str(tmp_path / "db"), "2024-05-01")
-    SK.write_scan(found, scored, str(tmp_path / "db"), "2024-05-01")
+    other = found.withColumn("scan_id", F.lit("s0"))
+    for _ in range(2):
+        SK.write_scan(found, scored, str(tmp_path / "db"), "2024-05-01")
+        SK.write_scan(other, ess(other, ["scan_id", "doc_id"]), str(tmp_path / "db"), "2024-05-01")
+    assert {r.scan_id: r["count"] for t in ("leak_records", "ess_records") for r in spark.read.parquet(str(tmp_path / "db" / t)).groupBy("scan_id").count().collect()} == {"s0": 25, "s1": 25}
     leaks = spark.read.parquet(str(tmp_path / "db/leak_records"))
-    assert leaks.count() == 25 and "value" not in leaks.columns and leaks.filter(F.col("snippet").rlike("ABCPE[0-9]{4}F")).count() == 0
-    assert spark.read.parquet(str(tmp_path / "db/ess_records")).count() == 25
+    assert leaks.count() == 50 and "value" not in leaks.columns and leaks.filter(F.col("snippet").rlike("ABCPE[0-9]{4}F")).count() == 0
     scans = spark.createDataFrame([("s1", "o <1>", "pastebin", 25, 2.0), ("s2", "clean", "github", 1, 0.0)], "scan_id string, target string, scan_type string, files_scanned int, scan_duration double")
     parts = RP.report_fragments(found, scored, scan_summary(scored), scans)
     SK.write_report(parts, str(tmp_path / "report"))
+    SK.write_report(parts.filter("scan_id = 's2'"), str(tmp_path / "report"))  # leaves the other one
     text = "".join(open(f).read() for f in sorted(glob.glob(str(tmp_path / "report/scan_id=s1/*.txt"))))
     assert text.startswith("<!DOCTYPE html>") and text.rstrip().endswith("</html>") and "o &lt;1&gt;" in text
     numbers = [int(x.split("</td>")[0]) for x in text.split("<tr><td>")[1:]]
@@ -134,3 +137,21 @@ def test_store_and_report(spark, tmp_path):
     SK.append_history(spark.createDataFrame([("u", 1)], "user_email string, findings_count int"), str(tmp_path / "h"))
     SK.append_history(spark.createDataFrame([("u", 2)], "user_email string, findings_count int"), str(tmp_path / "h"))
     assert spark.read.parquet(str(tmp_path / "h")).filter("created_at is not null").count() == 2
+    for batch in ("a", "b", "a"):
+        SK.append_history(spark.createDataFrame([("u", "r1", 1), ("u", "r2", 2)], "user_email string, target string, findings_count int"), str(tmp_path / "h2"), batch)
+    kept = spark.read.parquet(str(tmp_path / "h2"))
+    assert kept.count() == kept.select("id").distinct().count() == 4
+
+
+def test_no_value_in_a_masked_snippet(spark):
+    from leakscope.operators.detect import scan
+
+    text = "my aadhaar 2345\n6789\n0124 and pan ABCPE1234F phone 9876543210 " + "pan ABCPE1234F, " * 30
+    df = spark.createDataFrame([(1, text), (2, "x" * 60 + " 9876543210 " + "y" * 90)], "doc_id long, text string")
+    for how in ({}, {"chunk_size": 150, "overlap": 120}):
+        rows = scan(df, filename=None, masked=True, **how).collect()
+        assert len(rows) == 34
+        for r in rows:
+            assert not any(v in r.masked_snippet for v in ("2345 6789 0124", "2345\n6789", "ABCPE1234F", "9876543210"))
+            assert r.value_masked.replace("\n", " ") in r.masked_snippet
+    assert SK.leak_records(scan(df, filename=None)).filter("snippet is not null").count() == 0
