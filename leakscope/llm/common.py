@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leakscope.operators.numbering import shared_folder
+
 #: Stands for a null doc_id while rows are joined; such rows come before all others.
 NO_ID = -(2**63)
 BLOCK_BYTES = 1 << 21
@@ -31,11 +33,8 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that spark.checkpoint.dir names; only a local session without the setting gets a folder of its own."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
