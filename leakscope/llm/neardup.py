@@ -142,10 +142,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, window: int,
     return sized.filter((F.col("o.any") > 0) & (100 * F.col("o.both") >= percent * F.col("o.any"))).select("a", "b")
 
 
-def _rest(rows: DataFrame, nodes: DataFrame, nearest: int | None) -> DataFrame:
+def _rest(rows: DataFrame, nodes: DataFrame, nearest: int | None, start: bool) -> DataFrame:
     """Pairs of one bucket that lie in different groups and whose sketches agree: what the stars may have missed. Of every
-    member that is `open` and not in the block's largest group, the `nearest` best (None: all) come out; a member that has more
-    comes out as a pair with itself, and is open in the next round. Buckets are compared in blocks of about BLOCK members."""
+    member that is `open`, the `nearest` best (None: all) come out; a member that has more comes out as a pair with itself, and
+    is open in the next round. In the first round (`start`) all are open, and the block's largest group is left to the others'
+    side. Later the largest group may be another one, so it plays no part. Buckets are compared in blocks of about BLOCK members."""
     many = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("open").alias("any")).filter("r0 != r1 and any")
     wanted = rows.join(many.select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), "bucket")
     mine = wanted.withColumn("mine", F.pmod(F.xxhash64("node"), "parts").cast("int"))
@@ -158,7 +159,7 @@ def _rest(rows: DataFrame, nodes: DataFrame, nearest: int | None) -> DataFrame:
         sk = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, BINS)
         mine, cell = pdf["mine"].to_numpy(), (pdf["x"].iat[0], pdf["y"].iat[0])
         roots = pd.factorize(pdf["r1"].astype(str) + ":" + pdf["r2"].astype(str))[0]
-        stray = (roots != np.bincount(roots).argmax()) & pdf["open"].to_numpy()
+        stray = roots != np.bincount(roots).argmax() if start else pdf["open"].to_numpy()
         sides = [np.flatnonzero(mine == c) for c in dict.fromkeys(cell)]
         found = []
         for own, others in zip(sides, sides[::-1], strict=True):
@@ -220,7 +221,7 @@ def near_duplicates(documents: DataFrame, window: int = 5, percent: int = 80) ->
         else:
             placed = placed.join(again.select("bucket").distinct(), "bucket", "left_semi").join(again, ["bucket", "node"], "left")
             placed = placed.withColumn("open", F.coalesce("open", F.lit(False)))
-        found = stored(_rest(placed, nodes, nearest), "rest")
+        found = stored(_rest(placed, nodes, nearest, again is None), "rest")
         again = found.filter("a = b").select("bucket", F.col("a").alias("node"), F.lit(True).alias("open")).distinct()
         rest = stored(found.filter("a != b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "rest")
         more = stored(_verified(rest, nodes, texts, window, percent), "links")

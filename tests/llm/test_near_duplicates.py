@@ -80,3 +80,28 @@ def test_sketches_agree_like_the_sets():
 def test_shingles_lower_ascii_only():
     a, b, c = shingle_sets(pa.array(["One Two É", "one two É", "one two é"]), 2)
     assert a.tolist() == b.tolist() and a.tolist() != c.tolist()
+
+
+def rest(spark, groups, opened, nearest, start):
+    """What one round of one bucket gives, as pairs of numbers: groups has the root of every member, whose sketches are all equal."""
+    pair = "struct<s1: long, s2: long>"
+    rows = [(1, (i, 0), (root, 0), i in opened) for i, root in groups.items()]
+    rows = spark.createDataFrame(rows, f"bucket long, node {pair}, root {pair}, open boolean")
+    nodes = spark.createDataFrame([((i, 0), bytes(neardup.BINS)) for i in groups], f"node {pair}, sketch binary")
+    return {(r.a.s1, r.b.s1) for r in neardup._rest(rows, nodes, nearest, start).collect()}
+
+
+@pytest.mark.parametrize("block", [2000, 5])
+def test_groups_that_merge_past_the_largest_keep_their_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    groups = dict.fromkeys(range(10), 0) | dict.fromkeys(range(10, 16), 10) | dict.fromkeys(range(16, 22), 16)
+    again = {a for a, b in rest(spark, groups, groups, 2, True) if a == b}
+    assert again >= set(range(10, 22))  # each has more near ones than are taken
+    merged = groups | dict.fromkeys(range(16, 22), 10)  # 12 members against 10
+    assert {(b, a) for b in range(10, 22) for a in range(10)} <= rest(spark, merged, again, None, False)
+
+
+@pytest.mark.parametrize("opened", [range(3), range(3, 6)])
+def test_groups_of_one_size_keep_their_pairs(spark, opened):
+    groups = dict.fromkeys(range(3), 0) | dict.fromkeys(range(3, 6), 3)
+    assert rest(spark, groups, opened, None, False) == {(b, a) for b in range(3, 6) for a in range(3)}
