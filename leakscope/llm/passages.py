@@ -65,6 +65,8 @@ def segments(h: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple
     start = i[first]
     whole = rolled(h, window)
     content = mix(whole[start] * np.uint64(3) + whole[start + n - 1] * np.uint64(5) + n.astype(np.uint64))
+    for j in range(window, MAX_RUN - 1, window):  # windows between, so that every symbol is in one
+        content = mix(content * np.uint64(3) + whole[start + np.minimum(j, n - 1)])
     # a window can only come again inside its segment if the gram that gives the key does
     reach = n + window - gram
     ends = np.cumsum(reach)

@@ -105,3 +105,22 @@ def test_segments_of_one_key_in_any_batches():
             batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], ["key", "content", "k_id", "at"]) for i in range(0, len(rows), size)]
             got = [tuple(r.values()) for b in passages._judge(both)(iter(batches)) for r in b.to_pylist()]
             assert set(got) == want and len(got) == len(want)
+
+
+def test_listings_that_differ_in_one_entry(spark):
+    """Boilerplate after every entry gives many windows one key; what lies between the first and the last of them counts too."""
+    from leakscope.llm.common import rolled, word_hashes
+
+    words = [[f"k{i}x{j}" for j in range(8)] for i in range(3000)]
+
+    def key(phrase):
+        raw = np.frombuffer(" ".join(phrase).encode(), np.uint8)
+        end = np.append(np.flatnonzero(raw == 32), len(raw))
+        return rolled(word_hashes(raw, np.append(0, end[:-1] + 1), end), 8)[0]
+
+    phrase = min(words, key=key)  # a gram that is the smallest wherever it stands
+    entries = [[f"e{i}w{j}" for j in range(20)] for i in range(4)]
+    other = entries[1][:7] + [f"o{j}" for j in range(13)]  # words 35 to 47 of its page
+    page = lambda *own: " ".join(w for e in own for w in e + phrase)
+    rows = [(1, page(*entries)), (2, page(entries[0], other, *entries[2:]))]
+    assert phrases(frame(spark, rows), 35, 8) == brute.phrase_dedup(rows, 35)
