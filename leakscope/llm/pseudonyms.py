@@ -23,7 +23,12 @@ DATE = r"(?<![\p{L}\p{N}])(?:19|20)\d\d-\d\d-\d\d(?![\p{L}\p{N}])"
 IPV4 = r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}]|\.\d)"
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d\d-\d{4}(?![\p{L}\p{N}]|-\d)"
 PHONE = r"(?<![\p{L}\p{N}])\+1[ -]?(?:\(\d{3}\)|\d{3})[ -]?\d{3}[ -]?\d{4}(?![\p{L}\p{N}])"
-CARD = r"(?<![\p{L}\p{N}])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])"
+GROUP = r"\d++(?![\p{L}\p{N}])"
+#: Groups of digits with single blanks or hyphens between, 13 digits at least, that end where another format begins. Which of
+#: the groups are a card is for `cards` to say.
+CARD = rf"(?<![\p{{L}}\p{{N}}])(?=\d(?:[ -]?\d){{12}}){GROUP}(?:[ -](?!{EMAIL}|{DATE}|{IPV4}|{SSN}){GROUP})*+"
+#: The written forms of a card: unbroken, or 4-4-4-4, 4-6-5 and 4-6-4 with one kind of separator.
+CARD_FORM = r"^(\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{4}|\d{4}([ -])\d{6}\3\d{4,5})$"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, DATE, IPV4, SSN, PHONE, CARD))
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -112,6 +117,46 @@ def card_pseudonym(text: Column, key: str, back: bool = False) -> Column:
     return _refill(text, _let(body, lambda b: F.concat(b, luhn_check(b).cast("string"))))
 
 
+def cards(run: Column, key: str, back: bool = False) -> Column:
+    """A struct of the run of digit groups with its cards replaced, and how many were.
+
+    A card is some groups in a row, 13-19 digits that pass the Luhn test. From left to right: at every group the written forms
+    come first, then the longest; what has no written form gives way to one that begins inside it.
+    """
+    def parts(g: Column) -> Column:
+        def text(i: Column, n: Column) -> Column:
+            return F.regexp_replace(F.array_join(F.slice(g, i + 1, n), ""), "[ -]$", "")
+
+        def at(i: Column) -> Column:
+            sizes = F.sequence(F.least(F.lit(19), F.size(g) - i), F.lit(1), F.lit(-1))
+            valid = F.filter(sizes, lambda n: is_card(text(i, n)))
+            return _let(valid, lambda v: F.struct(F.filter(v, lambda n: text(i, n).rlike(CARD_FORM)).alias("form"), v.alias("any")))
+
+        def walk(found: Column) -> Column:
+            def size_at(i: Column) -> Column:
+                own = found[i]
+                free = F.filter(own["any"], lambda n: ~F.exists(F.slice(found, i + 2, n - 1), lambda x: F.size(x["form"]) > 0))
+                return F.coalesce(F.get(own["form"], F.lit(0)), F.get(free, F.lit(0)), F.lit(0))
+
+            def step(acc: Column, i: Column) -> Column:
+                def taken(n: Column) -> Column:
+                    old = text(i, n)
+                    tail = F.regexp_extract(g[i + n - 1], "[ -]$", 0)
+                    some = F.struct((i + n).alias("end"), F.concat(acc["text"], card_pseudonym(old, key, back), tail).alias("text"), (acc["n"] + 1).alias("n"))
+                    one = F.struct((i + 1).alias("end"), F.concat(acc["text"], g[i]).alias("text"), acc["n"].alias("n"))
+                    return F.when(n > 0, some).otherwise(one)
+
+                return F.when(i < acc["end"], acc).otherwise(_let(size_at(i), taken))
+
+            start = F.struct(F.lit(0).alias("end"), F.lit("").alias("text"), F.lit(0).alias("n"))
+            return F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), start, step)
+
+        return _let(F.transform(F.sequence(F.lit(0), F.size(g) - 1), at), walk)
+
+    done = _let(F.regexp_extract_all(run, F.lit(r"\d+[ -]?"), F.lit(0)), parts)
+    return _let(done, lambda d: F.struct(d["text"].alias("v"), d["n"].alias("n")))
+
+
 def phone_pseudonym(text: Column, key: str, back: bool = False) -> Column:
     """The ten digits after the country code are permuted."""
     d = _digits(text)
@@ -181,15 +226,17 @@ def email_pseudonym(text: Column, key: str, back: bool = False) -> Column:
 
 
 def pseudonym(value: Column, key: str, back: bool = False) -> Column:
-    """The pseudonym of one match of ANY. A match that its validation rejects stays as it is: a card number needs its check
-    digit, an address its octets, a date a calendar day in range, a social security number possible parts."""
+    """A struct of the pseudonym of one match of ANY, and how many values in it were replaced. A match that its validation
+    rejects stays as it is: a card number needs its check digit, an address its octets, a date a calendar day in range, a social
+    security number possible parts."""
+    one = lambda new: _let(new, lambda v: F.struct(v.alias("v"), (v != value).cast("int").alias("n")))
     return (
-        F.when(F.contains(value, F.lit("@")), email_pseudonym(value, key, back))
-        .when(value.rlike(f"^{PHONE}$"), phone_pseudonym(value, key, back))
-        .when(value.rlike(r"^\d{4}-\d\d-\d\d$"), F.when(is_date(value), date_pseudonym(value, key, back)).otherwise(value))
-        .when(F.contains(value, F.lit(".")), F.when(is_ipv4(value), ipv4_pseudonym(value, key, back)).otherwise(value))
-        .when(value.rlike(r"^\d{3}-\d\d-\d{4}$"), F.when(is_ssn(value), ssn_pseudonym(value, key, back)).otherwise(value))
-        .otherwise(F.when(is_card(value), card_pseudonym(value, key, back)).otherwise(value))
+        F.when(F.contains(value, F.lit("@")), one(email_pseudonym(value, key, back)))
+        .when(value.rlike(f"^{PHONE}$"), one(phone_pseudonym(value, key, back)))
+        .when(value.rlike(r"^\d{4}-\d\d-\d\d$"), one(F.when(is_date(value), date_pseudonym(value, key, back)).otherwise(value)))
+        .when(F.contains(value, F.lit(".")), one(F.when(is_ipv4(value), ipv4_pseudonym(value, key, back)).otherwise(value)))
+        .when(value.rlike(r"^\d{3}-\d\d-\d{4}$"), one(F.when(is_ssn(value), ssn_pseudonym(value, key, back)).otherwise(value)))
+        .otherwise(cards(value, key, back))
     )
 
 
@@ -201,8 +248,8 @@ def pseudonymised(text: Column, key: str, back: bool = False) -> Column:
 
     def build(old: Column) -> Column:
         def joined(new: Column) -> Column:
-            pieces = F.transform(F.arrays_zip(gaps.alias("g"), new.alias("v")), lambda x: F.concat(x["g"], F.coalesce(x["v"], F.lit(""))))
-            changed = F.size(F.filter(F.arrays_zip(old.alias("f"), new.alias("v")), lambda x: x["f"] != x["v"]))
+            pieces = F.transform(F.arrays_zip(gaps.alias("g"), new.alias("v")), lambda x: F.concat(x["g"], F.coalesce(x["v"]["v"], F.lit(""))))
+            changed = F.aggregate(new, F.lit(0), lambda acc, x: acc + x["n"])
             return F.struct(F.array_join(pieces, "").alias("text"), changed.cast("long").alias("n_replaced"))
 
         return _let(F.transform(old, lambda v: pseudonym(v, key, back)), joined)

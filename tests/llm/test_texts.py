@@ -77,6 +77,22 @@ def test_values_keep_format_validity_and_links(spark):
     assert out[0].text != next(r.text for r in pseudonymise(df, "other").collect() if r.doc_id == 0)
 
 
+def test_cards_beside_other_numbers(spark):
+    card, amex = "4111 1111 1111 1111", "3782-822463-10005"
+    rows = [f"card {card} 12/25", f"card {card} 123", f"ref 12 {card.replace(' ', '')}", f"{card.replace(' ', '')} 10.0.0.1", f"1234 {card}", f"{amex} 1985-03-04",
+            f"4222222222222 1985-03-04 {amex}", f"{amex.replace('-', '')} 123-45-6789", f"{card} {card} 5", f"168 {card} +1 212-555-0100", f"{card} 12th", f"7 12345-67 {card} 1@b.org"]
+    values = [card, card.replace(" ", ""), amex, amex.replace("-", ""), "4222222222222", "10.0.0.1", "1985-03-04", "123-45-6789", "+1 212-555-0100", "1@b.org"]
+    either = re.compile("|".join(map(re.escape, values)))
+    out = {r.doc_id: r for r in pseudonymise(docs_of(spark, list(enumerate(rows))), "key", count="n").collect()}
+    for i, old in enumerate(rows):
+        assert out[i].text == either.sub(lambda m: brute.pseudonym(m[0], "key"), old) and out[i].n == len(either.findall(old))
+
+
+def test_long_run_of_numbers(spark):
+    text = "12 345 " * 3000 + "4111 1111 1111 1111"
+    assert not pseudonymise(docs_of(spark, [(1, text)]), "key").first().text.endswith("4111 1111 1111 1111")
+
+
 def test_maps_are_bijections(spark):
     days = [f"{y}-{m:02d}-{d:02d}" for y in (1900, 1985, 2099) for m in (1, 2, 11) for d in range(1, 29)]
     dates = [d for d in days if d <= "2099-11-08"]
