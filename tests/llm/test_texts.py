@@ -198,3 +198,14 @@ def test_weights_and_size(spark):
     assert mix_sources(df, {}).count() == 0 and mix_sources(df.limit(0)).count() == 0
     with pytest.raises(Exception, match="rate over the limit"):
         mix_sources(df, {"b": 1.0}, size=10**6).count()
+
+
+def test_rates_of_any_size(spark):
+    """A source with one row beside a large one has a rate over 500 without that anybody asked for it."""
+    rows = spark.range(1_200_000).selectExpr("id as doc_id", "if(id < 5, concat('few', id), 'many') as source")
+    rates = {r.source: r.rate for r in source_rates(rows).collect()}
+    assert rates["few1"] > 1000 and rates["many"] < 1
+    got = {r.doc_id: r.n for r in mix_sources(rows).filter("source != 'many'").groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert len(got) == 5 and len(set(got.values())) > 1
+    assert all(abs(n - rates["few1"]) < 5 * np.sqrt(rates["few1"]) for n in got.values())
+    assert got == {r.doc_id: r.n for r in mix_sources(rows).filter("source != 'many'").groupBy("doc_id").agg(F.max("copy").alias("n")).collect()}
