@@ -103,8 +103,23 @@ def call_levels(calls: DataFrame) -> DataFrame:
     return settled
 
 
+def _key() -> Column:
+    """A conversation as text: a null one is apart from ''."""
+    return F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("c")
+
+
+def _superseded(rows: DataFrame, *cols: str) -> DataFrame:
+    """The different rows that share conversation and id with a smaller one. Only the keys of such rows are gathered."""
+    keyed = rows.filter("call_id is not null").select(_key(), "call_id", F.struct("turn", "conv_id", *cols).alias("x"))
+    seen = keyed.select("c", "call_id", F.xxhash64(F.to_json("x")).alias("h")).groupBy("c", "call_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    several = keyed.join(stored(seen.filter("lo != hi").select("c", "call_id"), "several"), ["c", "call_id"]).distinct()
+    least = several.groupBy("c", "call_id").agg(F.min("x").alias("least"))
+    return several.join(least, ["c", "call_id"]).filter(~F.col("x").eqNullSafe(F.col("least"))).select("call_id", "x.*")
+
+
 def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, Any]]) -> DataFrame:
-    """One row per plain message, call and result without call: conv_id, level, turn, call_id, status, valid, errors, record.
+    """One row per plain message, call, and result without call or superseded: conv_id, level, turn, call_id, status, valid, errors,
+    record.
 
     messages: conv_id, turn, role, content. calls: conv_id, turn, call_id, name, arguments (JSON text), depends_on (call ids).
     results: conv_id, turn, call_id, content. Calls and results are hash-joined by conversation and id; a call with its result
@@ -112,12 +127,11 @@ def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, s
     conversation in the order of level (plain ones: 0), turn, call_id. Rows are not gathered by conversation, so one of any
     length is dealt out over many tasks.
 
-    Of rows that share conversation and id, the earliest counts (ties: the smallest). Rows without call_id are no calls or
-    results. A null conv_id is a conversation of its own. Arguments that are no JSON, or against their schema, or of an unknown
+    Of rows that share conversation and id, the earliest counts (ties: the smallest); each other different one comes out as
+    'duplicate', on level 0. Rows without call_id are no calls or results. A null conv_id is a conversation of its own. Arguments that are no JSON, or against their schema, or of an unknown
     tool, are kept and reported as not valid.
     """
-    some = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("c")
-    first = lambda df, *cols: df.filter("call_id is not null").groupBy(some, "call_id").agg(F.min(F.struct("turn", "conv_id", *cols)).alias("x")).select("c", "call_id", "x.*")
+    first = lambda df, *cols: df.filter("call_id is not null").groupBy(_key(), "call_id").agg(F.min(F.struct("turn", "conv_id", *cols)).alias("x")).select("c", "call_id", "x.*")
     own = first(calls, "name", "arguments", "depends_on").withColumn("depends_on", F.coalesce("depends_on", F.array().cast("array<string>")))
     got = first(results, "content").select("c", "call_id", F.col("turn").alias("r_turn"), F.col("conv_id").alias("r_conv"), F.col("content").alias("result"), F.lit(True).alias("answered"))
     levels = call_levels(own.select(F.col("c").alias("conv_id"), "call_id", "turn", "depends_on")).withColumnRenamed("conv_id", "c")
@@ -128,8 +142,10 @@ def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, s
         "call_id", status.alias("status"), "name", "arguments", "depends_on", "result", F.when(F.col("called").isNull(), "tool").otherwise(F.lit("call")).alias("role"))
     none = lambda kind: F.lit(None).cast(kind)
     plain = messages.select("conv_id", F.lit(0).alias("level"), "turn", none("string").alias("call_id"), F.lit("plain").alias("status"), none("string").alias("name"), none("string").alias("arguments"), none("array<string>").alias("depends_on"), F.col("content").alias("result"), "role")
+    late_calls = _superseded(calls, "name", "arguments", "depends_on").select("conv_id", F.lit(0).alias("level"), "turn", "call_id", F.lit("duplicate").alias("status"), "name", "arguments", "depends_on", none("string").alias("result"), F.lit("call").alias("role"))
+    late_results = _superseded(results, "content").select("conv_id", F.lit(0).alias("level"), "turn", "call_id", F.lit("duplicate").alias("status"), none("string").alias("name"), none("string").alias("arguments"), none("array<string>").alias("depends_on"), F.col("content").alias("result"), F.lit("tool").alias("role"))
     made: Column = _records(schemas)("call_id", "name", "arguments", "depends_on", "result", "role")
-    out = rows.unionByName(plain).withColumn("made", made)
+    out = late_calls.unionByName(late_results).unionByName(rows).unionByName(plain).withColumn("made", made)
     return out.select("conv_id", "level", "turn", "call_id", "status", (F.size("made.errors") == 0).alias("valid"), F.col("made.errors").alias("errors"), F.col("made.record").alias("record"))
 
 
@@ -141,18 +157,18 @@ ANSWER = {"answer": {"type": "object", "required": ["prompt", "turn", "words"],
 
 def as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Plain conversations (conv_id, turn, role, text) as messages, calls and results: a user's turn asks the tool `answer` and
-    depends on the user's turn two before, if there is one; an assistant's turn is the result of the turn before."""
+    depends on the user's turn two before, if there is one; an assistant's turn is the result of the turn before. Rows without turn are messages."""
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     named = lambda turn: F.concat(F.lit("c"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.lit("-"), turn.cast("string"))
-    users = rows.filter("role = 'user'").dropDuplicates(["conv_id", "turn", "text"])
+    users = rows.filter("role = 'user' and turn is not null").dropDuplicates(["conv_id", "turn", "text"])
     before = users.select(F.col("conv_id").alias("b_conv"), (F.col("turn") + 2).alias("b_turn")).distinct()
     asked = users.join(before, users["conv_id"].eqNullSafe(F.col("b_conv")) & (users["turn"] == F.col("b_turn")), "left")
     words = F.size(F.filter(F.split("text", r"[\x09-\x0D\x20]+"), lambda w: w != ""))
     arguments = F.to_json(F.struct(F.col("text").alias("prompt"), "turn", F.when(F.col("text").isNotNull(), words).alias("words")))
     calls = asked.select("conv_id", "turn", named(F.col("turn")).alias("call_id"), F.lit("answer").alias("name"), arguments.alias("arguments"),
                          F.when(F.col("b_turn").isNotNull(), F.array(named(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("depends_on"))
-    results = rows.filter("role = 'assistant'").select("conv_id", "turn", named(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
-    messages = rows.filter("role is null or role not in ('user', 'assistant')").select("conv_id", "turn", "role", F.col("text").alias("content"))
+    results = rows.filter("role = 'assistant' and turn is not null").select("conv_id", "turn", named(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    messages = rows.filter("role is null or role not in ('user', 'assistant') or turn is null").select("conv_id", "turn", "role", F.col("text").alias("content"))
     return messages, calls, results
 
 

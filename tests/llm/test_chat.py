@@ -52,6 +52,16 @@ def test_plain_conversations(spark):
     assert format_conversations(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_every_different_row_comes_out(spark):
+    rows = [("a", 1, "user", "q"), ("a", 1, "user", "other q"), ("a", 1, "user", "other q"), ("a", 2, "assistant", "x"), ("a", 2, "assistant", "y"), ("a", 2, "assistant", None),
+            ("a", None, "user", "when"), ("a", None, "assistant", "then"), (None, 1, "user", "null q"), ("", 1, "user", "blank q"), (None, 2, "assistant", "null a"), ("", 2, "assistant", "blank a")]
+    out = format_conversations(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
+    linked = {(r.conv_id, json.loads(r.record)["arguments"]["prompt"], json.loads(r.record)["result"]) for r in out if r.status == "linked"}
+    assert linked == {("a", "other q", None), (None, "null q", "null a"), ("", "blank q", "blank a")}
+    rest = sorted((r.status, r.turn or 0, json.loads(r.record).get("content") or json.loads(r.record)["arguments"]["prompt"]) for r in out if r.status != "linked")
+    assert rest == [("duplicate", 1, "q"), ("duplicate", 2, "x"), ("duplicate", 2, "y"), ("plain", 0, "then"), ("plain", 0, "when")]
+
+
 @pytest.mark.parametrize("bad", [float("nan"), float("inf")])
 def test_no_numbers_beyond_json(bad):
     with pytest.raises(ValueError):
