@@ -3,14 +3,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscope.llm.archives import through_archives
 from leakscope.llm.chat import format_conversations
+from leakscope.llm.common import stored
 from leakscope.llm.decontaminate import contamination_report
+from leakscope.llm.divergence import source_divergence
+from leakscope.llm.fim import digest, fill_in_middle, frame_store, restored
 from leakscope.llm.mixing import mix_sources
 from leakscope.llm.neardup import duplicate_report
+from leakscope.llm.packing import pack_documents
 from leakscope.llm.phrases import phrase_dedup
 from leakscope.llm.pseudonyms import pseudonymise
 from leakscope.llm.quality import score_quality
@@ -213,3 +218,75 @@ from conversations where role not in ('user', 'assistant')
 @query("op5_tool_call_links", CHAT_SQL)
 def tool_call_links(spark: SparkSession, sf: str) -> DataFrame:
     return format_conversations(table(spark, sf, "conversations")).drop("errors")
+
+
+FILL_IN_MIDDLE_SQL = """
+with cut as (
+  select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+drawn as (
+  select *, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2,
+    cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4 from cut),
+placed as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as lo, greatest(h1 % (n + 1), h2 % (n + 1)) as hi,
+    case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+      when h4 % 100 < 20 then 'spm' else 'psm' end as form
+  from drawn),
+parts as (
+  select *, substring(t, 1, lo) as prefix, substring(t, lo + 1, hi - lo) as middle, substring(t, hi + 1) as suffix from placed)
+select doc_id, n, form, case when form <> 'plain' then lo end as prefix_chars, case when form <> 'plain' then hi - lo end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(t) as restored_sha256
+from parts
+"""
+
+
+@query("op11_fill_in_middle", FILL_IN_MIDDLE_SQL)
+def fill_in_middle_digests(spark: SparkSession, sf: str) -> DataFrame:
+    made = fill_in_middle(stored(frame_store(table(spark, sf, "documents")), "frames"), seed=1)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+        digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+@query("op12_balanced_packing")
+def balanced_packing(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+DIVERGENCE_SQL = rf"""
+with docs as (
+  select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+words as (
+  select d, lang, source, unnest(regexp_extract_all({LOWERED.format('text')}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+kept as (select lang, term, count(*) as n from words group by lang, term having count(distinct d) >= {{docs}}),
+langs as (select lang, sum(n) as n_lang, count(*) as v from kept group by lang),
+groups as (select distinct lang, source from docs),
+counts as (select lang, source, term, count(*) as k from words semi join kept using (lang, term) group by lang, source, term),
+totals as (select lang, source, sum(k) as n_group from counts group by lang, source),
+shares as (
+  select g.lang, g.source, kept.term, coalesce(k, 0) as k,
+    cast(1 + (cast(1000000000 as hugeint) * (coalesce(k, 0) + 1)) // (coalesce(n_group, 0) + v) as bigint) as p,
+    cast(1 + (cast(1000000000 as hugeint) * (kept.n + 1)) // (n_lang + v) as bigint) as q
+  from groups g join kept on kept.lang = g.lang join langs on langs.lang = g.lang
+  left join totals on totals.lang = g.lang and totals.source = g.source
+  left join counts c on c.lang = g.lang and c.source = g.source and c.term = kept.term),
+pairs as (
+  select a.lang, a.source, b.source as item, cast(sum((a.p - b.p) * (a.p - b.p) // b.p) as bigint) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source),
+every as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source
+  union all
+  select lang, source, 'term', term, (p - q) * (p - q) // q from shares where k > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from every)
+select lang, source, part, item, value, cast(rank as int) as rank from ranked where part = 'pair' or rank <= {{top}}
+"""
+
+
+@query("op13_source_divergence", DIVERGENCE_SQL.format(docs=3, top=200))
+def divergence_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return source_divergence(table(spark, sf, "documents"))

@@ -2,6 +2,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from datetime import date, timedelta
 
@@ -170,3 +171,86 @@ def copies(doc_id, rate, seed):
         term *= rate / n
         total += term
     return n
+
+
+def fill_in_middle(doc_id, text, seed=1):
+    """(n, form, prefix_chars, middle_chars, output) of one document."""
+    text = text or ""
+    n, h = len(text), hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[i : i + 8], 16) for i in range(0, 32, 8))
+    lo, hi = sorted((h1 % (n + 1), h2 % (n + 1)))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return n, "plain", None, None, text
+    prefix, middle, suffix = text[:lo], text[lo:hi], text[hi:]
+    if h4 % 100 < 20:
+        return n, "spm", lo, hi - lo, f"<S>{suffix}<P>{prefix}<M>{middle}"
+    return n, "psm", lo, hi - lo, f"<P>{prefix}<S>{suffix}<M>{middle}"
+
+
+def balanced(sizes, room, linear):
+    """(document, start, length, sequence, offset), the longest documents first, each to the cheapest sequence with room."""
+    free, cost, out = list(room), [0] * len(room), []
+    for doc in sorted(range(len(sizes)), key=lambda d: -sizes[d]):
+        start = 0
+        while start < sizes[doc]:
+            left = sizes[doc] - start
+            able = [s for s in range(len(room)) if free[s] >= left] or [s for s in range(len(room)) if free[s] > 0]
+            s = min(able, key=lambda s: (cost[s], s))
+            n = min(left, free[s])
+            out.append((doc, start, n, s, room[s] - free[s]))
+            free[s] -= n
+            cost[s] += n * (linear + n)
+            start += n
+    return out
+
+
+def check_packing(pieces, ids_of, capacity):
+    """Every id of every document stands once, sequences have no gaps and are no longer than `capacity`. Their lengths."""
+    by_doc, by_sequence = {}, {}
+    for p in pieces:
+        by_doc.setdefault(p["doc_id"], []).append(p)
+        by_sequence.setdefault(p["sequence_id"], []).append(p)
+    assert set(by_doc) == set(ids_of)
+    for doc_id, parts in by_doc.items():
+        at, ids = 0, ids_of[doc_id]
+        for p in sorted(parts, key=lambda p: p["start"]):
+            assert (p["start"], p["doc_tokens"]) == (at, len(ids)) and p["length"] > 0
+            raw = b"".join(x.to_bytes(4, "little") for x in ids[at : at + p["length"]])
+            assert p["ids_crc32"] == zlib.crc32(raw) if "ids_crc32" in p else p["ids"] == raw
+            at += p["length"]
+        assert at == len(ids)
+    sizes = []
+    for parts in by_sequence.values():
+        at = 0
+        for p in sorted(parts, key=lambda p: p["offset"]):
+            assert p["offset"] == at
+            at += p["length"]
+        assert at <= capacity
+        sizes.append(at)
+    assert len(sizes) == -(-sum(sizes) // capacity) or sum(s < capacity for s in sizes) > 1
+    return sizes
+
+
+def source_divergence(rows, min_documents, top):
+    """rows: (text, lang, source)."""
+    rows = [(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lowered(t)), a or "", s or "") for t, a, s in rows]
+    out = []
+    for lang in {a for _, a, _ in rows}:
+        docs = Counter(w for words, a, _ in rows if a == lang for w in set(words))
+        kept = [w for w, k in docs.items() if k >= min_documents]
+        sources = {s for _, a, s in rows if a == lang}
+        count = {s: Counter(w for words, a, b in rows if (a, b) == (lang, s) for w in words) for s in sources}
+        whole = sum(count.values(), Counter())
+
+        def share(c):
+            total = sum(c[w] for w in kept) + len(kept)
+            return {w: 1 + 10**9 * (c[w] + 1) // total for w in kept}
+
+        p, q = {s: share(count[s]) for s in sources}, share(whole)
+        far = lambda x, y: (x - y) * (x - y) // y
+        for s in sources:
+            pairs = [(-sum(far(p[s][w], p[o][w]) for w in kept), o.encode()) for o in sources if o != s]
+            terms = [(-far(p[s][w], q[w]), w.encode()) for w in kept if count[s][w] > 0 and p[s][w] > q[w]]
+            out += [(lang, s, "pair", o.decode(), -v, i) for i, (v, o) in enumerate(sorted(pairs), 1)]
+            out += [(lang, s, "term", w.decode(), -v, i) for i, (v, w) in enumerate(sorted(terms)[:top], 1)]
+    return out
