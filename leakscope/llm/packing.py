@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,39 +32,104 @@ _LATER = 1 << 62
 
 # ---------------------------------------------------------------- tokens
 
-class Words(dict):
-    """Little-endian unsigned 32-bit ids by word, looked up at the tokenizer once. For tokenizers that split at white space and drop it,
-    a text's ids are those of its words in a row. Long words are not kept, and a full table starts anew."""
+class Words:
+    """Ids by word, asked from the tokenizer once. For tokenizers that lower letters, split at white space and drop it, a text's ids
+    are those of its words in a row; only where a text may hold special tokens its letters stay as they are. A table that has grown
+    beyond `limit` bytes starts anew."""
 
-    LIMIT, LONGEST = 400_000, 100
+    ENTRY = 180  # bytes that an entry takes beside its word and ids
+    MARK = "\x01"  # between words that are looked up together; words that hold it are looked up alone
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 300 << 20):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self._tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self._tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= self.LONGEST:
-            self[word] = ids
-        return ids
-
-    def ids(self, text: str, piece: int = 1 << 20) -> bytes:
-        """The ids of a whole text, a stretch of it at a time."""
-        raw, out, at = text.encode(), [], 0
-        while at < len(raw):
-            end = at + piece
-            while end < len(raw) and raw[end] not in b" \t\n\v\f\r":
-                end += 1
-            if len(self) > self.LIMIT:
-                self.clear()
-            out.append(b"".join(map(self.__getitem__, raw[at:end].split())))
-            at = end
-        return b"".join(out)
+        self._tokenizer, self._limit = Tokenizer.from_file(path), limit
+        mark = self._encoded(self.MARK)
+        self._mark = int(mark[0]) if len(mark) == 1 else None
+        self._empty()
+
+    def __len__(self) -> int:
+        return len(self._slot)
+
+    def _empty(self) -> None:
+        self._slot: dict[str, int] = {}
+        self._start, self._flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self._held = 0
+
+    def _encoded(self, text: str) -> np.ndarray:
+        return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, new: list[str]) -> None:
+        alone = [w for w in new if self._mark is None or self.MARK in w or "<|" in w]
+        apart = set(alone)
+        together = [w for w in new if w not in apart]
+        found = [self._encoded(w) for w in alone]
+        sizes = [len(ids) for ids in found]
+        if together:
+            ids = self._encoded(f" {self.MARK} ".join(together))
+            marks = np.flatnonzero(ids == self._mark)
+            if len(marks) != len(together) - 1:
+                raise ValueError("the tokenizer doesn't keep words apart")
+            ends = np.append(marks, len(ids)) - np.arange(len(together))
+            found.append(np.delete(ids, marks))
+            sizes += np.diff(ends, prepend=0).tolist()
+        self._slot.update(zip([*alone, *together], range(len(self._slot), len(self._slot) + len(new)), strict=True))
+        self._start = np.concatenate([self._start, self._start[-1] + np.cumsum(np.array(sizes, np.int64))])
+        self._flat = np.concatenate([self._flat, *found])
+        self._held += sum(map(len, new)) + self.ENTRY * len(new) + 4 * sum(sizes)
+
+    def _together(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, all words of the array looked up at once."""
+        words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if self._held > self._limit:
+            self._empty()
+        if new := [w for w in distinct if w not in self._slot]:
+            self._learn(new)
+        slots = np.fromiter(map(self._slot.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        size = self._start[slots + 1] - self._start[slots]
+        before = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(before[-1]) + np.repeat(self._start[slots] - before[:-1], size)
+        return np.split(self._flat[at], before[words.offsets.to_numpy()[1:-1] - words.offsets[0].as_py()])
+
+    def ids(self, texts: pa.Array, stretch: int = 1 << 22) -> Iterator[np.ndarray]:
+        """The ids of each whole text; a null is empty. Short texts are looked up together, long ones a stretch at a time."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        size = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())])
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(size, size[lo] + stretch, side="right")) - 1)
+            if size[hi] - size[lo] <= stretch:
+                yield from self._together(texts.slice(lo, hi - lo))
+            else:
+                parts = _stretches(texts[lo].as_py().encode(), stretch)
+                yield np.concatenate([self._together(pa.array([part.decode()], pa.large_string()))[0] for part in parts])
+            lo = hi
+
+
+def worker_words(path: str) -> Words:
+    """The table of this Python worker: a task goes on with the words that earlier tasks have looked up."""
+    import tokenizers
+
+    tables = tokenizers.__dict__.setdefault("_tables_of_words", {})
+    if path not in tables:
+        tables[path] = Words(path)
+    return tables[path]
+
+
+def _stretches(raw: bytes, least: int) -> Iterator[bytes]:
+    """The bytes in pieces of at least so many, cut at white space."""
+    at = 0
+    while at < len(raw):
+        end = at + least
+        while end < len(raw) and raw[end] not in b" \t\n\v\f\r":
+            end += 1
+        yield raw[at:end]
+        at = end
 
 
 # ---------------------------------------------------------------- packing
@@ -163,16 +229,14 @@ def _batch(rows: list[tuple[Piece, int | None, int | None]], head: int, task: in
 
 def _packer(tokenizer: str, end: int, capacity: int, linear: int, block_tokens: int) -> Callable:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, task, kind = Words(tokenizer), TaskContext.get().partitionId(), None
-        closing = np.array([end], "<u4").tobytes()
+        words, task, kind = worker_words(tokenizer), TaskContext.get().partitionId(), None
 
         def documents() -> Iterator[Piece]:
             nonlocal kind
             for batch in batches:
                 kind = batch.column(0).type
-                for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                    ids = words.ids(text.as_py() or "") + closing
-                    yield Piece(doc_id.as_py(), 0, ids, len(ids) // 4)
+                for doc_id, ids in zip(batch.column(0), words.ids(batch.column(1)), strict=True):
+                    yield Piece(doc_id.as_py(), 0, np.append(ids, np.uint32(end)).astype("<u4").tobytes(), len(ids) + 1)
 
         for rows in packed(_in_blocks(documents(), block_tokens), capacity, linear, last=False):
             for i in range(0, len(rows), 5000):

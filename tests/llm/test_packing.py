@@ -5,6 +5,7 @@ from collections import defaultdict
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -30,16 +31,14 @@ def docs_of(spark, rows):
 
 
 def test_ids_are_those_of_the_whole_text(tokenizer):
-    words = Words(PATH)
     random.seed(1)
-    texts = [*ODD, *("".join(random.choices([*"aZ'st 1é́\n\t ςΣ", "<|endoftext|>", "'ll "], k=60)) for _ in range(300))]
-    for text in texts:
-        want = tokenizer.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(words.ids(text), "<u4").tolist() == want
-        assert np.frombuffer(words.ids(text, piece=7), "<u4").tolist() == want
-    words.LIMIT = 3
-    assert np.frombuffer(words.ids("a b c d e f g h a b c", piece=2), "<u4").tolist() == tokenizer.encode("a b c d e f g h a b c").ids
-    assert len(words) <= 6
+    texts = [*ODD, "<|ENDOFTEXT|> A", *("".join(random.choices([*"aZ'st 1é́\n\t ςΣ", "<|endoftext|>", "'LL ", "Ab, "], k=60)) for _ in range(300))]
+    want = [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    for words, stretch in ((Words(PATH), 1 << 20), (Words(PATH), 40), (Words(PATH), 7), (Words(PATH, limit=3000), 7)):
+        assert [ids.tolist() for ids in words.ids(pa.array(texts), stretch)] == want
+    assert len(words) < 60  # a full table starts anew
+    assert list(words.ids(pa.array([], pa.string()))) == []
+    assert [ids.tolist() for ids in words.ids(pa.array(["x", None, "", "\x01 a\x01"]).slice(1))] == [[], [], tokenizer.encode("\x01 a\x01").ids]
 
 
 def test_query_holds_every_id_once(spark, sf, tokenizer):
