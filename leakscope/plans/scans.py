@@ -234,12 +234,14 @@ def scan_combined(repo_result: ScanResult, paste_result: ScanResult, scan_id: st
     )
 
 
-def history_rows(result: ScanResult, scan_type: str, duration: float | None = None) -> DataFrame:
-    """History rows of a result, one per scan id (which becomes the target)."""
+def history_rows(result: ScanResult, scan_type: str, duration: float | None = None, user: str | Column | None = None) -> DataFrame:
+    """History rows of a result, one per scan id (which becomes the target). `user` is who asked: one name, or a column made of
+    scan_id; without it rows have no user_email and `append_history` can't be read back by user."""
     counts = result.findings.groupBy("scan_id").agg(F.count(F.lit(1)).cast("int").alias("findings_count"))
     joined = result.scanned.join(counts, "scan_id", "left").join(result.summary, "scan_id", "left")
+    who = [] if user is None else [(F.lit(user) if isinstance(user, str) else user).alias("user_email")]
     return joined.select(
-        F.lit(scan_type).alias("scan_type"), F.col("scan_id").alias("target"),
+        *who, F.lit(scan_type).alias("scan_type"), F.col("scan_id").alias("target"),
         F.coalesce("findings_count", F.lit(0)).alias("findings_count"), F.coalesce("max_ess", F.lit(0.0)).alias("max_ess"),
         F.coalesce("label", F.lit(dims.ESS_FLOOR[0])).alias("ess_label"),
         F.col("total_sources_scanned").cast("int").alias("sources_scanned"), F.lit(duration).cast("double").alias("scan_duration"),

@@ -16,6 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from leakscope.functions.scoring import risk_rank
 from leakscope.operators.detect import scan
 from leakscope.operators.rollups import alert_summary, first_per_value
+from leakscope.sources.versions import Folder
+from leakscope.streaming.memory import new_since_last
 
 LANDED = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("target", T.StringType()), T.StructField("path", T.StringType()),
@@ -166,27 +168,68 @@ class AlertQueries(NamedTuple):
                 q.awaitTermination(timeout) if timeout is not None else q.awaitTermination()
 
 
+class AlertSink:
+    """Findings and alert row of each batch, which count from the moment their commit file is there.
+
+    A batch that is repeated after a stop overwrites what it had written without a commit; one that was committed is left alone. Readers go
+    by the commits (`committed`), so a batch is seen whole or not at all.
+    """
+
+    def __init__(self, spark: SparkSession, out: str):
+        self.out, self._commits = out, Folder(spark, f"{out}/commits")
+
+    def _name(self, batch_id: int) -> str:
+        return f"{batch_id:012d}.json"
+
+    def __call__(self, findings: DataFrame, batch_id: int) -> None:
+        if self._name(batch_id) in self._commits.names():
+            return
+        self.write_findings(findings, batch_id)
+        self.write_alert(findings, batch_id)
+        self.commit(batch_id)
+
+    def write_findings(self, findings: DataFrame, batch_id: int) -> None:
+        findings.write.mode("overwrite").parquet(f"{self.out}/findings/batch_id={batch_id}")
+
+    def write_alert(self, findings: DataFrame, batch_id: int) -> None:
+        alert_batch(findings).write.mode("overwrite").parquet(f"{self.out}/alerts/batch_id={batch_id}")
+
+    def commit(self, batch_id: int) -> None:
+        self._commits.put_new(self._name(batch_id), f'{{"batch_id": {batch_id}}}')
+
+
+def committed(spark: SparkSession, out: str, what: str) -> DataFrame:
+    """`findings` or `alerts` of all batches that an alert stream has ended, with their batch_id."""
+    done = spark.read.schema("batch_id long").json(f"{out}/commits")
+    rows = spark.read.parquet(f"{out}/{what}")
+    return rows.withColumn("batch_id", F.col("batch_id").cast("long")).join(done, "batch_id", "left_semi")
+
+
 def alert_stream(spark: SparkSession, landing: str, targets: DataFrame | None, out: str, checkpoint: str,
                  interval: str = "300 seconds", horizon: str = "1 day", profile: str = "context", fmt: str = "json",
                  scorer: Callable[[Column], Column] | None = None, once: bool = False, errors: str | None = None,
-                 max_files: int | None = None) -> AlertQueries:
-    """Start the recurring scan. Every micro-batch writes new findings and one alert row under its batch number, so a
-    repeated batch overwrites itself. `once` processes what is there and ends. `errors` names a folder for rows that can't be
-    read; they are a query of their own. Both end with `stop()`.
+                 max_files: int | None = None, again_after: str | None = None, stored: DataFrame | None = None,
+                 sink: Callable[[DataFrame, int], None] | None = None) -> AlertQueries:
+    """Start the recurring scan. Every micro-batch writes new findings and one alert row under its batch number and commits both
+    together (`AlertSink`, read with `committed`). `once` processes what is there and ends. `errors` names a folder for rows that
+    can't be read; they are a query of their own. Both end with `stop()`.
+
+    A value alerts once within the horizon. With `again_after` it alerts once, over all runs on this checkpoint and the `stored` leak
+    records, and again when that time has passed since (`memory.new_since_last`, in a `memory.state_session`).
     """
     landed = landed_documents(spark, landing, fmt, max_files)
     docs = readable(landed)
     docs = docs if targets is None else for_targets(docs, targets)
-    fresh = new_findings(tagged_findings(docs, profile, scorer), horizon)
+    tagged = tagged_findings(docs, profile, scorer)
+    fresh = new_findings(tagged, horizon) if again_after is None else new_since_last(tagged, again_after, stored, horizon)
+    sink = AlertSink(spark, out) if sink is None else sink
 
     def emit(batch: DataFrame, batch_id: int) -> None:
         kept = first_per_value(batch, ["detected_at", "source", "path", "start"], ["type", "value"])
         kept = kept.persist()
         try:
             # neither the value nor a snippet that shows any value leaves the query
-            safe = kept.withColumn("snippet", F.col("masked_snippet")).drop("value", "masked_snippet")
-            safe.write.mode("overwrite").parquet(f"{out}/findings/batch_id={batch_id}")
-            alert_batch(safe).write.mode("overwrite").parquet(f"{out}/alerts/batch_id={batch_id}")
+            sink(kept.withColumn("snippet", F.col("masked_snippet")).drop("value", "masked_snippet"), batch_id)
         finally:
             kept.unpersist()
 
