@@ -16,6 +16,7 @@ from leakscope.functions import scoring as S
 from leakscope.functions.spans import resolve_overlaps
 from leakscope.functions.text import is_blank, mask, snippet, strip
 from leakscope.operators.numbering import checkpointed
+from leakscope.operators.scores import KeptScores, classified, with_scores
 from leakscope.operators.detect import (
     FINDING_FIELDS, LIVE, Pattern, prepared_chunks, score_feature, sentence_spans, with_context_features,
 )
@@ -97,8 +98,10 @@ def scan_in_context(
     documents: DataFrame, key: str = "doc_id", scorer: Callable | None = None, scores: DataFrame | None = None,
     entities: DataFrame | None = None, patterns: Sequence[Pattern] = LIVE, *, text: str = "text",
     filename: str | None = "path", chunk_size: int | None = None, overlap: int = dims.CHUNK_OVERLAP, keep_severity: bool = False,
+    kept: KeptScores | None = None,
 ) -> DataFrame:
-    """The context profile with a batch classifier (or landed sentence scores) and landed entities.
+    """The context profile with a batch classifier (or landed sentence scores) and landed entities. With `kept`, sentences that earlier
+    runs have classified are looked up, and the others' scores are kept for later ones.
 
     Only span rows are shuffled, never texts: features are extracted in the scan stage and written once, sentences are
     classified once each, and overlap resolution regroups the spans of one text slice.
@@ -122,9 +125,10 @@ def scan_in_context(
         *carried, "chunk_no", "_r.*", (F.col("_r._f.start") + F.col("chunk_start")).alias("start"),
         (F.col("_r._f.end") + F.col("chunk_start")).alias("end"), F.col("_r._f.sentence_key").alias("_key"))
     if scorer is not None:
-        scores = score_sentences(base.select(F.explode("_texts").alias("_x")).select("_x.sentence"), scorer)
-    table = scores.select(F.md5("sentence").alias("_key"), F.col("scores").alias("_scores"))
-    rows = rows.join(table, "_key", "left").drop("_key")
+        table = classified(base.select(F.explode("_texts").alias("_x")).select("_x.sentence"), "sentence", scorer, kept)
+    else:
+        table = scores.select(F.md5("sentence").alias("key"), "scores")
+    rows = with_scores(rows, table, "_key")
     if entities is not None:
         span_key = [key, "start", "end"]
         people, cond = _close(entities.filter(F.col("label") == "PERSON"), key, ENTITY_REACH)

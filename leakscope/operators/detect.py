@@ -415,13 +415,13 @@ def with_spans(df: DataFrame, profile: str = "fast", patterns: Sequence[Pattern]
 def prepared_chunks(documents: DataFrame, profile: str, patterns: Sequence[Pattern] | None, text: str,
                     filename: str | None, chunk_size: int | None, overlap: int, spread_by: str | None,
                     screen: bool = False) -> DataFrame:
-    """Chunked and gated texts: what the expensive expressions run on. `screen` also drops what looks binary (by its first
-    500 characters, and those of each chunk) and, in the strict profile, minified.
+    """Chunked and gated texts: what the expensive expressions run on. `screen` also drops texts by file name, what looks binary (by
+    its first 500 characters, and those of each chunk) and, in the strict profile, minified.
 
     File names are tested below the generator. Text predicates sit above it, on its output, so that a text which is
     itself a computed column is computed once and not once per predicate.
     """
-    if filename:
+    if screen and filename:
         documents = documents.filter(~is_noise_filename(F.col(filename)))
     t = F.col(text)
     chunks = chunk_documents(documents.filter(t.isNotNull()), chunk_size, overlap, text, spread_by, head=500 if screen else 0)
@@ -447,8 +447,8 @@ def scan(
     """Scan every document; the other document columns are carried along to each finding.
 
     Texts are scanned whole. With `chunk_size`, longer ones are cut, and every piece sees `overlap` characters on both sides:
-    enough for matches and their context windows, and for sentences up to that length. `screen` leaves out what looks binary
-    or minified, as older scans did. `masked` adds `masked_snippet`, in which no value found in the text can be read: the form
+    enough for matches and their context windows, and for sentences up to that length. `screen` leaves out lock files
+    and the like (by the column `filename`) and what looks binary or minified, as older scans did. `masked` adds `masked_snippet`, in which no value found in the text can be read: the form
     to store or show.
 
     Profiles: `fast` (patterns, validators, keyword confidence), `context` (sentence scores from `scorer`, a function

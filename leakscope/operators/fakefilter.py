@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leakscope import dims
 from leakscope.functions.scoring import CONF, canonical_type, fake_keyword, label_mass, top_label
+from leakscope.operators.scores import KeptScores, classified, with_scores
 
 PROB3 = "decimal(4,3)"
 
@@ -33,20 +34,19 @@ def is_fake(snippet: Column, scores: Column | None = None) -> Column:
     return out.otherwise(none)
 
 
-def filter_fake(findings: DataFrame, scorer: Callable | None = None, vocab: str = "canonical") -> DataFrame:
+def filter_fake(findings: DataFrame, scorer: Callable | None = None, vocab: str = "canonical", kept: KeptScores | None = None) -> DataFrame:
     """Downgrade likely fakes among the eligible types and drop eligible findings left below 0.15.
 
-    `scorer` (pandas frames, `snippet` -> `snippet`, `scores`) classifies every distinct snippet of up to 512
-    characters once; without it only the keyword path applies.
+    `scorer` (pandas frames, `snippet` -> `snippet`, `scores`) classifies every distinct snippet once, whole; without it only the
+    keyword path applies. With `kept`, snippets that earlier runs have classified are looked up instead.
     """
     columns = findings.columns
     eligible = canonical_type(F.col("type"), vocab).isin(dims.FAKE_ELIGIBLE)
     if scorer is not None:
-        head = F.substring("snippet", 1, 512)
-        ask = findings.filter(eligible & fake_keyword(F.col("snippet")).isNull()).select(head.alias("snippet")).distinct()
-        table = ask.mapInPandas(scorer, "snippet string, scores map<string,double>")
-        table = table.select(F.col("snippet").alias("_head"), F.col("scores").alias("_scores"))
-        findings = findings.join(table, head == F.col("_head"), "left").drop("_head")
+        asked = F.when(eligible & fake_keyword(F.col("snippet")).isNull(), F.md5("snippet"))
+        findings = findings.withColumn("_text", asked)
+        table = classified(findings.filter(F.col("_text").isNotNull()), "snippet", scorer, kept)
+        findings = with_scores(findings, table, "_text")
         verdict = is_fake(F.col("snippet"), F.col("_scores"))
     else:
         verdict = is_fake(F.col("snippet"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from leakscope.functions.text import cut, is_blank, let, mask
 from leakscope.operators.detect import SPAN, Pattern, with_spans
-from leakscope.operators.screen import is_noise_filename
 
 REDACTED = "***REDACTED***"
 
@@ -39,19 +38,16 @@ def redacted(text: Column, spans: Column, mode: str = "mask", paged: Column | No
 
 def redact_documents(
     documents: DataFrame, profile: str = "fast", patterns: Sequence[Pattern] | None = None, mode: str = "mask",
-    text: str = "text", filename: str | None = None,
+    text: str = "text",
 ) -> DataFrame:
     """Documents with their findings covered in place; `redactions` counts them. One stage, no join with findings.
 
-    Every text is redacted, whole. With `filename`, texts in lock files and the like are passed through, as `scan` skips them.
+    Every text is redacted, whole, whatever its file is called.
     """
     t = F.col(text)
-    skip = is_blank(t)
-    if filename:
-        skip = skip | is_noise_filename(F.col(filename))
     carried = [c for c in documents.columns if c != text]
-    # a text to skip is scanned as null, which has no spans
-    shown = documents.withColumn("_scanned", F.when(~skip, t))
+    # a blank text is scanned as null, which has no spans
+    shown = documents.withColumn("_scanned", F.when(~is_blank(t), t))
     spans = with_spans(shown, profile, patterns, None, "_scanned").withColumn(
         "_spans", F.coalesce("_spans", F.array().cast(f"array<{SPAN}>")))
     return spans.select(*carried, redacted(t, F.col("_spans"), mode, F.col("_pages")).alias(text), F.size("_spans").alias("redactions"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -192,6 +192,23 @@ def scan_summary_numbers(scored: DataFrame, by: str | Sequence[str]) -> DataFram
     )
 
 
+def session_star(spark: SparkSession, path: str, sessions: Column | None = None, by: str = "scan_id") -> DataFrame:
+    """Per session and platform of the scans stored under `path` (`sinks.write_scan`): files, findings by risk, highest score.
+
+    `sessions` chooses sessions by their columns. Findings and scores are stored in a folder per session, and the choice decides
+    while the query runs which of them are read. Both are summed before they meet the platforms, so no finding is shuffled but as a sum.
+    """
+    stored = {name: spark.read.parquet(f"{path}/{name}") for name in ("scan_sessions", "platforms", "leak_records", "ess_records")}
+    chosen = stored["scan_sessions"] if sessions is None else stored["scan_sessions"].filter(sessions)
+    keys = chosen.select(by).distinct()
+    risks = [F.count_if(F.col("risk") == r).alias(r.lower()) for r in dims.RISK_LEVELS]
+    found = stored["leak_records"].join(keys, by, "left_semi").groupBy(by, "platform").agg(F.count(F.lit(1)).alias("findings"), *risks)
+    scores = stored["ess_records"].join(keys, by, "left_semi").groupBy(by, "platform").agg(F.max("score").alias("max_ess"))
+    files = stored["platforms"].join(keys, by, "left_semi").groupBy(by, "platform").agg(F.sum("file_count").alias("files"))
+    both = files.join(found, [by, "platform"], "left").join(scores, [by, "platform"], "left").fillna(0, ["findings", *(r.lower() for r in dims.RISK_LEVELS)])
+    return chosen.drop("scan_date").join(both, by)
+
+
 def combine_scans(a: DataFrame, b: DataFrame, by: str | Sequence[str] = "scan_id", avg: str = "as_is") -> DataFrame:
     """Merge two scan summaries: higher maximum with its label and colour (the first on ties), summed sources, united
     types. The average is the mean of both averages with a missing side as 0 (`as_is`), or weighted by the number of

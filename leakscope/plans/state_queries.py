@@ -5,13 +5,21 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from leakscope import dims
+from leakscope.operators import context as X
 from leakscope.operators import history as H
+from leakscope.operators.detect import scan
+from leakscope.operators.fakefilter import filter_fake
 from leakscope.operators.numbering import shared_folder
+from leakscope.operators.rollups import session_star as session_star_of
+from leakscope.operators.scores import KeptScores
+from leakscope.plans import detection_queries as D
 from leakscope.plans import oracle_sql as O
 from leakscope.plans import scans as P
 from leakscope.plans import source_queries as Q
-from leakscope.plans.registry import query
-from leakscope.sources.sinks import append_history, leak_records
+from leakscope.plans.registry import corpus_findings, dbl, query, table
+from leakscope.sources.layout import land_bucketed
+from leakscope.sources.sinks import append_history, leak_records, write_scan
 from leakscope.sources.versions import Folder, VersionedTable
 from leakscope.streaming import alerts as A
 from leakscope.streaming import memory as M
@@ -141,3 +149,111 @@ def alert_runs(spark, sf):
     parts = [("findings", findings.agg(*counts)), ("alerts", summed), ("after the stop", stop)]
     rows = [df.select(F.lit(part).alias("part"), *names) for part, df in parts]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+# --- layouts -----------------------------------------------------------------------------------------------------
+
+_LOST = "doc_id % 10 = 4"
+
+
+@query("bucketed_repo_scan", O.with_(f"{O.F}, {Q.CORPUS_FILES}", f"""select 'finding' as part, repo, path, type, count(*) as n from F join (select repo, path, doc_id from RF) using (doc_id) where not ({_LOST}) group by repo, path, type
+ union all select 'error', repo, path, 'Scan failed: no content', 1 from RF where {_LOST}""".replace("select repo, path, doc_id from RF) using", "select repo, path as rp, doc_id from RF) using").replace("repo, path, type, count(*)", "repo, rp as path, type, count(*)").replace("group by repo, path, type", "group by repo, rp, type")))
+def bucketed_repo_scan(spark, sf):
+    """Listing and contents landed in equal buckets: their join moves no text. Every tenth file's contents haven't landed."""
+    files, contents = Q._repo_tables(spark, sf)
+    landed = contents.filter(F.regexp_extract("path", "f([0-9]+)", 1).cast("long") % 10 != 4)
+    folder, name = _new_folder(spark, "layout"), uuid.uuid4().hex
+    listing = land_bucketed(files, f"files_{name}", f"{folder}/files", buckets=8)
+    texts = land_bucketed(landed, f"contents_{name}", f"{folder}/contents", buckets=8)
+    out = P.scan_repo(listing, texts, colocated=True)
+    found = out.findings.groupBy("repo", "path", "type").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("finding"))
+    errors = out.errors.select(F.lit("error").alias("part"), F.col("target").alias("repo"), "path", F.col("message").alias("type"), F.lit(1).cast("long").alias("n"))
+    return found.unionByName(errors)
+
+
+@query("lockfile_findings", O.with_(O.F, "select doc_id, type, value, true as screened_out from F"))
+def lockfile_findings(spark, sf):
+    """What stands in lock files and source maps is found; only `screen` leaves such files out."""
+    name = F.when(F.col("doc_id") % 2 == 0, "repo/package-lock.json").otherwise("site/x.map")
+    docs = Q.corpus(spark, sf).withColumn("path", name)
+    found, screened = (scan(docs, screen=how).select("doc_id", "type", "value") for how in (False, True))
+    return found.join(screened.withColumn("_s", F.lit(True)), ["doc_id", "type", "value"], "left").withColumn("screened_out", F.col("_s").isNull()).drop("_s")
+
+
+# --- scores kept between runs ------------------------------------------------------------------------------------
+
+def _by_length(column):
+    """A stand-in for a classifier: texts of odd length look invented."""
+
+    def scorer(frames):
+        for frame in frames:
+            odd = frame[column].str.len() % 2 == 1
+            yield frame[[column]].assign(scores=[{dims.FAKE_LABELS[0]: 0.9 if o else 0.1, "real": 0.1 if o else 0.9} for o in odd])
+
+    return scorer
+
+
+_LONG = "concat(repeat('text ', 200), doc_id, ' ', type)"
+
+
+@query("fake_filter_scored", O.with_(O.F, f"""select doc_id, type, cast(round(case when fake then conf * 0.28 else conf end, 3) as double) as confidence, fake as lowered
+ from (select *, {O.CANON} in ({', '.join(O.q(t) for t in sorted(dims.FAKE_ELIGIBLE))}) as eligible, length({_LONG}) % 2 = 1 and eligible as fake from F)
+ where not eligible or round(case when fake then conf * 0.28 else conf end, 3) >= 0.15"""))
+def fake_filter_scored(spark, sf):
+    """Snippets of over 512 characters that differ behind that are classified each by itself, in two passes with one table of scores."""
+    found = corpus_findings(spark, sf).withColumn("snippet", F.concat(F.repeat(F.lit("text "), 200), F.col("doc_id").cast("string"), F.lit(" "), "type"))
+    kept = KeptScores(spark, _new_folder(spark, "scores"), 8)
+    first = filter_fake(found, _by_length("snippet"), kept=kept)
+    second = filter_fake(found.filter(F.col("doc_id") >= 0), _never, kept=kept)
+    both = first.select("doc_id", "type", dbl("confidence").alias("confidence")).intersectAll(second.select("doc_id", "type", dbl("confidence").alias("confidence")))
+    return both.withColumn("lowered", F.col("confidence") < 0.6)
+
+
+def _never(frames):
+    for frame in frames:
+        raise AssertionError(f"{len(frame)} texts are classified again")
+    return
+    yield
+
+
+@query("scores_reused", O.with_(D.CONTEXT_CTES, """, N as (select count(*) as n from CF), T as (select count(distinct text) as n from hitsok)
+select 1 as pass, T.n as classified, N.n as findings from N, T union all select 2, 0, N.n from N""").replace("\n, N as", ", N as"))
+def scores_reused(spark, sf):
+    """The context scan twice with one table of scores: the second pass classifies nothing and finds the same."""
+    kept, docs, rows, before = KeptScores(spark, _new_folder(spark, "scores"), 8), Q.corpus(spark, sf), [], 0
+    for n in (1, 2):
+        found = X.scan_in_context(docs, scorer=D._lexical_frames if n == 1 else _never, kept=kept).count()
+        stored = kept.table.read().count()
+        rows.append((n, stored - before, found))
+        before = stored
+    return spark.createDataFrame(rows, "pass int, classified long, findings long")
+
+
+# --- the star of a scan's tables ---------------------------------------------------------------------------------
+
+@query("session_star", f"""with S as (select distinct o_orderkey % 40 as scan_id, case o_orderkey % 40 % 4 when 0 then 'github' when 1 then 'pastes' else 'social' end as scan_type from orders),
+L as (select l_orderkey % 40 as scan_id, l_returnflag as platform, count(*) as findings, count(*) filter (where l_linestatus = 'O') as critical from lineitem group by 1, 2),
+P as (select o_orderkey % 40 as scan_id, case o_orderstatus when 'F' then 'A' when 'O' then 'N' else 'R' end as platform, count(*) as files from orders group by 1, 2),
+E as (select l_orderkey % 40 as scan_id, l_returnflag as platform, max(cast(l_linenumber as double)) as max_ess from lineitem group by 1, 2)
+select scan_id, scan_type, platform, files, coalesce(findings, 0) as findings, coalesce(critical, 0) as critical, max_ess from S join P using (scan_id)
+ left join L using (scan_id, platform) left join E using (scan_id, platform) where scan_type = 'github'""")
+def session_star(spark, sf):
+    """The four tables of stored scans, joined for the sessions of one kind: only their partitions of findings and scores are read."""
+    folder = _new_folder(spark, "star")
+    _stored_star(spark, sf, folder)
+    return session_star_of(spark, folder, F.col("scan_type") == "github").select("scan_id", "scan_type", "platform", "files", "findings", "critical", "max_ess")
+
+
+def _stored_star(spark, sf, folder):
+    li, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    k = F.col("l_orderkey") % 40
+    findings = li.select(k.alias("scan_id"), F.col("l_returnflag").alias("platform"), F.lit("PAN").alias("type"), F.col("l_partkey").cast("string").alias("value"),
+                         F.col("l_comment").alias("snippet") if "l_comment" in li.columns else F.lit("").alias("snippet"),
+                         F.when(F.col("l_linestatus") == "O", "Critical").otherwise("Low").alias("risk"))
+    ess = li.select(k.alias("scan_id"), F.col("l_returnflag").alias("platform"), F.col("l_linenumber").cast("double").alias("score")).distinct()
+    s = F.col("o_orderkey") % 40
+    kind = F.when(s % 4 == 0, "github").when(s % 4 == 1, "pastes").otherwise("social")
+    sessions = orders.select(s.alias("scan_id"), kind.alias("scan_type")).distinct()
+    status = F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "N").otherwise("R")
+    platforms = orders.groupBy(s.alias("scan_id"), status.alias("platform")).agg(F.count(F.lit(1)).alias("file_count"))
+    write_scan(findings, ess, folder, "2024-05-01", sessions, platforms)

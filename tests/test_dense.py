@@ -14,7 +14,7 @@ def test_dump(spark):
     assert len(rows) == n
     for r in rows[:: n // 50]:
         assert text[r.start:r.end] == r.value and r.value in r.snippet and len(r.snippet) <= 174
-    out = redact_documents(df, mode="fixed", filename=None).first()
+    out = redact_documents(df, mode="fixed").first()
     assert out.redactions == n and out.text == "é***REDACTED***, " * n
 
 
