@@ -12,33 +12,11 @@ from leakscope import dims
 from leakscope.functions import scoring as S
 from leakscope.functions.text import html_escape, literal_array, lookup
 from leakscope.operators import rollups as R
+from leakscope.operators.guide import GUIDES, NO_FINDINGS, NOTHING_TO_DO
 from leakscope.operators.numbering import number_rows
 
-# What exposure of a type makes possible (our wording).
-IMPACT = {
-    "IN_AADHAAR": "National identity number: identity theft, financial fraud, SIM cloning.",
-    "IN_PAN": "Tax identity: false returns, account fraud, KYC bypass.",
-    "IN_CARD": "Payment card: unauthorised and card-not-present charges.",
-    "IN_GSTIN": "Tax registration: false invoices, credit theft.",
-    "IN_UPI": "Payment address: collect-request fraud, social engineering.",
-    "IN_ABHA": "Health account: access to medical records.",
-    "IN_PASSPORT": "Travel document: visa fraud, impersonation.",
-    "PHONE_NUMBER_INDIA": "Mobile number: SIM swap, phishing by call or message.",
-    "EMAIL_ADDRESS": "Mail address: credential stuffing, phishing.",
-}
-# What to do about it (our wording).
-REMEDY = {
-    "IN_AADHAAR": "Call UIDAI (1947), lock the biometrics in mAadhaar, go to the police on misuse.",
-    "IN_PAN": "Tell banks and watch ITR and Form 26AS at incometax.gov.in.",
-    "IN_CARD": "Have the card blocked and replaced at once, dispute unknown charges.",
-    "IN_GSTIN": "Report at gst.gov.in and watch for invoices that are not yours.",
-    "IN_UPI": "Ask the payment bank for a new address, watch debit requests.",
-    "IN_ABHA": "Review linked providers at healthid.ndhm.gov.in and revoke unknown ones.",
-    "IN_PASSPORT": "Report to the Passport Seva Kendra and consider a new passport.",
-    "PHONE_NUMBER_INDIA": "Set a SIM lock and a port-out PIN, beware of callers.",
-    "EMAIL_ADDRESS": "Turn on a second factor, check logins, change the password.",
-}
-NO_REMEDY = "No specific remediation actions required based on detected entity types."
+IMPACT = {kind: g.harm for kind, g in GUIDES.items()}
+REMEDY = {kind: g.step for kind, g in GUIDES.items()}
 PLATFORM_LABEL = {"github": "GitHub", "pastebin": "Pastebin", "combined": "GitHub + Pastebin"}
 
 
@@ -151,20 +129,20 @@ def report_fragments(findings: DataFrame, scored: DataFrame, summary: DataFrame,
     num = lambda c: F.col(c).cast("string")
     duration = F.when(F.col("scan_duration") > 0, F.concat(_one_decimal(F.col("scan_duration")), F.lit("s"))).otherwise("—")
     header = F.concat(
-        F.lit('<!DOCTYPE html><html lang="en"><head><meta charset="UTF-8"><title>PII classification report: '),
-        html_escape(F.col("target")), F.lit("</title></head><body><h1>PII Classification Report</h1><ul>"),
+        F.lit('<!DOCTYPE html><html lang="en"><head><meta charset="UTF-8"><title>Exposed identifiers: '),
+        html_escape(F.col("target")), F.lit("</title></head><body><h1>Exposed identifiers</h1><ul>"),
         li(html_escape(F.col("target"))), li(lookup(PLATFORM_LABEL, F.col("scan_type"), F.col("scan_type"))),
         li(num("files_scanned"), F.lit(" files scanned")), li(num("total"), F.lit(" findings")), li(duration), F.lit("</ul>"),
     )
-    gauge = F.concat(F.lit("<ul>"), li(F.lit("Max ESS "), _one_decimal(F.col("max_ess")), F.lit(" "), F.col("label")),
-                     li(F.lit("Avg ESS "), _one_decimal(F.col("avg_ess"))), li(F.lit("Sources "), num("sources")), F.lit("</ul>"))
+    gauge = F.concat(F.lit("<ul>"), li(F.lit("Worst "), _one_decimal(F.col("max_ess")), F.lit(" "), F.col("label")),
+                     li(F.lit("Mean "), _one_decimal(F.col("avg_ess"))), li(F.lit("Sources "), num("sources")), F.lit("</ul>"))
     risk = F.concat(F.lit("<p>"), F.col("risk"), F.lit(": "), num("findings"), F.lit(" ("), F.format_string("%.0f", "pct"), F.lit("%)</p>"))
     pct0 = lambda c: F.concat(F.round(F.col(c) * 100, 0).cast("int").cast("string"), F.lit("%"))
     kinds = F.concat(F.lit("<p>"), F.col("display_name"), F.lit(": "), num("findings"), F.lit(", avg "), pct0("avg_confidence"),
                      F.lit(", "), pct0("min_confidence"), F.lit(" – "), pct0("max_confidence"), F.lit(". "),
                      html_escape(F.col("impact")), F.lit("</p>"))
     combos = F.concat(F.lit("<p>"), html_escape(F.col("toxic_combo_label")), F.lit(" — "),
-                      F.format_string("%.2f", "toxic_multiplier"), F.lit("× severity multiplier</p>"))
+                      F.format_string("%.2f", "toxic_multiplier"), F.lit("times as severe</p>"))
     bands = F.concat(F.lit("<ul>"), li(F.lit("High "), num("high")), li(F.lit("Medium "), num("medium")), li(F.lit("Low "), num("low")),
                      li(F.lit("Average "), _one_decimal(F.col("avg_confidence") * 100), F.lit("%")),
                      li(F.lit("Validated "), num("validated")), li(F.lit("Annotated "), num("annotated")), F.lit("</ul>"))
@@ -179,20 +157,20 @@ def report_fragments(findings: DataFrame, scored: DataFrame, summary: DataFrame,
     combo_scans = tables["combos"].select(by).distinct()
     parts = [
         section(0, tables["overview"], header),
-        opened(1, "Executive Summary"), section(1, tables["overview"], F.col("executive_summary")),
-        opened(2, "Exposure Severity Score"), section(2, tables["gauge"], gauge),
-        opened(3, "Risk Distribution"), section(3, tables["risk"], risk, F.col("risk_rank")),
-        opened(4, "Entity Type Classification"), section(4, tables["types"], kinds, F.col("type_rank")),
-        opened(5, "Detailed Findings"), section(5, with_findings, F.lit("<table>")),
+        opened(1, "At a glance"), section(1, tables["overview"], F.col("executive_summary")),
+        opened(2, "How exposed"), section(2, tables["gauge"], gauge),
+        opened(3, "By level of risk"), section(3, tables["risk"], risk, F.col("risk_rank")),
+        opened(4, "By kind of data"), section(4, tables["types"], kinds, F.col("type_rank")),
+        opened(5, "Every finding"), section(5, with_findings, F.lit("<table>")),
         section(5, listed, finding_row(F.col("row_no")), F.col("row_no")),
-        section(5, without_findings, F.lit("<p>No PII findings to display.</p>")),
+        section(5, without_findings, F.lit(f"<p>{NO_FINDINGS}</p>")),
         section(6, with_findings, F.lit("</table>")),
-        section(7, combo_scans, F.lit("<h2>Toxic Combinations Detected</h2>"), F.lit(-1)),
+        section(7, combo_scans, F.lit("<h2>Kinds that are worse together</h2>"), F.lit(-1)),
         section(7, tables["combos"], combos, (F.lit(1000) - F.round(F.col("toxic_multiplier") * 100, 0))),
-        section(8, tables["confidence"], F.concat(F.lit("<h2>Confidence Analysis</h2>"), bands)),
-        opened(9, "Remediation Recommendations"),
+        section(8, tables["confidence"], F.concat(F.lit("<h2>How sure</h2>"), bands)),
+        opened(9, "What owners can do"),
         section(9, tables["remediation"], remedy, F.array_position(literal_array(list(REMEDY)), F.col("type"))),
-        section(9, without_remedy, F.lit(f"<p>{NO_REMEDY}</p>")),
+        section(9, without_remedy, F.lit(f"<p>{NOTHING_TO_DO}</p>")),
         section(10, scans, F.lit("</body></html>")),
     ]
     return R.union_findings(*parts)

@@ -370,7 +370,7 @@ def redacted_text(spark, sf):
 @query("redacted_documents", O.with_(DOC_LIST, """select d.doc_id, cast(length(d.text) - coalesce(sum(length(f.v)), 0) + coalesce(sum(length(f.type) + 2), 0) as bigint) as chars, cast(count(f.v) as int) as redactions
  from documents d left join DF f using (doc_id) group by d.doc_id, d.text"""))
 def redacted_documents(spark, sf):
-    out = redact_documents(table(spark, sf, "documents"), mode="label", filename=None)
+    out = redact_documents(table(spark, sf, "documents"), mode="label")
     return out.select("doc_id", F.length("text").cast("bigint").alias("chars"), "redactions")
 
 

@@ -222,7 +222,7 @@ def playbook_documents(spark, sf):
     lines = P.playbook_markdown(P.playbooks(P.exposed_by_repo(found)), P.exposed_files(found))
     return lines.groupBy("repo").agg(
         F.count_if(F.col("path") != "").alias("path_lines"), F.max(F.when(F.col("text").startswith("**Exposed"), F.col("text"))).alias("files_line"),
-        F.count_if(F.col("text").startswith("## Step")).cast("int").alias("warnings_and_steps"))
+        F.count_if(F.col("text").startswith("## ") & (F.col("text") != "## Afterwards")).cast("int").alias("warnings_and_steps"))
 
 
 ADVISED = "case " + " ".join(f"when t in ({', '.join(O.q(x) for x in types)}) then {O.q(text)}" for types, text in P.ADVICE) + " end"
