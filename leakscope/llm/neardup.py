@@ -11,15 +11,14 @@ from pyspark.sql import functions as F
 from leakscope.llm.common import LOWER, NO_ID, SPACES, blocks, flat, fresh, mix, rolled, row_key, signed, stored, word_hashes, words
 
 BINS, BANDS, ROWS = 256, 32, 4
-#: Pairs whose sketches agree on less than this share are not compared. A pair of similarity 0.8 agrees on 0.8 with a
-#: standard deviation of 0.025, so less than 1 in 100,000 of the least similar links falls below; pairs share many bands.
-AGREE = 0.69
-#: Buckets are compared in blocks of so many members.
-BLOCK = 2000
-#: After the stars, a member is compared with so many of those it agrees with best outside its group, round by round; in the
-#: end with all of them.
-NEAREST = (2, 16, None)
-SKETCH = "k_id long, k_hash long, doc_id long, n long, s1 long, s2 long, bands array<long>, sketch binary"
+#: Star pairs whose sketches agree on less than the wanted similarity by over SLACK / sqrt(d), d the bins that aren't empty, are not
+#: compared. By Hoeffding's bound a link falls there in exp(-2 * SLACK ** 2) of all cases, 1 in 2 billion; for d below 17 nothing does.
+SLACK = 3.3
+#: Members of a bucket that are compared with each other at once, and shingles of their sets.
+BLOCK, BLOCK_SHINGLES = 4000, 2_000_000
+#: So many members are compared pair by pair, more through the postings of their shingles.
+FEW = 24
+SKETCH = "k_id long, k_hash long, doc_id long, n long, s1 long, s2 long, bands array<long>, sketch binary, bins int"
 _EMPTY = np.uint64(2**64 - 1)
 
 
@@ -80,6 +79,7 @@ def _sketched(window: int):
                 "s1": signed(np.array(sums[0], np.uint64)), "s2": signed(np.array(sums[1], np.uint64)),
                 "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(signed(bands.ravel()))),
                 "sketch": pa.array([r.tobytes() for r in bytes_], pa.binary()),
+                "bins": pa.array([len(np.unique(s >> np.uint64(56))) for s in sets], pa.int32()),
             })
 
     return run
@@ -100,16 +100,27 @@ def _agreement(a: Column, b: Column) -> Column:
     return share(a, b)
 
 
-def _overlap(a: Column, b: Column, window: int) -> Column:
-    """Sizes of intersection and union of two texts' shingle sets."""
-    @F.arrow_udf("struct<both: long, any: long>")
-    def sizes(x: pa.Array, y: pa.Array) -> pa.Array:
-        xs, ys = shingle_sets(x, window), shingle_sets(y, window)
-        both = [len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(xs, ys, strict=True)]
-        total = [len(s) + len(t) - n for s, t, n in zip(xs, ys, both, strict=True)]
-        return pa.StructArray.from_arrays([pa.array(both, pa.int64()), pa.array(total, pa.int64())], ["both", "any"])
+def _set_bytes(text: Column, window: int) -> Column:
+    """The sorted shingle hashes of a text, eight bytes each."""
+    @F.arrow_udf("binary")
+    def packed(texts: pa.Array) -> pa.Array:
+        return pa.array([x.tobytes() for x in shingle_sets(texts, window)], pa.binary())
 
-    return sizes(a, b)
+    return packed(text)
+
+
+def _set(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
+def _common(a: Column, b: Column) -> Column:
+    """The size of the intersection of two sets."""
+    @F.arrow_udf("long")
+    def size(x: pa.Array, y: pa.Array) -> pa.Array:
+        pairs = zip(x.to_pylist(), y.to_pylist(), strict=True)
+        return pa.array([len(np.intersect1d(_set(s), _set(t), assume_unique=True)) for s, t in pairs], pa.int64())
+
+    return size(a, b)
 
 
 # ---------------------------------------------------------------- components
@@ -133,53 +144,108 @@ def components(links: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- operator
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, window: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union. Sketches are compared first."""
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"s_{name}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(_agreement(F.col("s_a"), F.col("s_b")) >= AGREE).select("a", "b")
-    text = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"t_{name}"))
-    sized = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", _overlap(F.col("t_a"), F.col("t_b"), window).alias("o"))
-    return sized.filter((F.col("o.any") > 0) & (100 * F.col("o.both") >= percent * F.col("o.any"))).select("a", "b")
-
-
-def _rest(rows: DataFrame, nodes: DataFrame, nearest: int | None, start: bool) -> DataFrame:
-    """Pairs of one bucket that lie in different groups and whose sketches agree: what the stars may have missed. Of every
-    member that is `open`, the `nearest` best (None: all) come out; a member that has more comes out as a pair with itself, and
-    is open in the next round. In the first round (`start`) all are open, and the block's largest group is left to the others'
-    side. Later the largest group may be another one, so it plays no part. Buckets are compared in blocks of about BLOCK members."""
-    many = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("open").alias("any")).filter("r0 != r1 and any")
-    wanted = rows.join(many.select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), "bucket")
-    mine = wanted.withColumn("mine", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    cells = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "root", "open")
-
-    def pairs(pdf):
-        import pandas as pd
-
-        sk = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, BINS)
-        mine, cell = pdf["mine"].to_numpy(), (pdf["x"].iat[0], pdf["y"].iat[0])
-        roots = pd.factorize(pdf["r1"].astype(str) + ":" + pdf["r2"].astype(str))[0]
-        stray = roots != np.bincount(roots).argmax() if start else pdf["open"].to_numpy()
-        sides = [np.flatnonzero(mine == c) for c in dict.fromkeys(cell)]
-        found = []
-        for own, others in zip(sides, sides[::-1], strict=True):
-            theirs = sk[others]
-            for i in own[stray[own]]:
-                agree = np.count_nonzero(theirs == sk[i], axis=1)
-                near = np.flatnonzero((agree >= AGREE * BINS) & (roots[others] != roots[i]))
-                if nearest is not None and len(near) > nearest:
-                    near = near[np.argsort(-agree[near], kind="stable")[:nearest]]
-                    found.append(np.array([[i, i]]))
-                found.append(np.stack([np.full(len(near), i), others[near]], axis=1))
-        at = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        n1, n2 = pdf["n1"].to_numpy(), pdf["n2"].to_numpy()
-        return pd.DataFrame({"bucket": pdf["bucket"].iat[0], "a1": n1[at[:, 0]], "a2": n2[at[:, 0]], "b1": n1[at[:, 1]], "b2": n2[at[:, 1]]})
-
-    flat_ = cells.join(nodes.select("node", "sketch"), "node").select(
-        "bucket", "x", "y", "mine", F.col("node.s1").alias("n1"), F.col("node.s2").alias("n2"), F.col("root.s1").alias("r1"), F.col("root.s2").alias("r2"), "open", "sketch")
-    out = flat_.groupBy("bucket", "x", "y").applyInPandas(pairs, "bucket long, a1 long, a2 long, b1 long, b2 long")
+def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union. Sizes and sketches are looked at first."""
+    side = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "bins", "sketch")])
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    least = F.lit(percent / 100) - F.lit(SLACK) / F.sqrt(F.least("bins_a", "bins_b"))
+    near = sized.filter(_agreement(F.col("sketch_a"), F.col("sketch_b")) >= least).select("a", "b", "n_a", "n_b")
+    full = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}"))
+    both = near.join(full("a"), "a").join(full("b"), "b").select("a", "b", "n_a", "n_b", _common(F.col("set_a"), F.col("set_b")).alias("both"))
+    return both.filter(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+
+
+def forest(mine: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between members of different groups, compared on their full sets: as many as join the groups, so fewer than members.
+
+    mine: the part of each member, one or two; with two, pairs of one part are left to that part's own cell.
+    """
+    n, label, out = np.array([len(x) for x in sets]), groups.copy(), []
+    parts = np.unique(mine)
+
+    def join(i: int, j: int) -> None:
+        out.append((i, j))
+        label[label == label[j]] = label[i]
+
+    def open_to(i: int) -> np.ndarray:
+        fits = (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        return fits & (mine != mine[i]) if len(parts) == 2 else fits
+
+    if len(sets) <= FEW:
+        for i in range(len(sets)):
+            for j in np.flatnonzero(open_to(i)):
+                if j > i and label[i] != label[j]:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (n[i] + n[j] - both):
+                        join(i, j)
+        return out
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    holder = np.repeat(np.arange(len(sets)), n)[np.argsort(shingle, kind="stable")]  # members by shingle
+    size = np.bincount(shingle)
+    start, first = np.cumsum(size) - size, np.cumsum(n) - n
+    for i in np.flatnonzero(mine == parts[0]):
+        if not open_to(i).any():
+            continue
+        own = shingle[first[i] : first[i] + n[i]]
+        own = own[size[own] > 1]
+        k = size[own]
+        at = np.arange(k.sum()) + np.repeat(start[own] - (np.cumsum(k) - k), k)
+        both = np.bincount(holder[at], minlength=len(sets))
+        for j in np.flatnonzero(open_to(i) & (100 * both >= percent * (n + n[i] - both))):
+            if label[i] != label[j]:
+                join(i, j)
+    return out
+
+
+def _linked(percent: int):
+    """Rows sorted by cell to the links of each cell. One cell at a time is held."""
+
+    def links(cell: list[tuple]) -> list[tuple]:
+        if len({r[3:5] for r in cell}) < 2:
+            return []
+        number: dict[tuple, int] = {}
+        groups = np.array([number.setdefault(r[3:5], len(number)) for r in cell])
+        found = forest(np.array([r[0] for r in cell]), groups, [_set(r[5]) for r in cell], percent)
+        return [(*cell[i][1:3], *cell[j][1:3]) for i, j in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, key, cell = ("a1", "a2", "b1", "b2"), None, []
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*rows) if rows else [()] * 4)], names)
+
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != key:
+                    out += links(cell)
+                    key, cell = row[:3], []
+                cell.append(row[3:])
+            yield batch_of(out)
+        yield batch_of(links(cell))
+
+    return run
+
+
+def _rest(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of one bucket that lie in different groups: what the stars have missed. rows: bucket, node, root, n.
+
+    In every bucket with several groups all pairs of different groups are compared on their full sets, and a spanning forest of the
+    links comes out: refused pairs are no rows, and a bucket has fewer links than members. Buckets beyond BLOCK members or
+    BLOCK_SHINGLES are compared in cells of two parts of about that size.
+    """
+    stats = rows.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("several"), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    wanted = F.when(F.col("several"), F.struct("bucket", "parts"))
+    # at most BANDS buckets of a member; its set joins it once and goes out with each of them
+    members = rows.join(stats, "bucket").groupBy("node", "root").agg(F.collect_list(wanted).alias("of")).filter(F.size("of") > 0)
+    each = members.join(sets, "node").select("node", "root", "set", F.explode("of").alias("o")).select("node", "root", "set", "o.*")
+    each = each.withColumn("mine", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = each.select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", F.col("node.s1").alias("n1"),
+                        F.col("node.s2").alias("n2"), F.col("root.s1").alias("r1"), F.col("root.s2").alias("r2"), "set")
+    dealt = cells.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "n1", "n2")
+    out = dealt.mapInArrow(_linked(percent), "a1 long, a2 long, b1 long, b2 long")
     node = lambda p: F.struct(F.col(f"{p}1").alias("s1"), F.col(f"{p}2").alias("s2"))
-    return out.select("bucket", F.greatest(node("a"), node("b")).alias("a"), F.least(node("a"), node("b")).alias("b"))
+    return out.select(F.greatest(node("a"), node("b")).alias("a"), F.least(node("a"), node("b")).alias("b"))
 
 
 def near_duplicates(documents: DataFrame, window: int = 5, percent: int = 80) -> DataFrame:
@@ -188,8 +254,8 @@ def near_duplicates(documents: DataFrame, window: int = 5, percent: int = 80) ->
     One row per document: k_id and k_hash (its key, see `row_key`), doc_id, n (size of its set), c_id and c_hash (key of the
     first document of its group). Equal sets are one class; only classes go on. Classes that share a band are candidates: in
     every bucket, the class that shares most buckets with others is the centre and the others are compared with it, so a
-    bucket gives one pair per member. Members that the stars leave in different groups are compared afterwards, where their
-    sketches agree: with the nearest first, in rounds, and in the end with all of these. Every link is confirmed on the full sets.
+    bucket gives one pair per member. Where members of a bucket still lie in different groups, they are compared with each other on
+    their full sets, and only links that join groups come out.
 
     Null, empty and blank texts have an empty set and a group of their own. Rows that share id and text are one document. A
     null id counts as smaller than any other. An empty table gives no rows. Texts are read whole.
@@ -197,9 +263,9 @@ def near_duplicates(documents: DataFrame, window: int = 5, percent: int = 80) ->
     docs = stored(sketches(documents, window), "sketches")
     key = F.struct("k_id", "k_hash")
     nodes = stored(
-        docs.filter("n > 0").groupBy(F.struct("s1", "s2").alias("node")).agg(F.min(key).alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        docs.filter("n > 0").groupBy(F.struct("s1", "s2").alias("node")).agg(F.min(key).alias("first"), *[F.first(c).alias(c) for c in ("n", "bins", "bands", "sketch")]),
         "classes")
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
+    members = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     rows = stored(members.join(shared, "bucket"), "buckets")
     degree = rows.groupBy("node").agg(F.sum("m").alias("degree"))
@@ -210,27 +276,15 @@ def near_duplicates(documents: DataFrame, window: int = 5, percent: int = 80) ->
 
     wanted = degree.join(nodes.select("node", "first"), "node").select("node", "first.k_id", "first.k_hash")
     source = documents.select(*row_key(), "text")
-    texts = stored(source.join(wanted, ["k_id", "k_hash"]).select("node", "text").dropDuplicates(["node"]), "texts")
-
-    links = stored(_verified(star, nodes, texts, window, percent), "links")
-    root, tested, again = stored(components(links), "roots"), star, None
-    for nearest in NEAREST:
-        placed = rows.select("bucket", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if again is None:
-            placed = placed.withColumn("open", F.lit(True))
-        else:
-            placed = placed.join(again.select("bucket").distinct(), "bucket", "left_semi").join(again, ["bucket", "node"], "left")
-            placed = placed.withColumn("open", F.coalesce("open", F.lit(False)))
-        found = stored(_rest(placed, nodes, nearest, again is None), "rest")
-        again = found.filter("a = b").select("bucket", F.col("a").alias("node"), F.lit(True).alias("open")).distinct()
-        rest = stored(found.filter("a != b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "rest")
-        more = stored(_verified(rest, nodes, texts, window, percent), "links")
-        tested = tested.unionAll(rest)
-        if not more.isEmpty():
-            links = links.unionAll(more)
-            root = stored(components(links), "roots")
-        if again.isEmpty():
-            break
+    texts = source.join(wanted, ["k_id", "k_hash"]).dropDuplicates(["node"])
+    sets = stored(texts.select("node", _set_bytes(F.coalesce("text", F.lit("")), window).alias("set")), "sets")
+
+    links = stored(_verified(star, nodes, sets, percent), "links")
+    root = stored(components(links), "roots")
+    placed = rows.select("bucket", "node", "n").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = stored(_rest(stored(placed, "placed"), sets, percent), "links")
+    if not more.isEmpty():
+        root = stored(components(links.unionAll(more)), "roots")
 
     classes = nodes.select("node", "first").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = classes.groupBy("root").agg(F.min("first").alias("group"))

@@ -33,7 +33,7 @@ def near_copies(seed):
     return rows
 
 
-@pytest.mark.parametrize("block", [2000, 3])
+@pytest.mark.parametrize("block", [4000, 3])
 def test_groups_like_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
     rows = near_copies(1)
@@ -82,26 +82,54 @@ def test_shingles_lower_ascii_only():
     assert a.tolist() == b.tolist() and a.tolist() != c.tolist()
 
 
-def rest(spark, groups, opened, nearest, start):
-    """What one round of one bucket gives, as pairs of numbers: groups has the root of every member, whose sketches are all equal."""
-    pair = "struct<s1: long, s2: long>"
-    rows = [(1, (i, 0), (root, 0), i in opened) for i, root in groups.items()]
-    rows = spark.createDataFrame(rows, f"bucket long, node {pair}, root {pair}, open boolean")
-    nodes = spark.createDataFrame([((i, 0), bytes(neardup.BINS)) for i in groups], f"node {pair}, sketch binary")
-    return {(r.a.s1, r.b.s1) for r in neardup._rest(rows, nodes, nearest, start).collect()}
+def test_short_texts_at_the_limit_lose_no_link(spark):
+    """Pairs of 4 to 12 words whose similarity is at or around 0.8."""
+    random.seed(4)
+    word, rows = iter(range(10**6, 10**7)), []
+    for _ in range(3000):
+        w = [f"w{random.randint(0, 10**7)}" for _ in range(random.randint(4, 12))]
+        other = w[:-1] if random.random() < 0.7 else w[1:] if random.random() < 0.5 else [*w, f"v{next(word)}"]
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(other))]
+    rows += [(len(rows) + k, t) for k, t in enumerate(["a b c d e f w4507769 w9826643", "a b c d e f w4507769"])]
+    assert got(frame(spark, rows), 4) == brute.near_duplicates(rows, 4, 80)
 
 
-@pytest.mark.parametrize("block", [2000, 5])
-def test_groups_that_merge_past_the_largest_keep_their_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, few", [(4000, 24), (100, 3)])
+def test_a_large_group_just_below_the_limit(spark, monkeypatch, block, few):
     monkeypatch.setattr(neardup, "BLOCK", block)
-    groups = dict.fromkeys(range(10), 0) | dict.fromkeys(range(10, 16), 10) | dict.fromkeys(range(16, 22), 16)
-    again = {a for a, b in rest(spark, groups, groups, 2, True) if a == b}
-    assert again >= set(range(10, 22))  # each has more near ones than are taken
-    merged = groups | dict.fromkeys(range(16, 22), 10)  # 12 members against 10
-    assert {(b, a) for b in range(10, 22) for a in range(10)} <= rest(spark, merged, again, None, False)
-
-
-@pytest.mark.parametrize("opened", [range(3), range(3, 6)])
-def test_groups_of_one_size_keep_their_pairs(spark, opened):
-    groups = dict.fromkeys(range(3), 0) | dict.fromkeys(range(3, 6), 3)
-    assert rest(spark, groups, opened, None, False) == {(b, a) for b in range(3, 6) for a in range(3)}
+    monkeypatch.setattr(neardup, "FEW", few)
+    random.seed(6)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(600):
+        w = list(base)
+        for at in random.sample(range(120), random.choice([2, 3, 3, 4, 4])):
+            w[at] = f"v{random.randint(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    want = brute.near_duplicates(rows, 4, 80)
+    assert 5 < len({root for _, root in want.values()}) < 595
+    assert got(frame(spark, rows), 4) == want
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_links_of_a_cell_join_what_full_sets_join(monkeypatch, few):
+    monkeypatch.setattr(neardup, "FEW", few)
+    rng = np.random.default_rng(3)
+    for parts in (1, 2):
+        for _ in range(30):
+            common = rng.integers(0, 10**6, 40, dtype=np.uint64)
+            sets = [np.unique(np.concatenate((common[rng.random(40) < 0.93], rng.integers(10**7, 10**8, rng.integers(0, 5), dtype=np.uint64)))) for _ in range(14)]
+            groups, mine = rng.integers(0, 9, 14), rng.integers(0, parts, 14)
+            found = neardup.forest(mine, groups, sets, 80)
+            near = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
+            assert all(near(i, j) for i, j in found) and len(found) < 14
+
+            def joined(links, groups=groups):
+                label = groups.copy()
+                for _ in range(14):
+                    for i, j in links:
+                        label[label == max(label[i], label[j])] = min(label[i], label[j])
+                return label.tolist()
+
+            two = len(np.unique(mine)) == 2
+            every = [(i, j) for i in range(14) for j in range(i) if near(i, j) and (not two or mine[i] != mine[j])]
+            assert joined(found) == joined(every)
