@@ -1,15 +1,18 @@
 """Context scoring with landed sentences, entities and a batch classifier.
 
-Spans, sentences and entities meet in interval joins. Positions are cut into fixed blocks of characters, so the join is
-an equality on (document, block) with the interval test as residue: one long document spreads over many keys and only
-neighbouring rows are compared.
+Spans meet sentences in a sweep over ranges of (document, offset). Spans and entities meet in an interval join: positions are cut
+into fixed blocks of characters, so it is an equality on (document, block) with the interval test as residue. Either way one long
+document spreads over many tasks.
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leakscope import dims
 from leakscope.functions import scoring as S
@@ -38,23 +41,68 @@ def _blocks(first: Column, last: Column) -> Column:
     return F.explode(F.sequence((first / BLOCK).cast("int"), (last / BLOCK).cast("int")))
 
 
+def _swept(key: str, carried: dict[int, tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of a partition by (key, position): spans get the bounds of the last sentence that began before them, if it holds them."""
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the sentence that is open where a batch begins
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            col = {name: batch.column(name) for name in ("_kind", "_s", "_e", "_pos", "_end")}
+            if held is None:
+                held = carried.get(batch.column("_part")[0].as_py(), (None, -1, -1))
+            kind = col["_kind"].to_numpy()
+            s, e = (np.append(col[c].fill_null(-1).to_numpy(), held[i]) for i, c in ((1, "_s"), (2, "_e")))
+            keys = np.empty(len(kind) + 1, object)
+            keys[:-1], keys[-1] = batch.column(key).to_pylist(), held[0]
+            last = np.maximum.accumulate(np.where(kind == 0, np.arange(len(kind)), -1))  # -1 is the one that was carried in
+            fits = (keys[last] == keys[:-1]) & (s[last] <= col["_pos"].to_numpy()) & (col["_end"].to_numpy() <= e[last]) & (s[last] >= 0)
+            held = (keys[last[-1]], int(s[last[-1]]), int(e[last[-1]]))
+            out = batch.drop_columns(["_kind", "_part", "_s", "_e", "_pos", "_end"])
+            for name, values in (("sentence_start", s), ("sentence_end", e)):
+                out = out.append_column(name, pa.array(values[last].astype(np.int32), pa.int32(), mask=~fits))
+            yield out.filter(pa.array(kind == 1))
+
+    return sweep
+
+
+def sentence_offsets(spans: DataFrame, sentences: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Each span with `sentence_start` and `sentence_end` of the sentence that holds it whole, null when none does (sentences of a
+    document are disjoint). sentences: key, s, e; only offsets move.
+
+    Both sides are dealt out by ranges of (document, offset), so a document with very many spans spreads over many tasks, and one pass
+    over each part carries the open sentence along. What is open where a part begins is one row per earlier part.
+    """
+    kind = spans.schema[key].dataType
+    names = ["_kind", "_pos", "_end", "_s", "_e"]
+    number = lambda *cols: [F.col(c).cast("int").alias(n) if isinstance(c, str) else F.lit(c).cast("int").alias(n) for n, c in zip(names, cols, strict=True)]
+    asked = spans.select("*", *number(1, "start", "end", None, None))
+    marks = sentences.select(F.col(key).cast(kind).alias(key), *number(0, "s", "e", "s", "e"))
+    both = asked.unionByName(marks, allowMissingColumns=True)
+    order = [F.col(key), F.col("_pos"), F.col("_kind")]
+    placed = checkpointed(both.repartitionByRange(F.col(key), F.col("_pos")).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    ends = placed.groupBy("_part").agg(F.max(F.when(F.col("_kind") == 0, F.struct(key, "_s", "_e"))).alias("last"))  # a row per task
+    carried, held = {}, None
+    for row in ends.orderBy("_part").collect():
+        if held is not None:
+            carried[row["_part"]] = held
+        held = tuple(row["last"]) if row["last"] is not None else held
+    schema = T.StructType([*spans.schema.fields, T.StructField("sentence_start", T.IntegerType()), T.StructField("sentence_end", T.IntegerType())])
+    nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+    return placed.mapInArrow(_swept(key, carried), nullable)
+
+
 def sentence_of_span(spans: DataFrame, sentences: DataFrame, key: str = "doc_id") -> DataFrame:
     """Each span with the text of the sentence that contains it whole, "" when none does (sentences are disjoint).
 
-    The sentence text travels once per span, not once per block: blocks carry offsets, the text joins by its own key.
+    The sentence is found by offsets alone; its text is joined to it by (key, s). Where `sentences` is a table in buckets by these two
+    (`sources.layout.land_bucketed`), no text is shuffled.
     """
-    placed = sentences.select(
-        F.col(key).alias("_k"), F.col("s").alias("_ss"), F.col("e").alias("_se"), _blocks(F.col("s"), F.col("e")).alias("_b")
-    )
-    left = spans.withColumn("_b", (F.col("start") / BLOCK).cast("int"))
-    cond = (
-        (F.col(key) == F.col("_k")) & (left["_b"] == placed["_b"])
-        & (F.col("_ss") <= F.col("start")) & (F.col("end") <= F.col("_se"))
-    )
-    held = left.join(placed, cond, "left").drop("_k").drop(left["_b"]).drop(placed["_b"])
+    offsets = sentence_offsets(spans, sentences.select(key, "s", "e"), key)
     texts = sentences.select(F.col(key).alias("_k"), F.col("s").alias("_s2"), F.col("text").alias("sentence"))
-    out = held.join(texts, (F.col(key) == F.col("_k")) & (F.col("_ss") == F.col("_s2")), "left")
-    return out.drop("_k", "_s2", "_ss", "_se").withColumn("sentence", F.coalesce("sentence", F.lit("")))
+    out = offsets.join(texts, (F.col(key) == F.col("_k")) & (F.col("sentence_start") == F.col("_s2")), "left")
+    return out.drop("_k", "_s2", "sentence_start", "sentence_end").withColumn("sentence", F.coalesce("sentence", F.lit("")))
 
 
 def _reaching(spans: DataFrame, radius: int) -> DataFrame:
@@ -159,4 +207,4 @@ def scan_in_context(
     return out if keep_severity else out.select(*carried, *FINDING_FIELDS)
 
 
-__all__ = ["split_sentences", "sentence_of_span", "entities_near", "score_sentences", "scan_in_context"]
+__all__ = ["split_sentences", "sentence_offsets", "sentence_of_span", "entities_near", "score_sentences", "scan_in_context"]

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from leakscope import dims
 from leakscope.functions import scoring as S
+from leakscope.operators.numbering import checkpointed
 
 
 def _keys(by: str | Sequence[str] | None) -> list[str]:
@@ -138,6 +139,8 @@ def first_per_value(findings: DataFrame, order: Sequence[str], keys: Sequence[st
 
 # up to this many rows Spark itself cuts every group before the shuffle (its WindowGroupLimit threshold)
 GROUP_LIMIT_PUSHED = 1000
+# and up to this many rows one task orders a group's first rows
+RANGE_LIMIT = 100_000
 SALTS = 64
 
 
@@ -145,10 +148,13 @@ def limit_per_group(df: DataFrame, keys: str | Sequence[str], order: Sequence[Co
     """First n rows of each group in the given order, which should be total; all rows if n is None.
 
     A rank filter: each task keeps at most n rows of a group before the shuffle. For large n, where Spark does not do
-    that by itself, groups are first cut inside salted parts, then once more.
+    that by itself, groups are first cut inside salted parts, then once more; beyond RANGE_LIMIT they are cut by ranges, without a
+    task that sees n rows.
     """
     if n is None:
         return df
+    if n > RANGE_LIMIT:
+        return first_by_range(df, keys, order, n)
     names = _keys(keys)
     if n > GROUP_LIMIT_PUSHED:
         plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]
@@ -159,6 +165,29 @@ def limit_per_group(df: DataFrame, keys: str | Sequence[str], order: Sequence[Co
     return df.withColumn("_rn", F.row_number().over(window)).filter(F.col("_rn") <= n).drop("_rn")
 
 
+def first_by_range(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
+    """First n rows of each group in the given order, which should be total, for n of any size.
+
+    Rows are dealt out by ranges of (group, order), so a hot group spreads over many tasks in its order. Counts per task and group, one
+    row each, say which tasks hold only rows within the first n, which none, and in which one the cut lies; only there rows are numbered.
+    """
+    names = _keys(keys)
+    by = [F.col(k) for k in names]
+    placed = checkpointed(df.repartitionByRange(*by, *[F.col(o) if isinstance(o, str) else o for o in order]).withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy(*names, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    room = counts.withColumn("_room", F.lit(n) - F.coalesce(F.sum("_n").over(earlier), F.lit(0))).filter(F.col("_room") > 0)
+    named = room.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(names)], F.col("_part").alias("_p"), "_n", "_room")
+    on = F.col("_part") == F.col("_p")
+    for i, k in enumerate(names):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    held = placed.join(named, on)
+    whole = held.filter(F.col("_n") <= F.col("_room"))
+    local = Window.partitionBy("_part", *names).orderBy(*order)
+    cut = held.filter(F.col("_n") > F.col("_room")).withColumn("_rn", F.row_number().over(local)).filter(F.col("_rn") <= F.col("_room"))
+    return whole.select(*df.columns).unionByName(cut.select(*df.columns))
+
+
 # --- scans, sessions ---------------------------------------------------------------------------------------------
 
 

@@ -1,6 +1,8 @@
 """Queries: screening, detection, validation, context, redaction."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +14,12 @@ from leakscope.operators import context as X
 from leakscope.operators import detect as D
 from leakscope.operators.fakefilter import filter_fake
 from leakscope.operators.kyc import classify_document, document_type, is_kyc, kyc_findings
+from leakscope.operators.numbering import checkpointed, shared_folder
 from leakscope.operators.redact import redact_documents
 from leakscope.operators.screen import chunk_documents, drop_blank, screened, with_skip_reason
 from leakscope.plans import oracle_sql as O
 from leakscope.plans.registry import corpus, corpus_findings, dbl, identity, joined, query, table
+from leakscope.sources.layout import land_bucketed
 
 # --- whole documents ---------------------------------------------------------------------------------------------
 
@@ -496,9 +500,11 @@ CUT = r"string_split_regex(regexp_replace({}, '([.!?])\s+', concat('\1', chr(30)
 
 @query("sentence_of_span", O.with_(DOC_LIST, f"select doc_id, cast(s as int) as start_pos, type, {CUT.format('text')}[len({CUT.format('substr(text, 1, s)')})] as sentence from DF"))
 def sentence_of_span(spark, sf):
-    docs = table(spark, sf, "documents")
-    spans = D.scan(docs, filename=None).select("doc_id", "type", "start", "end")
-    out = X.sentence_of_span(spans, X.split_sentences(docs))
+    """Sentences are landed in buckets by document and offset; spans meet them without moving a text."""
+    docs, run = table(spark, sf, "documents"), uuid.uuid4().hex
+    spans = checkpointed(D.scan(docs, filename=None).select("doc_id", "type", "start", "end"))
+    sentences = land_bucketed(X.split_sentences(docs), f"sentences_{run}", f"{shared_folder(spark).rstrip('/')}/sentences-{run}", ("doc_id", "s"), 8)
+    out = X.sentence_of_span(spans, sentences)
     return out.select("doc_id", F.col("start").alias("start_pos"), "type", "sentence")
 
 
