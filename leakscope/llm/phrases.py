@@ -3,7 +3,7 @@ streamed through the automaton of its shard to find all occurrences."""
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import numpy as np
@@ -129,10 +129,36 @@ def confirmed_passages(documents: DataFrame, window: int = WINDOW, gram: int = G
     return stretches(found, window - 1).unionAll(own)
 
 
+#: An automaton has at most so many different words; there are 1,112,031 characters for them. Longer passages are cut to pieces.
+AUTOMATON_WORDS, PIECE_WORDS = 1_000_000, 1 << 18
+
+
+def pieces(passage: tuple[bytes, ...]) -> list[tuple[bytes, ...]]:
+    """The passage, or pieces of PIECE_WORDS that cover it. Every window of a piece recurs as well, so its other places count too."""
+    last = len(passage) - PIECE_WORDS
+    if last <= 0:
+        return [passage]
+    return [passage[i : i + PIECE_WORDS] for i in [*range(0, last, PIECE_WORDS), last]]
+
+
+def automata(passages: set[tuple[bytes, ...]]) -> Iterator[PassageAutomaton]:
+    """The passages in as many automata as their different words need, one at a time."""
+    group: list[tuple[bytes, ...]] = []
+    known: set[bytes] = set()
+    for piece in (x for p in passages for x in pieces(p)):
+        if group and len(known) + len(piece) > AUTOMATON_WORDS and len(known.union(piece)) > AUTOMATON_WORDS:
+            yield PassageAutomaton(group)
+            group, known = [], set()
+        group.append(piece)
+        known.update(piece)
+    if group:
+        yield PassageAutomaton(group)
+
+
 class PassageAutomaton:
     """An automaton over words: every word of a passage is written as one character, all other words as a blank."""
 
-    def __init__(self, passages: list[list[bytes]]):
+    def __init__(self, passages: list[tuple[bytes, ...]]):
         self.codes: dict[bytes, str] = {}
         self.automaton = ahocorasick.Automaton()
         for p in passages:
@@ -145,7 +171,7 @@ class PassageAutomaton:
             self.automaton.make_automaton()
         self.empty = not passages
 
-    def written(self, own: list[bytes]) -> str:
+    def written(self, own: Sequence[bytes]) -> str:
         return "".join(map(self.codes.get, own, [" "] * len(own)))
 
     def found(self, own: list[bytes]) -> np.ndarray:
@@ -159,7 +185,7 @@ class PassageAutomaton:
 
 
 def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every few MB of documents are a shard: their confirmed passages become one automaton, then all of them pass it."""
+    """Every few MB of documents are a shard: their confirmed passages become an automaton, then all of them pass it."""
     for batch in batches:
         texts, gone = batch.column("text"), batch.column("gone")
         _, off = flat(texts)
@@ -170,10 +196,12 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if g.is_valid:
                     for a, b in zip(*merged(*(g.values.field(c).to_numpy() for c in ("lo", "hi"))), strict=True):
                         passages.add(tuple(own[a:b]))
-            automaton = PassageAutomaton([list(p) for p in passages])
+            gone_ = [np.zeros(len(own), bool) for own in split]
+            for automaton in automata(passages):
+                for own, flags in zip(split, gone_, strict=True):
+                    flags |= automaton.found(own)
             out = {"doc_id": batch.column("doc_id")[lo:hi], "n_words": [], "n_removed": [], "kept_sha256": []}
-            for own in split:
-                flags = automaton.found(own)
+            for own, flags in zip(split, gone_, strict=True):
                 kept = own if not flags.any() else [own[i] for i in np.flatnonzero(~flags)]
                 for name, x in zip(list(out)[1:], (len(own), int(flags.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()), strict=True):
                     out[name].append(x)

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import brute
@@ -7,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from leakscope.llm import passages
+from leakscope.llm import phrases as phrase_module
 from leakscope.llm.phrases import PassageAutomaton, phrase_dedup
 from leakscope.llm.suffixes import suffix_array, suffix_dedup
 
@@ -124,3 +126,24 @@ def test_listings_that_differ_in_one_entry(spark):
     page = lambda *own: " ".join(w for e in own for w in e + phrase)
     rows = [(1, page(*entries)), (2, page(entries[0], other, *entries[2:]))]
     assert phrases(frame(spark, rows), 35, 8) == brute.phrase_dedup(rows, 35)
+
+
+def test_passages_with_more_words_than_characters(spark):
+    """Two copies of a text with 1.2 million different words, and a document that shares a stretch of it."""
+    text = " ".join(f"w{i:x}" for i in range(1_200_000))
+    rows = [(1, text), (2, "before " + text), (3, "other " + " ".join(f"w{i:x}" for i in range(900_000, 900_100)) + " words"), (4, "w1 w2 w3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in phrase_dedup(df).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {1: (1_200_000, 1_200_000, sha("")), 2: (1_200_001, 1_200_000, sha("before")), 3: (102, 100, sha("other words")), 4: (3, 0, sha("w1 w2 w3"))}
+
+
+def test_passages_in_pieces_and_several_automata(monkeypatch):
+    monkeypatch.setattr(phrase_module, "PIECE_WORDS", 6)
+    monkeypatch.setattr(phrase_module, "AUTOMATON_WORDS", 8)
+    words = [f"w{i}".encode() for i in range(40)]
+    confirmed = {tuple(words[:20]), tuple(words[25:31]), tuple(words[33:36])}
+    assert all(len(p) in (3, 6) for x in confirmed for p in phrase_module.pieces(x))
+    found = sum(a.found(words).astype(int) for a in phrase_module.automata(confirmed)) > 0
+    assert found.tolist() == [i < 20 or 25 <= i < 31 or 33 <= i < 36 for i in range(40)]
+    assert list(phrase_module.automata(set())) == [] and len(list(phrase_module.automata(confirmed))) > 2
