@@ -65,3 +65,18 @@ def latest_profiles(log: DataFrame, updated_at: str = "updated_at") -> DataFrame
 def last_scan(log: DataFrame, scanned_at: str = "scanned_at") -> DataFrame:
     """Latest stored scan per user."""
     return latest_profiles(log, scanned_at)
+
+
+def users_overview(log: DataFrame, history: DataFrame, tie: str = "id") -> DataFrame:
+    """Everybody who has a profile or a history: current profile, totals over all scans, and the newest scan.
+
+    Profile, totals and newest scan are one row per user before they meet, so a user with very many scans is combined on the map side.
+    """
+    newest = history.groupBy("user_email").agg(F.max(F.struct("created_at", tie, "scan_type")).alias("_n"))
+    both = user_dashboard(history).join(newest, "user_email")
+    out = latest_profiles(log).join(both, "user_email", "full")
+    return out.select(
+        "user_email", *[c for c in log.columns if c not in ("user_email", "updated_at")], "updated_at",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total_scans", "total_findings", "max_ess", "sources_scanned")],
+        F.col(f"_n.{tie}").alias(f"last_{tie}"), F.col("_n.scan_type").alias("last_scan_type"), F.col("_n.created_at").alias("last_scan_at"),
+    )

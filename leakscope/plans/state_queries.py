@@ -12,12 +12,13 @@ from leakscope.operators.detect import scan
 from leakscope.operators.fakefilter import filter_fake
 from leakscope.operators.numbering import shared_folder
 from leakscope.operators.rollups import session_star as session_star_of
+from leakscope.operators.rollups import session_totals, type_union
 from leakscope.operators.scores import KeptScores
 from leakscope.plans import detection_queries as D
 from leakscope.plans import oracle_sql as O
 from leakscope.plans import scans as P
 from leakscope.plans import source_queries as Q
-from leakscope.plans.registry import corpus_findings, dbl, query, table
+from leakscope.plans.registry import corpus_findings, dbl, joined, query, table
 from leakscope.sources.layout import land_bucketed
 from leakscope.sources.sinks import append_history, leak_records, write_scan
 from leakscope.sources.versions import Folder, VersionedTable
@@ -257,3 +258,38 @@ def _stored_star(spark, sf, folder):
     status = F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "N").otherwise("R")
     platforms = orders.groupBy(s.alias("scan_id"), status.alias("platform")).agg(F.count(F.lit(1)).alias("file_count"))
     write_scan(findings, ess, folder, "2024-05-01", sessions, platforms)
+
+
+@query("session_totals_ess", """with PL as (select o_orderkey % 50 as session_id, case o_orderstatus when 'F' then 'A' when 'O' then 'N' else 'R' end as platform, count(*) as f from orders group by 1, 2),
+L as (select l_orderkey % 50 as session_id, l_returnflag as platform, count(*) as g from lineitem group by 1, 2),
+R as (select session_id, platform, cast(sum(f) as bigint) as total_files, cast(sum(g) as bigint) as total_findings from (select session_id, platform, f, 0 as g from PL union all select session_id, platform, 0, g from L) group by rollup (session_id, platform) having session_id is not null),
+E as (select l_orderkey % 50 as session_id, max(l_linenumber * 10) as hi, sum(l_linenumber * 10) as s, count(*) as n from lineitem group by 1)
+select session_id, platform, total_files, total_findings, cast(hi as double) / 100 as max_ess, cast((2 * s + n) // (2 * n) as double) / 100 as avg_ess from R left join E using (session_id)""")
+def session_totals_ess(spark, sf):
+    """Files and findings of every session with its highest and mean score."""
+    li, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    leaks = li.select((F.col("l_orderkey") % 50).alias("session_id"), F.col("l_returnflag").alias("platform"))
+    status = F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "N").otherwise("R")
+    platforms = orders.select((F.col("o_orderkey") % 50).alias("session_id"), status.alias("platform"), F.lit(1).alias("file_count"))
+    scored = li.select((F.col("l_orderkey") % 50).alias("session_id"), (F.col("l_linenumber").cast("decimal(4,2)") / 10).alias("score"))
+    return session_totals(leaks, platforms, scored)
+
+
+@query("types_of_sources", "select p_partkey, array_to_string(list_sort(list_distinct(list_concat(case when p_partkey % 3 = 0 then [] else [p_brand, p_type] end, case when p_partkey % 2 = 0 then [p_type, p_name] else [] end))), ',') as types from part")
+def types_of_sources(spark, sf):
+    """The types that two scans of a source found, together; a scan that found none has no list."""
+    k = F.col("p_partkey")
+    one, two = F.when(k % 3 != 0, F.array("p_brand", "p_type")), F.when(k % 2 == 0, F.array("p_type", "p_name"))
+    return table(spark, sf, "part").select("p_partkey", joined(type_union(one, two)).alias("types"))
+
+
+@query("users_overview", f"""with L as (select concat('u', c_custkey) as user_email, c_mktsegment as notes, c_custkey as v from customer where c_custkey % 3 <> 0),
+T as (select user_email, count(*) as total_scans, cast(sum(findings_count) as bigint) as total_findings, max(max_ess) as max_ess, cast(sum(sources_scanned) as bigint) as sources_scanned, arg_max(id, (created_at, id)) as last_id, arg_max(scan_type, (created_at, id)) as last_scan_type from {Q.HIST} group by user_email)
+select coalesce(L.user_email, T.user_email) as user_email, notes, coalesce(total_scans, 0) as total_scans, coalesce(total_findings, 0) as total_findings, coalesce(max_ess, 0.0) as max_ess, coalesce(sources_scanned, 0) as sources_scanned, last_id, last_scan_type
+ from L full join T on L.user_email = T.user_email""")
+def users_overview(spark, sf):
+    """Profiles with history; two thirds of the customers have a profile, others only scans or only a profile."""
+    k = F.col("c_custkey")
+    old = table(spark, sf, "customer").filter(k % 3 != 0).select(F.concat(F.lit("u"), k.cast("string")).alias("user_email"), F.lit("old").alias("notes"), F.lit(1).alias("updated_at"))
+    log = old.unionByName(table(spark, sf, "customer").filter(k % 3 != 0).select(F.concat(F.lit("u"), k.cast("string")).alias("user_email"), F.col("c_mktsegment").alias("notes"), F.lit(2).alias("updated_at")))
+    return H.users_overview(log, Q._history(spark, sf)).drop("updated_at", "last_scan_at")
