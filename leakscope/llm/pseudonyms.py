@@ -6,6 +6,7 @@ every document, different values stay different, and the holder of the key can t
 """
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from leakscope.llm.common import fresh
 
 ROUNDS = 8
-#: Days of 1900-01-01 .. 2099-11-08, as a product: 260 x 281.
-DATE_FROM, DATE_A, DATE_B = "1900-01-01", 260, 281
+#: The days of 1900-01-01 .. 2099-12-31 lie in a product, 260 x 281, that has 11 more.
+DATE_FROM, DAYS, DATE_A, DATE_B = "1900-01-01", 73049, 260, 281
 
 # The formats.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -23,14 +24,22 @@ DATE = r"(?<![\p{L}\p{N}])(?:19|20)\d\d-\d\d-\d\d(?![\p{L}\p{N}])"
 IPV4 = r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}]|\.\d)"
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d\d-\d{4}(?![\p{L}\p{N}]|-\d)"
 PHONE = r"(?<![\p{L}\p{N}])\+1[ -]?(?:\(\d{3}\)|\d{3})[ -]?\d{3}[ -]?\d{4}(?![\p{L}\p{N}])"
+#: Numbers of other countries: 8 to 15 digits with the country code, in groups that end where what has another format's shape begins.
+PHONE_ABROAD = rf"(?<![\p{{L}}\p{{N}}])\+[2-9]\d(?:(?:[ -](?!{EMAIL}|\d{{4}}-\d\d-\d\d(?![\p{{L}}\p{{N}}])|{IPV4}|{SSN}))?\d){{6,13}}(?![\p{{L}}\p{{N}}])"
+#: Country codes of one and two digits; all others have three.
+COUNTRY = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 GROUP = r"\d++(?![\p{L}\p{N}])"
 #: Groups of digits with single blanks or hyphens between, 13 digits at least, that end where another format begins. Which of
 #: the groups are a card is for `cards` to say.
 CARD = rf"(?<![\p{{L}}\p{{N}}])(?=\d(?:[ -]?\d){{12}}){GROUP}(?:[ -](?!{EMAIL}|{DATE}|{IPV4}|{SSN}){GROUP})*+"
 #: The written forms of a card: unbroken, or 4-4-4-4, 4-6-5 and 4-6-4 with one kind of separator.
 CARD_FORM = r"^(\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{4}|\d{4}([ -])\d{6}\3\d{4,5})$"
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, DATE, IPV4, SSN, PHONE, CARD))
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
+ANY = "|".join(f"(?:{p})" for p in (EMAIL, DATE, IPV4, SSN, PHONE, PHONE_ABROAD, CARD))
+#: Runs of code points, all letters or all digits of one script, as first and number: 0-9, A-Z, a-z, Latin, Greek, Cyrillic, Hebrew, Arabic,
+#: Devanagari, Thai, kana, Han, Hangul.
+RUNS = [(0x30, 10), (0x41, 26), (0x61, 26), (0xC0, 23), (0xD8, 7), (0xDF, 24), (0xF8, 8), (0x100, 128), (0x391, 17), (0x3A3, 7), (0x3B1, 25),
+        (0x400, 16), (0x410, 32), (0x430, 32), (0x450, 16), (0x5D0, 27), (0x620, 43), (0x905, 53), (0xE01, 48), (0x3041, 86), (0x30A1, 90),
+        (0x4E00, 20902), (0xAC00, 11172)]
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -39,8 +48,14 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _hash(key: str, *parts: Column) -> Column:
-    """60 bits of a keyed SHA-256."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]).cast("binary"), 256), 1, 15), 16, 10).cast("long")
+    """60 bits of an HMAC (SHA-256) over the parts, each with its length before it."""
+    secret = key.encode()
+    secret = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ pad for b in secret)) for pad in (0x36, 0x5C))
+    texts = [p.cast("string") for p in parts]
+    message = F.concat(*[x for t in texts for x in (F.octet_length(t).cast("string"), F.lit(":"), t)]).cast("binary")
+    digest = F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256)
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def feistel(a: Column, b: Column, mod_a: Column, mod_b: Column, kind: str, key: str, back: bool = False) -> Column:
@@ -158,9 +173,13 @@ def cards(run: Column, key: str, back: bool = False) -> Column:
 
 
 def phone_pseudonym(text: Column, key: str, back: bool = False) -> Column:
-    """The ten digits after the country code are permuted."""
-    d = _digits(text)
-    return _refill(text, F.concat(F.lit("1"), _decimal(F.substring(d, 2, 10), F.lit(10), "phone", key, back)))
+    """The digits after the country code are permuted."""
+    def new(d: Column) -> Column:
+        code = F.regexp_extract(d, COUNTRY, 1)
+        n = F.length(d) - F.length(code)
+        return F.concat(code, _decimal(F.substring(d, F.length(code) + 1, n), n, "phone", key, back))
+
+    return _refill(text, _let(_digits(text), new))
 
 
 def is_ssn(text: Column) -> Column:
@@ -192,26 +211,40 @@ def _day(text: Column) -> Column:
 
 
 def is_date(text: Column) -> Column:
-    return F.coalesce(_day(text).between(0, DATE_A * DATE_B - 1), F.lit(False))
+    return F.coalesce(_day(text).between(0, DAYS - 1), F.lit(False))
 
 
 def date_pseudonym(text: Column, key: str, back: bool = False) -> Column:
-    out = _let(_day(text), lambda day: feistel(F.floor(day / DATE_B), day % DATE_B, F.lit(DATE_A), F.lit(DATE_B), "date", key, back))
-    return _let(out, lambda o: F.date_format(F.date_add(F.lit(DATE_FROM).cast("date"), (o["a"] * DATE_B + o["b"]).cast("int")), "yyyy-MM-dd"))
+    """Permuted until the result is a day of the range again. Eleven places of the product are none, so twelve steps are always enough,
+    and the map stays a bijection of the range."""
+    def once(day: Column) -> Column:
+        out = feistel(F.floor(day / DATE_B), day % DATE_B, F.lit(DATE_A), F.lit(DATE_B), "date", key, back)
+        return _let(out, lambda o: o["a"] * DATE_B + o["b"])
+
+    more = F.sequence(F.lit(1), F.lit(DATE_A * DATE_B - DAYS))
+    day = F.aggregate(more, once(_day(text).cast("long")), lambda acc, _: F.when(acc < DAYS, acc).otherwise(once(acc)))
+    return F.date_format(F.date_add(F.lit(DATE_FROM).cast("date"), day.cast("int")), "yyyy-MM-dd")
+
+
+def _in_run(code: Column, new: Callable[[Column, Column], Column], same: Column) -> Column:
+    """The character of code point new(first, number) of the run that `code` lies in, `same` where it lies in none."""
+    run = F.lit(None).cast("struct<base:int,n:int>")
+    for base, n in reversed(RUNS):
+        run = F.when(code.between(base, base + n - 1), F.struct(F.lit(base).alias("base"), F.lit(n).alias("n"))).otherwise(run)
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 4, F.lit("0"))), "UTF-16BE")
+    return _let(run, lambda r: F.when(r.isNull(), same).otherwise(char(new(r["base"], r["n"]))))
 
 
 def email_pseudonym(text: Column, key: str, back: bool = False) -> Column:
-    """Letters a-z, A-Z and digits of the local part are shifted within their kind by a keyed hash of the other half, in
-    alternating rounds; all else and the domain stay."""
+    """Letters and digits of the local part are shifted within their run of RUNS by a keyed hash of the other half, in alternating
+    rounds; letters of no run, other signs and the domain stay."""
     local = F.substring_index(text, "@", 1)
     cut = F.floor(F.length(local) / 2).cast("int")
 
     def shifted(half: Column, other: Column, i: Column) -> Column:
         def one(c: Column, at: Column) -> Column:
             add = _hash(key, F.lit("email"), i, F.length(local), at, other)
-            code = F.ascii(c)
-            step = lambda base, n: F.char(F.lit(base) + F.pmod(code - base + (-1 if back else 1) * (add % n), F.lit(n)))
-            return F.when(c.rlike("^[a-z]$"), step(97, 26)).when(c.rlike("^[A-Z]$"), step(65, 26)).when(c.rlike("^[0-9]$"), step(48, 10)).otherwise(c)
+            return _let(F.ascii(c), lambda code: _in_run(code, lambda base, n: base + F.pmod(code - base + (-1 if back else 1) * (add % n), n), c))
 
         return F.when(F.length(half) == 0, half).otherwise(F.array_join(F.transform(F.split(half, ""), one), ""))
 
@@ -232,7 +265,7 @@ def pseudonym(value: Column, key: str, back: bool = False) -> Column:
     one = lambda new: _let(new, lambda v: F.struct(v.alias("v"), (v != value).cast("int").alias("n")))
     return (
         F.when(F.contains(value, F.lit("@")), one(email_pseudonym(value, key, back)))
-        .when(value.rlike(f"^{PHONE}$"), one(phone_pseudonym(value, key, back)))
+        .when(F.startswith(value, F.lit("+")), one(phone_pseudonym(value, key, back)))
         .when(value.rlike(r"^\d{4}-\d\d-\d\d$"), one(F.when(is_date(value), date_pseudonym(value, key, back)).otherwise(value)))
         .when(F.contains(value, F.lit(".")), one(F.when(is_ipv4(value), ipv4_pseudonym(value, key, back)).otherwise(value)))
         .when(value.rlike(r"^\d{3}-\d\d-\d{4}$"), one(F.when(is_ssn(value), ssn_pseudonym(value, key, back)).otherwise(value)))

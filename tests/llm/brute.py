@@ -1,5 +1,6 @@
 """Plain versions of the operators, for small inputs."""
 import hashlib
+import hmac
 import math
 import re
 import zlib
@@ -79,8 +80,16 @@ def top_k(rows, k, scale=64):
 
 # ---------------------------------------------------------------- pseudonyms
 
+# Country codes of one and two digits (others have three), and the first and number of the runs of code points.
+COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
+RUNS = [(0x30, 10), (0x41, 26), (0x61, 26), (0xC0, 23), (0xD8, 7), (0xDF, 24), (0xF8, 8), (0x100, 128), (0x391, 17), (0x3A3, 7), (0x3B1, 25),
+        (0x400, 16), (0x410, 32), (0x430, 32), (0x450, 16), (0x5D0, 27), (0x620, 43), (0x905, 53), (0xE01, 48), (0x3041, 86), (0x30A1, 90),
+        (0x4E00, 20902), (0xAC00, 11172)]
+
+
 def _hash(key, *parts):
-    return int(hashlib.sha256("|".join([key, *map(str, parts)]).encode()).hexdigest()[:15], 16)
+    message = "".join(f"{len(str(p).encode())}:{p}" for p in parts)
+    return int(hmac.new(key.encode(), message.encode(), "sha256").hexdigest()[:15], 16)
 
 
 def feistel(a, b, mod_a, mod_b, kind, key):
@@ -121,9 +130,9 @@ def pseudonym(value, key):
         def shifted(half, other, i):
             out = ""
             for at, c in enumerate(half):
-                for base, size in (("a", 26), ("A", 26), ("0", 10)):
-                    if ord(base) <= ord(c) < ord(base) + size:
-                        c = chr(ord(base) + (ord(c) - ord(base) + _hash(key, "email", i, len(local), at, other) % size) % size)
+                for base, size in RUNS:
+                    if base <= ord(c) < base + size:
+                        c = chr(base + (ord(c) - base + _hash(key, "email", i, len(local), at, other) % size) % size)
                         break
                 out += c
             return out
@@ -131,17 +140,22 @@ def pseudonym(value, key):
         for i in range(4):
             a, b = (shifted(a, b, i), b) if i % 2 == 0 else (a, shifted(b, a, i))
         return f"{a}{b}@{domain}"
-    if value.startswith("+1"):
-        return _refill(value, "1" + _decimal(digits[1:], "phone", key))
+    if value.startswith("+"):
+        n = len(re.match(COUNTRY, digits)[0])
+        return _refill(value, digits[:n] + _decimal(digits[n:], "phone", key))
     if re.fullmatch(r"\d{4}-\d\d-\d\d", value):
         try:
             day = (date.fromisoformat(value) - date(1900, 1, 1)).days
         except ValueError:
             return value
-        if not 0 <= day < 260 * 281:
+        last = (date(2099, 12, 31) - date(1900, 1, 1)).days
+        if not 0 <= day <= last:
             return value
-        a, b = feistel(day // 281, day % 281, 260, 281, "date", key)
-        return (date(1900, 1, 1) + timedelta(days=a * 281 + b)).isoformat()
+        while True:
+            a, b = feistel(day // 281, day % 281, 260, 281, "date", key)
+            day = a * 281 + b
+            if day <= last:
+                return (date(1900, 1, 1) + timedelta(days=day)).isoformat()
     if "." in value:
         p = [int(x) for x in value.split(".")]
         if any(x > 255 for x in p) or re.search(r"(^|\.)0\d", value):

@@ -2,6 +2,7 @@
 import random
 import re
 from collections import Counter
+from datetime import date, timedelta
 
 import brute
 import numpy as np
@@ -56,7 +57,8 @@ def test_very_long_text_is_scanned_to_its_end(spark):
 
 # ---------------------------------------------------------------- pseudonyms
 
-VALUES = ["4111 1111 1111 1111", "4111111111111111", "378282246310005", "+1 (017) 555-7713", "+1 212-555-0100", "192.168.1.20", "123-45-6789", "1985-03-04", "und.34@mail7.example.com", "a@b.org", "Évi_X9@mail.example.com"]
+VALUES = ["4111 1111 1111 1111", "4111111111111111", "378282246310005", "+1 (017) 555-7713", "+1 212-555-0100", "192.168.1.20", "123-45-6789", "1985-03-04", "und.34@mail7.example.com", "a@b.org", "Évi_X9@mail.example.com",
+          "иван.петров@mail.example.com", "李@b.org", "2099-12-31", "1921-06-23", "+91 98765 43210", "+44 20 7946 0958", "+4930123456", "+352-621-123456"]
 INVALID = ["4111111111111112", "2024-02-30", "1899-12-31", "300.1.1.1", "01.2.3.4", "666-12-3456", "123-00-4567", "12345", "0000000000000000"]
 
 
@@ -94,12 +96,22 @@ def test_long_run_of_numbers(spark):
 
 
 def test_maps_are_bijections(spark):
-    days = [f"{y}-{m:02d}-{d:02d}" for y in (1900, 1985, 2099) for m in (1, 2, 11) for d in range(1, 29)]
-    dates = [d for d in days if d <= "2099-11-08"]
+    dates = [(date(1900, 1, 1) + timedelta(days=n)).isoformat() for n in range(73049)]
+    assert dates[-1] == "2099-12-31"
     ips = [f"10.0.{a}.{b}" for a in range(5) for b in range(40)]
     df = docs_of(spark, list(enumerate(dates + ips)))
-    new = [r.text for r in pseudonymise(df, "k").collect()]
-    assert len(set(new)) == len(dates) + len(ips)
+    moved = pseudonymise(df, "k").collect()
+    assert len({r.text for r in moved}) == len(dates) + len(ips)
+    assert {r.text for r in moved if r.doc_id < len(dates)} == set(dates)
+    back = pseudonymise(spark.createDataFrame(moved, df.schema), "k", back=True).collect()
+    assert {r.doc_id: r.text for r in back} == dict(enumerate(dates + ips))
+
+
+def test_numbers_abroad_need_their_length(spark):
+    rows = ["+91 98765 43210 and +44 20 7946 0958", "+49 1234", "+12", "x+4930123456", "+49 30 11111111111111111111", "+4930123456 1985-03-04", "+91 98765 43210 4111 1111 1111 1111"]
+    out = {r.doc_id: r for r in pseudonymise(docs_of(spark, list(enumerate(rows))), "key", count="n").collect()}
+    assert [out[i].n for i in range(7)] == [2, 0, 0, 0, 0, 2, 2] and out[0].text[:4] == "+91 " and " and +44 " in out[0].text
+    assert [out[i].text for i in range(1, 5)] == rows[1:5]
 
 
 def test_query_like_plain_version(spark, sf):
