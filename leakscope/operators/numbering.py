@@ -32,11 +32,12 @@ def number_rows(df: DataFrame, by: str | Sequence[str], order: Sequence[Column |
     """Add 1, 2, 3, ... within each group along a total order.
 
     Rows are range-partitioned by (group, order), so a hot group spreads over many tasks. Each task numbers its own
-    rows, and the counts of earlier tasks (one row per task and group) are added as offsets.
+    rows, and the counts of earlier tasks (one row per task and group) are added as offsets. The frame is written before
+    its ranges are sampled, so what lies before it (a scan of texts) runs once.
     """
     keys = [by] if isinstance(by, str) else list(by)
     cols = df.columns
-    spread = df.repartitionByRange(*[F.col(k) for k in keys], *[F.col(o) if isinstance(o, str) else o for o in order])
+    spread = checkpointed(df).repartitionByRange(*[F.col(k) for k in keys], *[F.col(o) if isinstance(o, str) else o for o in order])
     placed = checkpointed(spread.withColumn("_part", F.spark_partition_id()))
     local = Window.partitionBy("_part", *keys).orderBy(*order)
     counts = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))

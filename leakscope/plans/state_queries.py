@@ -19,11 +19,13 @@ from leakscope.plans import oracle_sql as O
 from leakscope.plans import scans as P
 from leakscope.plans import source_queries as Q
 from leakscope.plans.registry import corpus_findings, dbl, joined, query, table
+from leakscope.sources import landed as J
 from leakscope.sources.layout import land_bucketed
 from leakscope.sources.sinks import append_history, leak_records, write_scan
 from leakscope.sources.versions import Folder, VersionedTable
 from leakscope.streaming import alerts as A
 from leakscope.streaming import memory as M
+from leakscope.streaming import sessions as N
 
 
 def _new_folder(spark, name):
@@ -293,3 +295,65 @@ def users_overview(spark, sf):
     old = table(spark, sf, "customer").filter(k % 3 != 0).select(F.concat(F.lit("u"), k.cast("string")).alias("user_email"), F.lit("old").alias("notes"), F.lit(1).alias("updated_at"))
     log = old.unionByName(table(spark, sf, "customer").filter(k % 3 != 0).select(F.concat(F.lit("u"), k.cast("string")).alias("user_email"), F.col("c_mktsegment").alias("notes"), F.lit(2).alias("updated_at")))
     return H.users_overview(log, Q._history(spark, sf)).drop("updated_at", "last_scan_at")
+
+
+# --- sessions with late rows -------------------------------------------------------------------------------------
+
+#: Events land a run for each ten days; of one in seven the user's file comes a run later, of one in 29 two runs later.
+GAP_S, DELAY, DELAY_S, RUNS = 1800, "2 days", 172800, 4
+_RUN = f"least(cast(floor((epoch(ts) - 1704067200) / 864000) as int) + (case when event_id % 7 = 3 then 1 when event_id % 29 = 5 then 2 else 0 end), {RUNS - 1})"
+
+
+@query("stream_sessions_late", f"""with E as (select *, cast(epoch_us(ts) as bigint) as us, {_RUN} as run from events where ts >= timestamp '2024-01-01'),
+M as (select r.run, (select max(us) from E where E.run < r.run) as newest from (select unnest(range(0, {RUNS + 1})) as run) r),
+W as (select run, coalesce(greatest(newest // 1000 - {DELAY_S * 1000}, 0), 0) * 1000 // {GAP_S * 1000000} as first_open from M),
+J as (select E.*, us // {GAP_S * 1000000} as slot, us // {GAP_S * 1000000} < first_open as late from E join W using (run)),
+S as (select user_id, min(us) as lo, max(us) as hi, count(*) as n from (select *, sum(fresh) over (partition by user_id order by us, event_id) as k from (
+ select *, case when us - lag(us) over (partition by user_id order by us, event_id) <= {GAP_S * 1000000} then 0 else 1 end as fresh from J where not late)) group by user_id, k)
+select 'session' as part, user_id, make_timestamp(lo) as session_start, make_timestamp(hi) as last_event, n as events from S
+ where (hi + {GAP_S * 1000000}) // {GAP_S * 1000000} + 1 <= (select first_open from W where run = {RUNS})
+union all select 'late', user_id, make_timestamp(min(us)), make_timestamp(max(us)), count(*) from J where late group by user_id, run, slot""")
+def stream_sessions_late(spark, sf):
+    """Sessions of a stream whose files come out of order, in runs on one checkpoint, and the rows that came too late for theirs."""
+    events = table(spark, sf, "events")
+    at, kind = F.col("ts").cast("timestamp"), events.schema["ts"].dataType
+    run = F.floor((F.unix_micros(at) / 1e6 - 1704067200) / 864000) + F.when(F.col("event_id") % 7 == 3, 1).when(F.col("event_id") % 29 == 5, 2).otherwise(0)
+    first = F.lit("2024-01-01").cast(kind)
+    dealt = events.filter(F.col("ts") >= first).select("user_id", at.alias("ts"), F.least(run, F.lit(RUNS - 1)).cast("int").alias("run"))
+    folder, session = _new_folder(spark, "sessions"), M.state_session(spark)
+    for n in range(RUNS):
+        dealt.filter(F.col("run") == n).drop("run").write.mode("append").parquet(f"{folder}/landing")
+        landed = session.readStream.schema(dealt.drop("run").schema).parquet(f"{folder}/landing")
+        found = N.sessions_with_late(landed, ["user_id"], "ts", GAP_S, DELAY)
+        q = (found.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/sessions")
+             .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+        q.awaitTermination()
+    rows = spark.read.schema(found.schema).parquet(f"{folder}/sessions")
+    return rows.select("part", "user_id", F.col("session_start").cast(kind).alias("session_start"), F.col("last_event").cast(kind).alias("last_event"), "events")
+
+
+# --- landed bodies -----------------------------------------------------------------------------------------------
+
+#: Landed bodies of ten kinds, as both engines write them: whole, cut off, broken, mistyped, without list, without key, empty, none.
+_PASTE = """concat('[{{"key":"k', event_id, '","title":"', event_type, '","size":', user_id, '}},{{"key":"m', event_id, '","size":"7"}}{}')"""
+BODY = f"""case event_id % 10 when 0 then {_PASTE.format(']')} when 1 then {_PASTE.format('')} when 2 then concat('{{', event_type, ' ', event_id)
+ when 3 then concat('[{{"key":"t', event_id, '","size":"many"}},{{"key":"u', event_id, '","size":', user_id, '}}]') when 4 then concat('{{"items":[', user_id, ']}}')
+ when 5 then concat('[{{"title":"', event_type, '"}},null,{{"key":"v', event_id, '","syntax":"x"}}]') when 6 then '[]' when 7 then cast(null as {{0}})
+ when 8 then concat('[{{"key":{{"a":', user_id, '}}}}]') else concat('  ', props) end"""
+
+
+@query("landed_errors", f"""with B as (select event_id, {BODY.replace('{0}', 'varchar')} as body from events),
+P as (select *, case when body is null or trim(body) = '' then 'no content' when not json_valid(body) then 'unreadable record' when json_type(body) <> 'ARRAY' then 'no list at $' end as bad from B),
+I as (select event_id, unnest(range(0, cast(json_array_length(body) as bigint))) as position, body from P where bad is null),
+V as (select event_id, position, json_extract(body, concat('$[', position, ']')) as item from I),
+X as (select *, json_extract_string(item, '$.key') as key, json_type(item, '$.key') as key_type, json_extract_string(item, '$.size') as size from V),
+R as (select *, case when key is null then 'no key' when key_type in ('OBJECT', 'ARRAY') then 'key is no string' when size is not null and try_cast(size as int) is null then 'size is no int' end as bad from X)
+select 'item' as part, event_id, cast(position as int) as position, key as what, try_cast(size as int) as size from R where bad is null
+union all select 'error', event_id, cast(position as int), concat('Scan failed: ', bad), null from R where bad is not null
+union all select 'error', event_id, null, concat('Scan failed: ', bad), null from P where bad is not null""")
+def landed_errors(spark, sf):
+    """Landed paste listings, whole and not: what is an item, and an error row for everything else."""
+    raw = table(spark, sf, "events").select("event_id", F.expr(BODY.replace("{0}", "string")).alias("body"))
+    out = J.landed_items(raw, J.PASTES)
+    items = out.items.select(F.lit("item").alias("part"), "event_id", "position", F.col("key").alias("what"), "size")
+    return items.unionByName(out.errors.select(F.lit("error").alias("part"), "event_id", "position", F.col("message").alias("what"), F.lit(None).cast("int").alias("size")))

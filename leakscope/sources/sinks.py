@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakscope.operators.links import with_cluster_id
+from leakscope.operators.numbering import checkpointed
 
 
 def leak_records(findings: DataFrame) -> DataFrame:
@@ -50,12 +51,13 @@ def append_history(rows: DataFrame, path: str, batch: str | None = None) -> None
 
 
 def write_report(fragments: DataFrame, path: str, by: str = "scan_id") -> None:
-    """HTML text files, one folder per scan. Files of a folder read in name order give the document."""
-    ordered = fragments.repartitionByRange(by, "section", "row_no").sortWithinPartitions(by, "section", "row_no")
+    """HTML text files, one folder per scan. Files of a folder read in name order give the document. The fragments are made once:
+    their ranges are sampled from what has been written."""
+    ordered = checkpointed(fragments).repartitionByRange(by, "section", "row_no").sortWithinPartitions(by, "section", "row_no")
     ordered.select(by, "html").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).text(path)
 
 
 def write_paths(files: DataFrame, path: str) -> None:
     """The list of exposed paths of every repository as text files, one folder per repository."""
-    ordered = files.repartitionByRange("repo", "path").sortWithinPartitions("repo", "path")
+    ordered = checkpointed(files).repartitionByRange("repo", "path").sortWithinPartitions("repo", "path")
     ordered.select("repo", F.col("path").alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").text(path)
