@@ -164,17 +164,19 @@ def held_out(doc_id: Column) -> Column:
 
 def training_rows(documents: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_TRAIN_ROWS) -> DataFrame:
     """Features and label of at most `limit` labelled documents outside the held-out fold, those with the smallest hash of
-    their id. The chosen labels are bounded by `limit`, so they are broadcast to the scan of the documents."""
+    their id. The chosen labels are bounded by `limit`, so they are broadcast to the scan of the documents. Of rows that share an id the
+    text with the smallest hash counts, so a fit doesn't depend on the run."""
     usable = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     once = usable.groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     picked = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return picked.select("doc_id", "y", feature_column(F.col("text")).alias("x"))
+    rows = picked.select("doc_id", "y", feature_column(F.col("text")).alias("x"), F.xxhash64("text").alias("h"))
+    return rows.groupBy("doc_id").agg(F.max("y").alias("y"), F.min_by("x", "h").alias("x"))
 
 
 def fit_quality(documents: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_TRAIN_ROWS, **shape) -> Forest:
     """Fit on the bounded sample that `training_rows` chooses."""
-    rows = training_rows(documents, labels, label, limit).limit(2 * limit).toPandas().sort_values("doc_id")
+    rows = training_rows(documents, labels, label, limit).toPandas().sort_values("doc_id")
     x = np.stack(rows["x"].to_numpy()).astype(np.float32) if len(rows) else np.zeros((0, len(FEATURES)), np.float32)
     return fit_forest(x, rows["y"].to_numpy().astype(np.float64), **shape)
 

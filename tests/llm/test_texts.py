@@ -132,6 +132,13 @@ def test_stays_in_the_jvm(spark, sf):
 
 # ---------------------------------------------------------------- quality
 
+def test_repeated_ids_are_learned_once(spark):
+    docs = docs_of(spark, [(i, t) for i in range(30) for t in ([f"text {i}"] if i else [f"text {n}" for n in range(200)])])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    rows = [sorted(map(tuple, quality.training_rows(docs.repartition(n), labels).collect())) for n in (1, 7)]
+    assert rows[0] == rows[1] and len(rows[0]) == len({r[0] for r in rows[0]})
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
