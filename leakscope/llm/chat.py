@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Mapping
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType
 
 from leakscope.llm.common import stored
 
@@ -57,11 +60,11 @@ def schema_errors(value: Any, schema: Mapping[str, Any], at: str = "$") -> Itera
 
 def _records(schemas: Mapping[str, Mapping[str, Any]]):
     @F.arrow_udf("struct<record: string, errors: array<string>>")
-    def run(call_id: pa.Array, name: pa.Array, arguments: pa.Array, needs: pa.Array, result: pa.Array, role: pa.Array) -> pa.Array:
+    def run(call_id: pa.Array, name: pa.Array, arguments: pa.Array, needs: pa.Array, result: pa.Array, role: pa.Array, status: pa.Array) -> pa.Array:
         out = []
-        for i, n, a, d, r, who in zip(*(x.to_pylist() for x in (call_id, name, arguments, needs, result, role)), strict=True):
-            if i is None or who != "call":
-                out.append({"record": canonical({"content": r, "role": who} if i is None else {"content": r, "id": i, "role": who}), "errors": []})
+        for i, n, a, d, r, who, kind in zip(*(x.to_pylist() for x in (call_id, name, arguments, needs, result, role, status)), strict=True):
+            if kind == "plain" or who != "call":
+                out.append({"record": canonical({"content": r, "role": who} if kind == "plain" else {"content": r, "id": i, "role": who}), "errors": []})
                 continue
             errors: list[str] = []
             try:
@@ -71,36 +74,94 @@ def _records(schemas: Mapping[str, Mapping[str, Any]]):
                 value, errors = a, ["$: not JSON"]
             if not errors:
                 errors = list(schema_errors(value, schemas[n])) if n in schemas else ["$: unknown tool"]
-            out.append({"record": canonical({"arguments": value, "depends_on": sorted(set(d or [])), "id": i, "name": n, "result": r}), "errors": errors})
+            out.append({"record": canonical({"arguments": value, "depends_on": sorted({x for x in d or () if x is not None}), "id": i, "name": n, "result": r}), "errors": errors})
         return pa.array(out, pa.struct([("record", pa.string()), ("errors", pa.list_(pa.string()))]))
 
     return run
 
 
+#: Conversations with up to so many calls and dependencies are ordered within a task, one at a time; longer ones by joins.
+LOCAL_ROWS = 200_000
+#: Lengths stop here, so that going around a cycle doesn't overflow.
+FAR = 1 << 60
+
+
+def longest_chains(needs: Mapping[str, set[str]]) -> dict[str, int | None]:
+    """For every call the length of the longest chain of calls that it waits for; None for what a cycle holds."""
+    waits = {i: {n for n in own if n in needs} for i, own in needs.items()}
+    asked: dict[str, list[str]] = {}
+    for i, own in waits.items():
+        for n in own:
+            asked.setdefault(n, []).append(i)
+    level, left = dict.fromkeys(needs, 0), {i: len(own) for i, own in waits.items()}
+    ready = [i for i, n in left.items() if not n]
+    for i in ready:  # grows while it is walked
+        for j in asked.get(i, ()):
+            level[j] = max(level[j], level[i] + 1)
+            left[j] -= 1
+            if not left[j]:
+                ready.append(j)
+    return {i: level[i] if not left[i] else None for i in needs}
+
+
+def _ordered(schema: pa.Schema):
+    """Takes calls in the order of their conversations."""
+    def settled(conv: Any, needs: dict[str, set[str]]) -> pa.RecordBatch:
+        found = longest_chains(needs)
+        return pa.RecordBatch.from_pydict({"conv_id": [conv] * len(found), "call_id": list(found), "level": list(found.values())}, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, needs = None, {}
+        for batch in batches:
+            for c, i, own in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "call_id", "depends_on")), strict=True):
+                if c != conv and needs:
+                    yield settled(conv, needs)
+                    needs = {}
+                conv = c
+                needs.setdefault(i, set()).update(own or ())
+        if needs:
+            yield settled(conv, needs)
+
+    return run
+
+
+def _levels_by_joins(calls: DataFrame) -> DataFrame:
+    """`longest_chains` for conversations of any length, in rounds of joins. A call's level is the largest of `base` and of level +
+    `far` over its edges. In every round edges to settled calls turn into a base, and an edge to a call with one edge is led on
+    along that edge, so a chain takes rounds with the logarithm of its length and the number of edges never grows; where calls with
+    several edges follow each other, each of these takes a round. A round that settles nothing leaves only what waits for a cycle."""
+    nodes = stored(calls.select("conv_id", "call_id", F.lit(0).cast("long").alias("base"), F.lit(False).alias("done")).distinct(), "calls")
+    need = calls.select("conv_id", "call_id", F.explode("depends_on").alias("need"))
+    known = nodes.select("conv_id", F.col("call_id").alias("need"))
+    edges = stored(need.join(known, ["conv_id", "need"], "left_semi").select("conv_id", "call_id", "need", F.lit(1).cast("long").alias("far")).distinct(), "needs")
+    while True:
+        own = edges.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("need", "far")).alias("only"))
+        state = stored(nodes.join(own, ["conv_id", "call_id"], "left"), "calls")
+        if state.filter("n is null and not done").isEmpty():
+            return state.select("conv_id", "call_id", F.when(F.col("done"), F.col("base")).cast("int").alias("level"))
+        ahead = state.select("conv_id", F.col("call_id").alias("need"), F.col("base").alias("n_base"), "n", "only")
+        led = stored(edges.join(ahead, ["conv_id", "need"]), "needs")
+        bases = led.filter("n is null or n = 1").groupBy("conv_id", "call_id").agg(F.max(F.least(F.col("n_base") + F.col("far"), F.lit(FAR))).alias("more"))
+        nodes = state.join(bases, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.greatest("base", "more").alias("base"), F.col("n").isNull().alias("done"))
+        one = F.col("n") == 1
+        on = led.filter("n is not null").select(
+            "conv_id", "call_id", F.when(one, F.col("only.need")).otherwise(F.col("need")).alias("need"),
+            F.when(one, F.least(F.col("far") + F.col("only.far"), F.lit(FAR))).otherwise(F.col("far")).alias("far"))
+        edges = stored(on.groupBy("conv_id", "call_id", "need").agg(F.max("far").alias("far")), "needs")
+
+
 def call_levels(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, level: ordered by level and turn, every call comes behind what it depends on.
 
-    Where all dependencies of a conversation point backwards its turns are such an order already, and its level is 0. The other
-    conversations are settled round by round: a call whose dependencies are all settled gets the number of the round. What a
-    cycle holds is never settled and has no level. Dependencies on calls that don't exist are not waited for.
+    The level is the length of the longest chain of calls that a call waits for, 0 without dependencies. What a cycle holds, or
+    waits for one, has no level. Dependencies on calls that don't exist, and null ones, are not waited for. Rows that share conv_id
+    (not null) and call_id are one call. Conversations of more than LOCAL_ROWS calls and dependencies are ordered by joins.
     """
-    place = calls.select("conv_id", F.col("call_id").alias("need"), F.col("turn").alias("need_turn"))
-    needs = calls.select("conv_id", "call_id", "turn", F.explode("depends_on").alias("need")).distinct().join(place, ["conv_id", "need"])
-    late = needs.filter(F.col("need_turn") >= F.col("turn")).select("conv_id").distinct()
-    open_ = stored(calls.join(late, "conv_id", "left_semi").select("conv_id", "call_id"), "calls")
-    settled, level = calls.join(late, "conv_id", "left_anti").select("conv_id", "call_id", F.lit(0).alias("level")), 0
-    edges = stored(needs.join(late, "conv_id", "left_semi").select("conv_id", "call_id", "need"), "needs")
-    while not open_.isEmpty():
-        waiting = edges.select("conv_id", "call_id").distinct()
-        ready = stored(open_.join(waiting, ["conv_id", "call_id"], "left_anti"), "ready")
-        if ready.isEmpty():
-            settled = settled.unionAll(open_.select("conv_id", "call_id", F.lit(None).cast("int")))
-            break
-        settled = settled.unionAll(ready.select("conv_id", "call_id", F.lit(level)))
-        open_ = stored(open_.join(ready, ["conv_id", "call_id"], "left_anti"), "calls")
-        edges = stored(edges.join(ready.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_anti"), "needs")
-        level += 1
-    return settled
+    rows = calls.select("conv_id", "call_id", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"))
+    many = stored(rows.groupBy("conv_id").agg(F.sum(1 + F.size("depends_on")).alias("n")).filter(F.col("n") > LOCAL_ROWS).select("conv_id"), "long")
+    fields = rows.select("conv_id", "call_id").schema.add("level", IntegerType())
+    short = rows.join(many, "conv_id", "left_anti").repartition("conv_id").sortWithinPartitions("conv_id").mapInArrow(_ordered(to_arrow_schema(fields)), fields)
+    return short if many.isEmpty() else short.unionAll(_levels_by_joins(stored(rows.join(many, "conv_id", "left_semi"), "long")))
 
 
 def _key() -> Column:
@@ -118,18 +179,19 @@ def _superseded(rows: DataFrame, *cols: str) -> DataFrame:
 
 
 def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, Any]]) -> DataFrame:
-    """One row per plain message, call, and result without call or superseded: conv_id, level, turn, call_id, status, valid, errors,
+    """One row per plain message, call, and result without call, without id or superseded: conv_id, level, turn, call_id, status, valid, errors,
     record.
 
     messages: conv_id, turn, role, content. calls: conv_id, turn, call_id, name, arguments (JSON text), depends_on (call ids).
     results: conv_id, turn, call_id, content. Calls and results are hash-joined by conversation and id; a call with its result
     is 'linked', one without is 'unanswered', a result without call is an 'orphan', any other message is 'plain'. Read a
-    conversation in the order of level (plain ones: 0), turn, call_id. Rows are not gathered by conversation, so one of any
+    conversation in the order of level (plain ones: 0), turn, call_id. Texts are not gathered by conversation, so one of any
     length is dealt out over many tasks.
 
     Of rows that share conversation and id, the earliest counts (ties: the smallest); each other different one comes out as
-    'duplicate', on level 0. Rows without call_id are no calls or results. A null conv_id is a conversation of its own. Arguments that are no JSON, or against their schema, or of an unknown
-    tool, are kept and reported as not valid.
+    'duplicate', on level 0. Different calls and results without call_id come out as 'unidentified', on level 0. A null conv_id is
+    a conversation of its own. Arguments that are no JSON, or against their schema, or of an unknown tool, are kept and reported
+    as not valid.
     """
     first = lambda df, *cols: df.filter("call_id is not null").groupBy(_key(), "call_id").agg(F.min(F.struct("turn", "conv_id", *cols)).alias("x")).select("c", "call_id", "x.*")
     own = first(calls, "name", "arguments", "depends_on").withColumn("depends_on", F.coalesce("depends_on", F.array().cast("array<string>")))
@@ -142,10 +204,13 @@ def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, s
         "call_id", status.alias("status"), "name", "arguments", "depends_on", "result", F.when(F.col("called").isNull(), "tool").otherwise(F.lit("call")).alias("role"))
     none = lambda kind: F.lit(None).cast(kind)
     plain = messages.select("conv_id", F.lit(0).alias("level"), "turn", none("string").alias("call_id"), F.lit("plain").alias("status"), none("string").alias("name"), none("string").alias("arguments"), none("array<string>").alias("depends_on"), F.col("content").alias("result"), "role")
-    late_calls = _superseded(calls, "name", "arguments", "depends_on").select("conv_id", F.lit(0).alias("level"), "turn", "call_id", F.lit("duplicate").alias("status"), "name", "arguments", "depends_on", none("string").alias("result"), F.lit("call").alias("role"))
-    late_results = _superseded(results, "content").select("conv_id", F.lit(0).alias("level"), "turn", "call_id", F.lit("duplicate").alias("status"), none("string").alias("name"), none("string").alias("arguments"), none("array<string>").alias("depends_on"), F.col("content").alias("result"), F.lit("tool").alias("role"))
-    made: Column = _records(schemas)("call_id", "name", "arguments", "depends_on", "result", "role")
-    out = late_calls.unionByName(late_results).unionByName(rows).unionByName(plain).withColumn("made", made)
+    as_call = lambda df, status: df.select("conv_id", F.lit(0).alias("level"), "turn", "call_id", F.lit(status).alias("status"), "name", "arguments", "depends_on", none("string").alias("result"), F.lit("call").alias("role"))
+    as_result = lambda df, status: df.select("conv_id", F.lit(0).alias("level"), "turn", "call_id", F.lit(status).alias("status"), none("string").alias("name"), none("string").alias("arguments"), none("array<string>").alias("depends_on"), F.col("content").alias("result"), F.lit("tool").alias("role"))
+    unnamed = lambda df, *cols: df.filter("call_id is null").select("conv_id", "turn", "call_id", *cols).distinct()
+    others = [as_call(_superseded(calls, "name", "arguments", "depends_on"), "duplicate"), as_result(_superseded(results, "content"), "duplicate"),
+              as_call(unnamed(calls, "name", "arguments", "depends_on"), "unidentified"), as_result(unnamed(results, "content"), "unidentified")]
+    made: Column = _records(schemas)("call_id", "name", "arguments", "depends_on", "result", "role", "status")
+    out = reduce(DataFrame.unionByName, [*others, rows, plain]).withColumn("made", made)
     return out.select("conv_id", "level", "turn", "call_id", "status", (F.size("made.errors") == 0).alias("valid"), F.col("made.errors").alias("errors"), F.col("made.record").alias("record"))
 
 

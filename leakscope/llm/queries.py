@@ -195,15 +195,19 @@ with users as (
   select u.*, len([w for w in regexp_split_to_array(u.text, '[\x09-\x0D\x20]+') if w <> '']) as words, b.turn as before
   from conversations u left join (select distinct conv_id, turn from conversations where role = 'user') b
     on b.conv_id = u.conv_id and b.turn = u.turn - 2 where u.role = 'user'),
+turns as (
+  select conv_id, turn, turn - 2 * row_number() over (partition by conv_id, turn % 2 order by turn) as chain
+  from (select distinct conv_id, turn from conversations where role = 'user')),
+levels as (select conv_id, turn, row_number() over (partition by conv_id, turn % 2, chain order by turn) - 1 as level from turns),
 calls as (
-  select conv_id, turn, 'c' || conv_id || '-' || turn as call_id, words > 0 as valid,
+  select conv_id, turn, level, 'c' || conv_id || '-' || turn as call_id, words > 0 as valid,
     '{"arguments":{"prompt":' || to_json(text) || ',"turn":' || turn || ',"words":' || words || '},"depends_on":['
       || case when before is null then '' else '"c' || conv_id || '-' || before || '"' end || '],"id":"c' || conv_id || '-' || turn
       || '","name":"answer","result":' as head
-  from users),
+  from users join levels using (conv_id, turn)),
 results as (
   select conv_id, turn, 'c' || conv_id || '-' || (turn - 1) as call_id, text from conversations where role = 'assistant')
-select coalesce(c.conv_id, r.conv_id) as conv_id, 0 as level, coalesce(c.turn, r.turn) as turn, coalesce(c.call_id, r.call_id) as call_id,
+select coalesce(c.conv_id, r.conv_id) as conv_id, cast(coalesce(c.level, 0) as int) as level, coalesce(c.turn, r.turn) as turn, coalesce(c.call_id, r.call_id) as call_id,
   case when c.call_id is null then 'orphan' when r.call_id is null then 'unanswered' else 'linked' end as status,
   coalesce(c.valid, true) as valid,
   case when c.call_id is null then '{"content":' || to_json(r.text) || ',"id":"' || r.call_id || '","role":"tool"}'
