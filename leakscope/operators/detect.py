@@ -236,15 +236,33 @@ def describe_spans(found: Column, sentences: Column, whole: Column) -> Column:
     return F.transform(kept, lambda f: f.dropFields("dropped")).cast(f"array<{FEATURE}>")
 
 
+@lru_cache(maxsize=128)
+def _raw(text: str, patterns: tuple[Pattern, ...], _session: int) -> Column:
+    """Building these expressions takes thousands of calls, more time than a small table's scan, so they are kept."""
+    return raw_spans(F.col(text), patterns, F.col("_pages"))
+
+
+@lru_cache(maxsize=128)
+def _judged_sentences(text: str, _session: int) -> Column:
+    return described_sentences(F.col(text), lexical_scorer)
+
+
+@lru_cache(maxsize=128)
+def _described(_session: int) -> tuple[Column, Column]:
+    """Blocks of sentences, and the features of the spans."""
+    return blocked(F.col("_sentences")), describe_spans(F.col("_raw"), F.col("_blocks"), F.col("_whole"))
+
+
 def with_context_features(df: DataFrame, text: str, patterns: Sequence[Pattern] = LIVE, scorer: Scorer | None = None) -> DataFrame:
     """Adds `_features`, `_sentences` and `_pages`: one projection per step, because a step uses the one before it
-    many times."""
-    t, some = F.col(text), F.size("_raw") > 0
-    out = df.withColumn("_pages", pages(t)).withColumn("_raw", raw_spans(t, patterns, F.col("_pages")))
-    out = out.withColumn("_sentences", F.when(some, described_sentences(t, scorer))).withColumn(
-        "_whole", F.when(some, F.struct(*_signals(t))))
-    out = out.withColumn("_blocks", blocked(F.col("_sentences")))
-    features = F.when(some, describe_spans(F.col("_raw"), F.col("_blocks"), F.col("_whole"))).otherwise(_no_spans(FEATURE))
+    many times. Expressions around a scorer of the caller's own are built anew every time."""
+    t, some, session = F.col(text), F.size("_raw") > 0, id(SparkContext._gateway)
+    out = df.withColumn("_pages", pages(t)).withColumn("_raw", _raw(text, tuple(patterns), session))
+    sentences = _judged_sentences(text, session) if scorer is lexical_scorer else described_sentences(t, scorer)
+    blocks, spans = _described(session)
+    out = out.withColumns({"_sentences": F.when(some, sentences), "_whole": F.when(some, F.struct(*_signals(t)))})
+    out = out.withColumn("_blocks", blocks)
+    features = F.when(some, spans).otherwise(_no_spans(FEATURE))
     return out.withColumn("_features", features).drop("_raw", "_blocks", "_whole")
 
 
@@ -372,15 +390,18 @@ FINDING_FIELDS = ["type", "value", "value_masked", "snippet", "confidence", "ris
 
 
 def finding_struct(text: Column, s: Column, chunk_start: Column, lead: Column, paged: Column | None = None,
-                   masked: Column | None = None) -> Column:
+                   masked: Column | None = None, wanted: Sequence[str] | None = None) -> Column:
+    """The finding of a span. A generator evaluates every field of its structs, so those that aren't `wanted` are left out here."""
     shift = chunk_start - lead
-    return F.struct(
+    fields = [
         s["type"].alias("type"), strip(s["value"]).alias("value"), mask(s["value"]).alias("value_masked"),
         snippet(text, s["start"], s["end"], 80, paged).alias("snippet"), s["confidence"].alias("confidence"),
         S.risk_class(s["type"], s["severity"]).alias("risk"), s["decision"].alias("annotation"),
         (s["start"] + shift).alias("start"), (s["end"] + shift).alias("end"), s["severity"].alias("severity"),
         *([masked.alias("masked_snippet")] if masked is not None else []),
-    )
+    ]
+    names = FINDING_FIELDS + ["severity", "masked_snippet"]
+    return F.struct(*[f for f, name in zip(fields, names, strict=False) if wanted is None or name in wanted])
 
 
 @lru_cache(maxsize=128)
@@ -394,6 +415,16 @@ def _found(text: str, profile: str, patterns: tuple[Pattern, ...] | None, _sessi
     return fast_spans(t, patterns or (EXTENDED if profile == "extended" else LIVE), paged)
 
 
+@lru_cache(maxsize=8)
+def _resolved(_session: int) -> Column:
+    return resolve_overlaps(F.col("_found"), SPAN)
+
+
+@lru_cache(maxsize=128)
+def _gate(text: str, patterns: tuple[Pattern, ...], _session: int) -> Column | None:
+    return doc_gate(patterns, F.col(text))
+
+
 def with_spans(df: DataFrame, profile: str = "fast", patterns: Sequence[Pattern] | None = None,
                scorer: Scorer | None = None, text: str = "text") -> DataFrame:
     """Adds `_spans`, the resolved spans of each text, and `_pages`, which later cuts out of the text can use.
@@ -408,8 +439,9 @@ def with_spans(df: DataFrame, profile: str = "fast", patterns: Sequence[Pattern]
         out = with_context_features(df, text, kept or LIVE, scorer or lexical_scorer)
     else:
         out = df.withColumn("_pages", pages(F.col(text)))
-    out = out.withColumn("_found", _found(text, profile, kept, id(SparkContext._gateway)))
-    return out.withColumn("_spans", resolve_overlaps(F.col("_found"), SPAN)).drop("_found", "_features", "_sentences")
+    session = id(SparkContext._gateway)
+    out = out.withColumn("_found", _found(text, profile, kept, session))
+    return out.withColumn("_spans", _resolved(session)).drop("_found", "_features", "_sentences")
 
 
 def prepared_chunks(documents: DataFrame, profile: str, patterns: Sequence[Pattern] | None, text: str,
@@ -434,7 +466,7 @@ def prepared_chunks(documents: DataFrame, profile: str, patterns: Sequence[Patte
     if profile == "strict":
         gate = any_gate(t, [DIGIT_RUNS, CAPITALS, AT_SIGN])
     else:
-        gate = doc_gate(patterns or (EXTENDED if profile == "extended" else LIVE), t)
+        gate = _gate(text, tuple(patterns or (EXTENDED if profile == "extended" else LIVE)), id(SparkContext._gateway))
     return chunks.filter(keep if gate is None else gate & keep).drop("head")
 
 
@@ -442,20 +474,24 @@ def scan(
     documents: DataFrame, profile: str = "fast", patterns: Sequence[Pattern] | None = None,
     scorer: Scorer | None = None, *, text: str = "text", filename: str | None = "path",
     chunk_size: int | None = None, overlap: int = dims.CHUNK_OVERLAP, spread_by: str | None = None, screen: bool = False,
-    keep_severity: bool = False, masked: bool = False,
+    keep_severity: bool = False, masked: bool = False, fields: Sequence[str] | None = None,
 ) -> DataFrame:
     """Scan every document; the other document columns are carried along to each finding.
 
     Texts are scanned whole. With `chunk_size`, longer ones are cut, and every piece sees `overlap` characters on both sides:
     enough for matches and their context windows, and for sentences up to that length. `screen` leaves out lock files
     and the like (by the column `filename`) and what looks binary or minified, as older scans did. `masked` adds `masked_snippet`, in which no value found in the text can be read: the form
-    to store or show.
+    to store or show. `fields`: the columns of findings that are wanted (default all); others, such as snippets, are not computed.
 
     Profiles: `fast` (patterns, validators, keyword confidence), `context` (sentence scores from `scorer`, a function
     from a sentence column to a label -> probability map), `extended` (thirteen patterns, full validators), `strict`
     (validator-first). The plan is one stage: filters, one generator, no exchange, no Python worker.
     """
     clash = sorted(set(documents.columns) & {*FINDING_FIELDS, "severity", "chunk_no", "chunk_start", "lead", "masked_snippet"} - {text})
+    offered = FINDING_FIELDS + (["severity"] if keep_severity else []) + (["masked_snippet"] if masked else [])
+    if unknown := sorted(set(fields or ()) - set(offered)):
+        raise ValueError(f"findings have no {unknown}")
+    shown_fields = [f for f in offered if fields is None or f in fields]
     if clash:
         raise ValueError(f"rename the document columns {clash}: findings have columns of that name")
     chunks = prepared_chunks(documents, profile, patterns, text, filename, chunk_size, overlap, spread_by, screen)
@@ -464,14 +500,13 @@ def scan(
     if masked:
         chunks = chunks.withColumn("_spans", F.array_sort("_spans"))
     shown = (lambda i: masked_snippet(t, F.col("_spans"), i, 80, paged)) if masked else (lambda i: None)
-    found = F.transform("_spans", lambda s, i: finding_struct(t, s, F.col("chunk_start"), F.col("lead"), paged, shown(i)))
+    found = F.transform("_spans", lambda s, i: finding_struct(t, s, F.col("chunk_start"), F.col("lead"), paged, shown(i), None if fields is None else [*shown_fields, "start"]))
     if chunk_size is not None and overlap:  # a match belongs to the piece it starts in
         found = F.filter(found, lambda f: (f["start"] >= F.col("chunk_start")) & (f["start"] < F.col("chunk_start") + F.lit(chunk_size)))
     carried = [c for c in documents.columns if c != text]
-    fields = FINDING_FIELDS + (["severity"] if keep_severity else []) + (["masked_snippet"] if masked else [])
     # explode_outer: the plain form makes the optimizer add a size() filter that runs the detection a second time
     rows = chunks.select(*carried, F.explode_outer(found).alias("_f")).filter(F.col("_f").isNotNull())
-    return rows.select(*carried, *[F.col(f"_f.{f}").alias(f) for f in fields])
+    return rows.select(*carried, *[F.col(f"_f.{f}").alias(f) for f in shown_fields])
 
 
 def detect(documents: DataFrame, type_name: str, **options) -> DataFrame:

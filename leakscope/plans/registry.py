@@ -1,7 +1,7 @@
 """Named queries over the test tables, each with its SQL twin where SQL can say the same."""
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +40,8 @@ def identity(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(IDENTITY_SQL.replace("from part)", "from {part})"), part=part)
 
 
-def corpus_findings(spark: SparkSession, sf: str, profile: str = "fast", masked: bool = False) -> DataFrame:
-    return scan(corpus(spark, sf), profile, masked=masked)
+def corpus_findings(spark: SparkSession, sf: str, profile: str = "fast", masked: bool = False, fields: Sequence[str] | None = None) -> DataFrame:
+    return scan(corpus(spark, sf), profile, masked=masked, fields=fields)
 
 
 def joined(col: str | Column) -> Column:

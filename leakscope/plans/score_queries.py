@@ -19,7 +19,7 @@ FILE = ["container", "path", "platform"]
 
 
 def _ess(spark, sf, keys, vocab="canonical"):
-    return E.ess(corpus_findings(spark, sf).withColumn("source_type", F.col("platform")), keys, "source_type", vocab)
+    return E.ess(corpus_findings(spark, sf, fields=("type", "confidence")).withColumn("source_type", F.col("platform")), keys, "source_type", vocab)
 
 
 def _flat(scored, keys):
@@ -71,13 +71,13 @@ DOC_ESS = f"{DOC_LIST}, DT as (select *, 'unknown' as st from DF), {O.ess_ctes('
 @query("document_exposure", O.with_(DOC_ESS, f"select source, {O.ESS_COLUMNS} from E"))
 def document_exposure(spark, sf):
     """Flagship: whole documents -> findings -> exposure score per source."""
-    found = scan(table(spark, sf, "documents"), filename=None).withColumn("source_type", F.lit("unknown"))
+    found = scan(table(spark, sf, "documents"), filename=None, fields=("type", "confidence")).withColumn("source_type", F.lit("unknown"))
     return _flat(E.ess(found, "source", "source_type"), ["source"])
 
 
 @query("document_summary", O.with_(DOC_ESS, O.summary_select("E", [])))
 def document_summary(spark, sf):
-    found = scan(table(spark, sf, "documents"), filename=None).withColumns({"source_type": F.lit("unknown"), "scan_id": F.lit(1)})
+    found = scan(table(spark, sf, "documents"), filename=None, fields=("type", "confidence")).withColumns({"source_type": F.lit("unknown"), "scan_id": F.lit(1)})
     out = E.scan_summary(E.ess(found, ["scan_id", "source"], "source_type"), "scan_id").drop("scan_id")
     return out.withColumn("all_types", joined("all_types"))
 
@@ -182,7 +182,7 @@ def identity_links(spark, sf):
     crm = table(spark, sf, "customer")
     phones = crm.select(F.lit("PHONE").alias("type"), text("+91 ", F.lit(6000000000) + (key * 7919) % F.lit(4000000000)).alias("value"), F.lit("crm").alias("platform"))
     mails = crm.select(F.lit("EMAIL").alias("type"), text("USER", key, "@MAIL", key % 5, ".example.com").alias("value"), F.lit("crm").alias("platform"))
-    found = corpus_findings(spark, sf).select("type", "value", "platform")
+    found = corpus_findings(spark, sf, fields=("type", "value")).select("type", "value", "platform")
     return K.identity_links(R.union_findings(found, phones, mails))
 
 

@@ -1,12 +1,13 @@
 """What the physical plans must and must not hold."""
 import re
 
+import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
 
 from leakscope.operators import ess as E
 from leakscope.operators import rollups as R
-from leakscope.operators.detect import scan
+from leakscope.operators.detect import lexical_scorer, scan
 from leakscope.plans.registry import table
 from leakscope.streaming.alerts import alert_sessions
 
@@ -65,3 +66,24 @@ def test_no_cross_join_and_no_local_checkpoint_in_the_catalogue(spark, sf):
     for name in ("ess_by_file", "identity_links", "sentence_of_span", "entities_near", "first_nonempty", "combined_scan", "type_distribution"):
         plan = plan_of(QUERIES[name](spark, sf))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_unwanted_fields_are_not_computed(spark):
+    docs = spark.createDataFrame([(1, "Mail me: jane.roe@corp-mail.com or 4111 1111 1111 1111"), (2, "nothing"), (3, None)], "doc_id int, text string")
+    every, some = scan(docs, filename=None), scan(docs, filename=None, fields=("type", "value"))
+    assert some.columns == ["doc_id", "type", "value"] and every.count() == 2
+    assert sorted(some.collect()) == sorted(every.select("doc_id", "type", "value").collect())
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS snippet" in plan(every) and "AS snippet" not in plan(some) and "value_masked" not in plan(some)
+    cut = scan(docs, filename=None, chunk_size=20, overlap=30, fields=("type",))
+    assert cut.columns == ["doc_id", "type"] and cut.count() == 2
+    with pytest.raises(ValueError):
+        scan(docs, filename=None, fields=("severity",))
+
+
+def test_kept_expressions_serve_any_number_of_scans(spark):
+    docs = spark.createDataFrame([(1, "This was leaked. Write to jane.roe@corp-mail.com now. My number is 9876543210.")], "doc_id int, text string")
+    first, again = (sorted(scan(docs, "context", filename=None).collect()) for _ in range(2))
+    own = sorted(scan(docs, "context", scorer=lambda s: lexical_scorer(s), filename=None).collect())
+    other = sorted(scan(docs.withColumnRenamed("text", "body"), "context", text="body", filename=None).collect())
+    assert first and first == again == own == other
