@@ -96,7 +96,7 @@ LEVELS = "(values (0, 'Critical'), (1, 'High'), (2, 'Medium'), (3, 'Low')) lv(ri
  from (select distinct platform from F) p cross join {LEVELS} join (select platform, count(*) as n from F group by platform) t on t.platform = p.platform
  left join F on F.platform = p.platform and F.risk = lv.risk group by p.platform, lv.risk_rank, lv.risk"""))
 def risk_distribution(spark, sf):
-    return R.risk_distribution(corpus_findings(spark, sf), "platform")
+    return R.risk_distribution(corpus_findings(spark, sf, fields=("risk",)), "platform")
 
 
 AVG3 = "cast((cast(sum(cast(conf * 1000 as bigint)) as bigint) * 2 + count(*)) // (2 * count(*)) as double) / 1000"
@@ -121,7 +121,7 @@ def confidence_bands(spark, sf):
 
 @query("alert_summary", O.with_(O.F, "select container, count(*) as total, count(*) filter (where risk = 'Critical') as critical, count(*) filter (where risk = 'High') as high, count(*) filter (where risk = 'Medium') as medium from F group by container"))
 def alert_summary(spark, sf):
-    return R.alert_summary(corpus_findings(spark, sf), "container")
+    return R.alert_summary(corpus_findings(spark, sf, fields=("risk",)), "container")
 
 
 @query("alert_sample", O.with_(O.F, "select type, value_masked, risk, doc_id from F order by case risk when 'Critical' then 0 when 'High' then 1 when 'Medium' then 2 else 3 end, conf desc, type, value, doc_id limit 10"))
@@ -191,7 +191,7 @@ def identity_links(spark, sf):
 
 @query("exposed_by_repo", O.with_(O.F, f"select container as repo, count(distinct path) as leaked_files, min(path) as first_file, array_to_string(list_sort(list(distinct {O.CANON})), ',') as entity_types from F group by container"))
 def exposed_by_repo(spark, sf):
-    return P.exposed_by_repo(corpus_findings(spark, sf)).withColumn("entity_types", joined("entity_types"))
+    return P.exposed_by_repo(corpus_findings(spark, sf, fields=("type",))).withColumn("entity_types", joined("entity_types"))
 
 
 @query("exposed_files", O.with_(O.F, "select distinct container as repo, path from F"))
@@ -240,7 +240,8 @@ def advice_by_type(spark, sf):
 
 
 def _report_input(spark, sf):
-    found = corpus_findings(spark, sf, masked=True).withColumns({"scan_id": F.col("platform"), "source": F.concat("container", F.lit("/"), "path"), "source_type": F.col("platform")})
+    shown = ("type", "value_masked", "masked_snippet", "confidence", "risk", "annotation", "start")  # reports show neither value nor snippet
+    found = corpus_findings(spark, sf, masked=True, fields=shown).withColumns({"scan_id": F.col("platform"), "source": F.concat("container", F.lit("/"), "path"), "source_type": F.col("platform")})
     found = checkpointed(found)  # many sections read the findings; the texts are scanned once
     scored = E.ess(found, ["scan_id", "container", "path"], "source_type")
     scans = corpus(spark, sf).groupBy(F.col("platform").alias("scan_id")).agg(F.count(F.lit(1)).alias("files_scanned")).withColumns({

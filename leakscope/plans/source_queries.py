@@ -17,6 +17,7 @@ from leakscope.sources import files as FL
 from leakscope.sources import pastes as PA
 from leakscope.sources import sinks as SK
 from leakscope.sources import social as SO
+from leakscope.sources.layout import spread
 from leakscope.streaming import alerts as A
 
 # --- file listings -----------------------------------------------------------------------------------------------
@@ -341,9 +342,9 @@ def scan_profiles(spark, sf):
     """Every customer has a mail entry and a channel entry without landed messages."""
     who = F.concat(F.lit("user"), F.col("c_custkey").cast("string"))
     entry = lambda kind, value: F.struct(F.lit(kind).alias("kind"), F.lit("").alias("label"), value.alias("value"))
-    profiles = table(spark, sf, "customer").select(who.alias("user_email"), F.array(entry("Email", F.concat(F.lit(" u"), F.col("c_custkey").cast("string"), F.lit("@m.io "))), entry("telegram", F.lit("@none"))).alias("entries"))
+    profiles = spread(table(spark, sf, "customer").select("c_custkey")).select(who.alias("user_email"), F.array(entry("Email", F.concat(F.lit(" u"), F.col("c_custkey").cast("string"), F.lit("@m.io "))), entry("telegram", F.lit("@none"))).alias("entries"))
     files, contents = _repo_tables(spark, sf)
-    out = P.scan_profiles(profiles, _repos(spark, sf), files, contents, _forum_json(spark, sf), _leak_messages(spark, sf))
+    out = P.scan_profiles(profiles, _repos(spark, sf), files, contents, _forum_json(spark, sf), _leak_messages(spark, sf)).stored()
     counts = out.findings.groupBy("scan_id").agg(F.count(F.lit(1)).alias("total_findings"))
     return out.summary.join(counts, "scan_id").select("scan_id", "total_findings", "max_ess", "label")
 
@@ -365,7 +366,7 @@ def scan_profile_routes(spark, sf):
 @query("history_rows", O.with_(f"{O.F}, {CORPUS_FILES}, {CHOSEN}, {REPO_F}, SMM as ({O.summary_select('E', ['scan_id'])})",
        "select 'github' as scan_type, c.repo as target, cast(coalesce(f.n, 0) as int) as findings_count, coalesce(max_ess, 0.0) as max_ess, coalesce(label, 'INFO') as ess_label, cast(c.n as int) as sources_scanned from (select repo, count(*) as n from CHS group by repo) c left join (select scan_id, count(*) as n from RFF group by scan_id) f on f.scan_id = c.repo left join SMM on SMM.scan_id = c.repo"))
 def history_rows(spark, sf):
-    return P.history_rows(P.scan_repo(*_repo_tables(spark, sf)), "github").drop("scan_duration")
+    return P.history_rows(P.scan_repo(*_repo_tables(spark, sf)).stored(), "github").drop("scan_duration")
 
 
 # --- history and profiles ----------------------------------------------------------------------------------------
@@ -486,7 +487,7 @@ def alert_sessions(spark, sf):
 def alert_batch(spark, sf):
     from leakscope.plans.registry import corpus_findings
 
-    found = corpus_findings(spark, sf).withColumns({"source": F.col("container"), "detected_at": F.lit("2024-01-01").cast("timestamp")})
+    found = corpus_findings(spark, sf, fields=("type", "value_masked", "risk", "confidence")).withColumns({"source": F.col("container"), "detected_at": F.lit("2024-01-01").cast("timestamp")})
     return A.alert_batch(found).select("type", "total", "critical", "high", "medium", "sample_size", F.get("findings", F.lit(0))["risk"].alias("worst"))
 
 

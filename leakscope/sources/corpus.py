@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from leakscope.sources.layout import spread
+
 CORPUS_SQL = """
 with base as (select c_custkey as k,
  concat(cast(2 + c_custkey % 8 as varchar(20)), lpad(cast((c_custkey * 7919 + 104729) % 100000000000 as varchar(20)), 11, '0')) as aadhaar,
@@ -33,8 +35,9 @@ from base
 
 
 def leak_corpus(customer: DataFrame) -> DataFrame:
-    """(k, container, path, platform, text) from the customer table."""
-    return customer.sparkSession.sql(CORPUS_SQL.replace("from customer)", "from {customer})"), customer=customer)
+    """(k, container, path, platform, text) from the customer table, whose two columns are spread before texts are made and scanned."""
+    keys = spread(customer.select("c_custkey", "c_nationkey"))
+    return customer.sparkSession.sql(CORPUS_SQL.replace("from customer)", "from {customer})"), customer=keys)
 
 
 def corpus_documents(customer: DataFrame) -> DataFrame:

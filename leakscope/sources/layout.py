@@ -27,3 +27,9 @@ def bucketed_table(spark: SparkSession, name: str, path: str, schema: str, key:
     by = ", ".join(f"`{k}`" for k in key)
     spark.sql(f"create table if not exists `{name}` ({schema}) using parquet clustered by ({by}) sorted by ({by}) into {int(buckets)} buckets location '{path}'")
     return spark.table(name)
+
+
+def spread(rows: DataFrame, per_core: int = 2) -> DataFrame:
+    """The rows in even parts, several for each core. For compact tables from which long work is made: a file of a few MB, or one of few
+    row groups, is read by few tasks, however many rows it holds. No key decides, so keys that repeat or are null do no harm."""
+    return rows.repartition(per_core * rows.sparkSession.sparkContext.defaultParallelism)
