@@ -38,7 +38,8 @@ def filter_fake(findings: DataFrame, scorer: Callable | None = None, vocab: str
     """Downgrade likely fakes among the eligible types and drop eligible findings left below 0.15.
 
     `scorer` (pandas frames, `snippet` -> `snippet`, `scores`) classifies every distinct snippet once, whole; without it only the
-    keyword path applies. With `kept`, snippets that earlier runs have classified are looked up instead.
+    keyword path applies. With `kept`, snippets that earlier runs have classified are looked up instead. With a scorer the findings are
+    read several times, so those of a scan should have been written (`checkpointed`).
     """
     columns = findings.columns
     eligible = canonical_type(F.col("type"), vocab).isin(dims.FAKE_ELIGIBLE)

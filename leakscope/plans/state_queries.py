@@ -10,7 +10,7 @@ from leakscope.operators import context as X
 from leakscope.operators import history as H
 from leakscope.operators.detect import scan
 from leakscope.operators.fakefilter import filter_fake
-from leakscope.operators.numbering import shared_folder
+from leakscope.operators.numbering import checkpointed, shared_folder
 from leakscope.operators.rollups import session_star as session_star_of
 from leakscope.operators.rollups import session_totals, type_union
 from leakscope.operators.scores import KeptScores
@@ -204,7 +204,8 @@ _LONG = "concat(repeat('text ', 200), doc_id, ' ', type)"
  where not eligible or round(case when fake then conf * 0.28 else conf end, 3) >= 0.15"""))
 def fake_filter_scored(spark, sf):
     """Snippets of over 512 characters that differ behind that are classified each by itself, in two passes with one table of scores."""
-    found = corpus_findings(spark, sf).withColumn("snippet", F.concat(F.repeat(F.lit("text "), 200), F.col("doc_id").cast("string"), F.lit(" "), "type"))
+    # both passes read the findings several times: written once, and without the long snippets
+    found = checkpointed(corpus_findings(spark, sf, fields=("type", "confidence", "annotation"))).withColumn("snippet", F.concat(F.repeat(F.lit("text "), 200), F.col("doc_id").cast("string"), F.lit(" "), "type"))
     kept = KeptScores(spark, _new_folder(spark, "scores"), 8)
     first = filter_fake(found, _by_length("snippet"), kept=kept)
     second = filter_fake(found.filter(F.col("doc_id") >= 0), _never, kept=kept)

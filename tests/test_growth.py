@@ -1,4 +1,5 @@
 """Compact tables whose long work must spread over all cores."""
+from conftest import plan_of
 from pyspark.sql import functions as F
 
 from leakscope.plans.catalogue import QUERIES
@@ -23,3 +24,7 @@ def test_profiles_are_spread_before_their_entries_are_scanned(spark, sf):
     finally:
         P.scan_profiles = real
     assert seen[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_findings_of_two_filter_passes_are_scanned_once(spark, sf):
+    assert "customer.parquet" not in plan_of(QUERIES["fake_filter_scored"](spark, sf))
