@@ -1,14 +1,16 @@
 """Sessions over a stream whose rows come out of order, with the rows that came too late counted and not lost.
 
 Time is cut into slots as wide as the gap, so rows of one slot always belong together. Rows are combined per (key, slot) where they are
-read; state holds one entry per open slot. Slots that have ended before the watermark can't change any more, so neighbours among them
-become one entry: a key has as many entries as slots fit into the delay, and a few more, however long its session lasts.
+read; state holds one entry per open slot, all of a key in one value. Slots that have ended before the watermark can't change any more,
+so neighbours among them become one entry: a key has as many entries as slots fit into the delay, and a few more, however long its
+session lasts.
 """
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -16,81 +18,99 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 PART = T.StructType([T.StructField(c, T.LongType()) for c in ("lo", "hi", "n")])
+ENTRY = ("slot", *PART.fieldNames())
+#: A key's open slots, column by column, and the time of its timer in milliseconds.
+OPEN = T.StructType([T.StructField("wake", T.LongType()), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ENTRY)])
 
 
 def _combined(keys: Sequence[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """A combiner in front of the shuffle: one row per key and slot of what a task reads at a time."""
+    """A combiner in front of the shuffle: one entry per key and slot of what a task reads at a time, one row per key."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.groupby([*keys, "slot"], dropna=False, as_index=False, sort=False).agg(lo=("t", "min"), hi=("t", "max"), n=("t", "size"))
+            if frame.empty:
+                continue
+            slots = frame.groupby([*keys, "slot"], dropna=False, as_index=False, sort=False).agg(lo=("t", "min"), hi=("t", "max"), n=("t", "size"))
+            of = slots.groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy()
+            order = np.argsort(of, kind="stable")
+            first = np.flatnonzero(np.diff(of[order], prepend=-1))
+            lists = {c: np.split(slots[c].to_numpy()[order], first[1:]) for c in ENTRY}
+            yield slots.iloc[order[first]][list(keys)].assign(**{c: pd.Series(v, dtype=object).to_numpy() for c, v in lists.items()})
 
     return run
 
 
 class _Sessions(StatefulProcessor):
-    """One key. All times are in microseconds."""
+    """One key. All times are in microseconds. The open slots and the time of the timer are one value, read and written once a batch:
+    every call to the state is a round trip to the JVM."""
 
     def __init__(self, keys: Sequence[str], gap: int):
         self._keys, self._gap = list(keys), gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._slots = handle.getMapState("slots", T.StructType([T.StructField("slot", T.LongType())]), PART)
+        self._open = handle.getValueState("open", OPEN)
 
     def _row(self, key: Any, part: str, entry: tuple[int, int, int]) -> Row:
         return Row(**dict(zip(self._keys, key, strict=True)), part=part, lo=entry[0], hi=entry[1], n=entry[2])
 
-    def _settled(self, key: Any, first_open: int) -> Iterator[Row]:
+    def _held(self) -> tuple[dict[int, tuple[int, int, int]], int | None]:
+        """The open slots, and when the timer goes off."""
+        held = self._open.get()
+        if held is None:
+            return {}, None
+        wake, slot, *parts = held
+        return dict(zip(slot, zip(*parts, strict=True), strict=True)), wake
+
+    def _settled(self, key: Any, slots: dict[int, tuple[int, int, int]], first_open: int, old_wake: int | None) -> Iterator[Row]:
         """Puts out the sessions that nothing can join any more, joins ended slots of one session, and sets the timer for the next."""
         runs: list[list[tuple[int, tuple[int, int, int]]]] = []
-        for slot, entry in sorted((k[0], tuple(v)) for k, v in self._slots.iterator()):
+        for slot, entry in sorted(slots.items()):
             if runs and entry[0] - runs[-1][-1][1][1] <= self._gap:
                 runs[-1].append((slot, entry))
             else:
                 runs.append([(slot, entry)])
-        wake = None
+        wake, left = None, []
         for run in runs:
             last = run[-1][1][1]
             closing = (last + self._gap) // self._gap + 1  # the first slot of which no row can come within the gap
             if closing <= first_open:
                 yield self._row(key, "session", (run[0][1][0], last, sum(e[2] for _, e in run)))
-                for slot, _ in run:
-                    self._slots.removeKey((slot,))
                 continue
             wake = closing if wake is None else min(wake, closing)
             ended = [(slot, e) for slot, e in run if slot < first_open]
             if len(ended) > 1:
-                for slot, _ in ended[:-1]:
-                    self._slots.removeKey((slot,))
-                self._slots.updateValue((ended[-1][0],), (ended[0][1][0], ended[-1][1][1], sum(e[2] for _, e in ended)))
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
-        if wake is not None:
-            self._handle.registerTimer(wake * self._gap // 1000)
+                ended = [(ended[-1][0], (ended[0][1][0], ended[-1][1][1], sum(e[2] for _, e in ended)))]
+            left += ended + [(slot, e) for slot, e in run if slot >= first_open]
+        if wake is None:
+            self._open.clear()
+        else:
+            wake = wake * self._gap // 1000
+            self._open.update((wake, [slot for slot, _ in left], *([e[i] for _, e in left] for i in range(3))))
+        if wake != old_wake:
+            if old_wake is not None:
+                self._handle.deleteTimer(old_wake)
+            if wake is not None:
+                self._handle.registerTimer(wake)
 
     def _first_open(self, times: TimerValues) -> int:
         return max(times.getCurrentWatermarkInMs(), 0) * 1000 // self._gap
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
         first_open, late = self._first_open(timerValues), {}
+        slots, wake = self._held()
         for row in rows:
-            slot, entry = row["slot"], (row["lo"], row["hi"], row["n"])
-            if slot < first_open:
-                old = late.get(slot)
-            else:
-                old = tuple(self._slots.getValue((slot,))) if self._slots.containsKey((slot,)) else None
-            if old is not None:
-                entry = (min(old[0], entry[0]), max(old[1], entry[1]), old[2] + entry[2])
-            if slot < first_open:
-                late[slot] = entry
-            else:
-                self._slots.updateValue((slot,), entry)
+            for slot, *entry in zip(*(row[c] for c in ENTRY), strict=True):
+                into = late if slot < first_open else slots
+                old = into.get(slot)
+                into[slot] = tuple(entry) if old is None else (min(old[0], entry[0]), max(old[1], entry[1]), old[2] + entry[2])
         yield from (self._row(key, "late", late[slot]) for slot in sorted(late))
-        yield from self._settled(key, first_open)
+        yield from self._settled(key, slots, first_open, wake)
 
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
-        yield from self._settled(key, self._first_open(timerValues))
+        slots, wake = self._held()
+        # Spark itself takes away the timer that went off
+        yield from self._settled(key, slots, self._first_open(timerValues), None if wake == expiredTimerInfo.getExpiryTimeInMs() else wake)
 
     def close(self) -> None:
         pass
@@ -110,7 +130,7 @@ def sessions_with_late(events: DataFrame, keys: Sequence[str], at: str, gap_seco
     micros = F.unix_micros("_at")
     slotted = timed.select(*keys, micros.alias("t"), F.floor(micros / gap).cast("long").alias("slot"))
     own = [slotted.schema[k] for k in keys]
-    partial = T.StructType([*own, T.StructField("slot", T.LongType()), *PART.fields])
+    partial = T.StructType([*own, *OPEN.fields[1:]])
     # the combiner's rows carry no event time, so none is dropped in front of the state
     parts = slotted.mapInPandas(_combined(keys), partial)
     out = T.StructType([*own, T.StructField("part", T.StringType()), *PART.fields])
