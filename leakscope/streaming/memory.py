@@ -44,14 +44,16 @@ class _Alerted(StatefulProcessor):
         self._handle = handle
         self._last = handle.getValueState("last", T.StructType([T.StructField("ms", T.LongType())]))
 
-    def _remember(self, ms: int) -> None:
+    def _remember(self, ms: int, before: int | None) -> None:
+        """Every call to the state is a round trip to the JVM; the timer is known by the time it stands for."""
         self._last.update((ms,))
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
+        if before is not None:
+            self._handle.deleteTimer(before + self._again)
         self._handle.registerTimer(ms + self._again)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
-        last = self._last.get()[0] if self._last.exists() else None
+        held = self._last.get()
+        last = held[0] if held is not None else None
         before, first = last, {}
         for row in rows:  # one row for each step of the clock, whatever a frequent identifier brings
             step = row["_ms"] // self._resolution
@@ -62,13 +64,16 @@ class _Alerted(StatefulProcessor):
                 last = step * self._resolution
                 yield Row(**{c: first[step][c] for c in first[step].__fields__ if c not in ("_ms", "_tie")})
         if last != before:
-            self._remember(last)
+            self._remember(last, before)
 
     def handleInitialState(self, key: Any, initialState: Row, timerValues: TimerValues) -> None:  # noqa: N802, N803
-        self._remember(initialState["last_ms"] // self._resolution * self._resolution)
+        self._remember(initialState["last_ms"] // self._resolution * self._resolution, None)
 
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
-        self._last.clear()
+        held = self._last.get()
+        # a timer of a run with another `again_after` may go off after a newer alert
+        if held is not None and held[0] + self._again <= expiredTimerInfo.getExpiryTimeInMs():
+            self._last.clear()
         return iter(())
 
     def close(self) -> None:

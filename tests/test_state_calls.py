@@ -3,6 +3,7 @@ from types import SimpleNamespace
 
 import pandas as pd
 
+from leakscope.streaming.memory import _Alerted
 from leakscope.streaming.sessions import _combined, _Sessions
 
 
@@ -55,3 +56,26 @@ def test_a_key_with_many_slots_asks_its_state_a_few_times(spark):
     assert state.calls == ["get", "update", "register"] and 22 * 600_000 in state.timers
     list(sessions.handleInputRows(("a",), iter([a]), _at(99 * 600_000 * 10)))
     assert state.value is None
+
+
+def test_an_identifier_asks_its_state_a_few_times(spark):
+    state = _State()
+    alerted = _Alerted("at", 5000, 1000)
+    alerted.init(state)
+
+    class Found(SimpleNamespace):
+        __fields__ = ("value", "_ms", "_tie")
+
+        def __getitem__(self, name):
+            return getattr(self, name)
+
+    rows = lambda *ms: iter([Found(value=f"v{m}", _ms=m, _tie=0) for m in ms])
+    assert [r.value for r in alerted.handleInputRows(("k",), rows(1000, 2000), _at(0))] == ["v1000"]
+    assert state.calls == ["get", "update", "register"] and state.timers == {6000}
+    state.calls.clear()
+    assert list(alerted.handleInputRows(("k",), rows(3000), _at(0))) == [] and state.calls == ["get"]
+    assert [r.value for r in alerted.handleInputRows(("k",), rows(7000), _at(0))] == ["v7000"] and state.timers == {12_000}
+    list(alerted.handleExpiredTimer(("k",), _at(9000), _at(9000)))  # of a run with another interval
+    assert state.value == (7000,)
+    list(alerted.handleExpiredTimer(("k",), _at(12_000), _at(12_000)))
+    assert state.value is None
