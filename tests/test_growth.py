@@ -2,6 +2,7 @@
 from conftest import plan_of
 from pyspark.sql import functions as F
 
+from leakscope.operators.detect import scan
 from leakscope.plans.catalogue import QUERIES
 from leakscope.sources.corpus import corpus_documents
 
@@ -28,3 +29,11 @@ def test_profiles_are_spread_before_their_entries_are_scanned(spark, sf):
 
 def test_findings_of_two_filter_passes_are_scanned_once(spark, sf):
     assert "customer.parquet" not in plan_of(QUERIES["fake_filter_scored"](spark, sf))
+
+
+def test_no_text_is_made_by_the_tasks_that_read_a_compact_table(spark):
+    customers = spark.range(0, 1000, 1, 1).select(F.col("id").alias("c_custkey"), F.lit(3).alias("c_nationkey"))
+    plan = plan_of(scan(corpus_documents(customers)).filter(F.col("path") != "src/f1.py"))
+    above, below = plan.split("RoundRobinPartitioning")
+    assert "Filter" in above and "Filter" not in below
+    assert scan(corpus_documents(customers.union(customers))).count() == 2 * scan(corpus_documents(customers)).count() > 0
