@@ -185,12 +185,17 @@ class AlertSink:
         if self._name(batch_id) in self._commits.names():
             return
         self.write_findings(findings, batch_id)
-        self.write_alert(findings, batch_id)
+        self.write_alert(self.written_findings(findings, batch_id), batch_id)
         self.commit(batch_id)
 
     def write_findings(self, findings: DataFrame, batch_id: int) -> None:
         findings.write.mode("overwrite").parquet(f"{self.out}/findings/batch_id={batch_id}")
 
+    def written_findings(self, findings: DataFrame, batch_id: int) -> DataFrame:
+        """The batch as it lies in its folder. An alert row reads it twice, and a stream's batch would be made anew for that, with its
+        steps through the state."""
+        return findings.sparkSession.read.schema(findings.schema).parquet(f"{self.out}/findings/batch_id={batch_id}")
+
     def write_alert(self, findings: DataFrame, batch_id: int) -> None:
         alert_batch(findings).write.mode("overwrite").parquet(f"{self.out}/alerts/batch_id={batch_id}")
 

@@ -152,3 +152,17 @@ def test_a_batch_without_commit_is_not_seen(spark, tmp_path):
     sink(found.limit(0), 1)  # committed batches stay as they are
     assert [A.committed(spark, out, w).count() for w in ("findings", "alerts")] == [2, 2]
     assert "CartesianProduct" not in plan_of(A.committed(spark, out, "findings"))
+
+
+def test_the_alert_row_is_made_from_the_findings_that_were_written(spark, tmp_path):
+    files, out = [], str(tmp_path / "out")
+
+    class Seen(A.AlertSink):
+        def write_alert(self, findings, batch_id):
+            files.append(findings.inputFiles())
+            super().write_alert(findings, batch_id)
+
+    land(str(tmp_path / "landing"), "a.json", [doc("pastebin", "x", "call +916123456789 or +916123456780 now", "2024-01-01T00:00:00Z")])
+    A.alert_stream(spark, str(tmp_path / "landing"), None, out, str(tmp_path / "state"), profile="fast", once=True, sink=Seen(spark, out)).awaitTermination()
+    assert files and all(f and all("/out/findings/batch_id=" in name for name in f) for f in files)
+    assert sum(r.total for r in A.committed(spark, out, "alerts").collect()) == A.committed(spark, out, "findings").count() == 2
