@@ -52,18 +52,21 @@ def match_spans(text: Column, pattern: str, flags: str = UNI) -> Column:
     """All non-overlapping matches with 0-based start and exclusive end.
 
     The text between matches comes from `split` with the same pattern; a match starts after all pieces and matches
-    before it. The second regex pass runs only for rows that have a match at all.
+    before it. The second regex pass runs only for rows that have a match at all. `split` compiles its pattern for every row and
+    the sums are a fold, so the only match of an ASCII text, where UTF-16 units are characters, is located by `regexp_instr`.
     """
     regex = flags + pattern
+    ascii_only = F.octet_length(text) == F.length(text)
 
     def locate(found: Column) -> Column:
         def with_pieces(between: Column) -> Column:
             steps = F.transform(found, lambda v, i: F.length(F.get(between, i)) + F.coalesce(F.length(F.get(found, i - 1)), F.lit(0)))
             return let(running_sums(steps), lambda starts: F.transform(found, lambda v, i: _piece(F.get(starts, i), v)))
 
-        return F.when(F.size(found) > 0, let(F.split(text, regex, -1), with_pieces)).otherwise(
-            F.array().cast(PIECE_TYPE)
-        )
+        only = F.get(found, F.lit(0))
+        alone = (F.size(found) == 1) & ascii_only & (F.length(only) > 0)
+        return F.when(alone, F.array(_piece(F.regexp_instr(text, F.lit(regex)) - 1, only))).when(
+            F.size(found) > 0, let(F.split(text, regex, -1), with_pieces)).otherwise(F.array().cast(PIECE_TYPE))
 
     return let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), locate)
 
@@ -79,7 +82,8 @@ def between_spans(text: Column, separator: str, flags: str = UNI) -> Column:
             located = let(running_sums(steps), lambda ends: F.transform(parts, lambda v, i: _piece(F.get(ends, i) - F.length(v), v)))
             return F.filter(located, lambda p: p["end"] > p["start"])
 
-        return let(F.split(text, regex, -1), with_pieces)
+        whole = F.array(_piece(F.lit(0), text))  # nothing to cut at
+        return F.when(F.size(seps) == 0, F.filter(whole, lambda p: p["end"] > p["start"])).otherwise(let(F.split(text, regex, -1), with_pieces))
 
     return let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), with_seps)
 
@@ -141,7 +145,9 @@ def resolve_overlaps(spans: Column, element_type: str) -> Column:
             return let(first, lambda at: F.flatten(F.transform(at, lambda f, j: closed(
                 F.slice(ordered, f + 1, F.coalesce(F.get(at, j + 1), F.size(ordered)) - f)))))
 
-        return let(running_max(F.transform(ordered, lambda s: s["end"])), runs)
+        # where no span reaches into the next one, every run is one span
+        apart = F.forall(F.sequence(F.lit(1), F.size(ordered) - 1), lambda i: F.get(ordered, i)["start"] >= F.get(ordered, i - 1)["end"])
+        return F.when(apart, ordered).otherwise(let(running_max(F.transform(ordered, lambda s: s["end"])), runs))
 
     # natural order of the struct is start order
     return F.when(F.size(spans) <= 1, spans).otherwise(let(F.array_sort(spans), sweep))

@@ -196,6 +196,9 @@ def raw_spans(text: Column, patterns: Sequence[Pattern] = LIVE, paged: Column |
     return _gated(text, patterns, build, RAW)
 
 
+SIGNALS = ("keyword", "owned", "dummy")
+
+
 def _signals(ctx: Column) -> list[Column]:
     return [matches(ctx, dims.PII_KEYWORDS).alias("keyword"), matches(ctx, dims.OWNERSHIP).alias("owned"),
             matches(ctx, dims.DUMMY_CONTEXT).alias("dummy")]
@@ -260,8 +263,10 @@ def with_context_features(df: DataFrame, text: str, patterns: Sequence[Pattern]
     out = df.withColumn("_pages", pages(t)).withColumn("_raw", _raw(text, tuple(patterns), session))
     sentences = _judged_sentences(text, session) if scorer is lexical_scorer else described_sentences(t, scorer)
     blocks, spans = _described(session)
-    out = out.withColumns({"_sentences": F.when(some, sentences), "_whole": F.when(some, F.struct(*_signals(t)))})
-    out = out.withColumn("_blocks", blocks)
+    out = out.withColumn("_sentences", F.when(some, sentences))
+    first = F.get("_sentences", F.lit(0))  # a text that is one sentence has been judged
+    judged = F.when((first["start"] == 0) & (first["end"] == F.length(t)), F.struct(*[first[c].alias(c) for c in SIGNALS])).otherwise(F.struct(*_signals(t)))
+    out = out.withColumns({"_blocks": blocks, "_whole": F.when(some, judged)})
     features = F.when(some, spans).otherwise(_no_spans(FEATURE))
     return out.withColumn("_features", features).drop("_raw", "_blocks", "_whole")
 
